@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import chat, langid, mixing, pii, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_skip_chain_crf": pii.op2,
     "op5_external_shuffle": sharding.op5,
+    "op6_zip_warc": warc.op6,
     "op8_splitting_tree_mix": mixing.op8,
+    "op9_byte_cnn": langid.op9,
+    "op10_grammar_round_trip": chat.op10,
 }
 
 ORACLES: dict[str, str] = {}
