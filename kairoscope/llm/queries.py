@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, mixing, pii, sharding, warc
+from . import chat, dart_minhash, decontaminate, langid, mixing, pii, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_skip_chain_crf": pii.op2,
+    "op4_dart_minhash": dart_minhash.op4,
     "op5_external_shuffle": sharding.op5,
     "op6_zip_warc": warc.op6,
+    "op7_bm25_wand": decontaminate.op7,
     "op8_splitting_tree_mix": mixing.op8,
     "op9_byte_cnn": langid.op9,
     "op10_grammar_round_trip": chat.op10,
