@@ -41,15 +41,14 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """``sizes``: m_source, m_size, m_docs. Adds m_rank, m_weight, m_target.
+    """``sizes``: m_rank (place of the source from 1), m_size. Adds m_weight, m_target.
 
     Water filling: with sources in the order of cap / weight, the level is the
     largest of the levels got by capping the first k of them.
     """
     everything = W.partitionBy()
     weights = F.array(*[F.lit(float(w)) for w in WEIGHTS])
-    ranked = sizes.withColumn("m_rank", F.row_number().over(W.orderBy(F.col("m_source").asc_nulls_last())))
-    ranked = ranked.withColumn("m_weight", F.element_at(weights, (F.pmod(F.col("m_rank") - 1, F.lit(len(WEIGHTS))) + 1).cast("int")))
+    ranked = sizes.withColumn("m_weight", F.element_at(weights, (F.pmod(F.col("m_rank") - 1, F.lit(len(WEIGHTS))) + 1).cast("int")))
     ranked = ranked.withColumn("m_cap", F.col("m_size") * float(MAX_REPEATS))
     order = W.orderBy(F.col("m_cap") / F.col("m_weight"), "m_rank").rowsBetween(W.unboundedPreceding, -1)
     level = (F.sum("m_size").over(everything) - F.coalesce(F.sum("m_cap").over(order), F.lit(0.0))) / (
@@ -123,29 +122,26 @@ def plan_mix(
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     rows = docs.select(row.alias("m_row"), F.col(source_col).alias("m_source"), key.alias("m_key"))
 
-    counts = docs.groupBy(F.col(source_col).alias("m_source")).agg(F.count(F.lit(1)).alias("m_docs"))
+    counts = docs.groupBy(F.col(source_col).alias("c_source")).agg(F.count(F.lit(1)).alias("m_docs"))
     rows_of_block = F.greatest(F.lit(block_rows), F.ceil(F.sum("m_docs").over(W.partitionBy()) / MAX_BLOCKS))
-    counts = counts.withColumn("m_blocks", F.ceil(F.col("m_docs") / rows_of_block))
-    same = lambda a, b: a["m_source"].eqNullSafe(b["m_source"])
-    blocked = rows.join(counts, same(rows, counts)).select(
-        "m_row", counts["m_source"], "m_key", F.pmod("m_key", "m_blocks").alias("m_block"), "m_blocks"
+    counts = counts.select(
+        "c_source",
+        F.row_number().over(W.orderBy(F.col("c_source").asc_nulls_last())).alias("m_rank"),
+        F.ceil(F.col("m_docs") / rows_of_block).alias("m_blocks"),
     )
-    blocks = blocked.groupBy("m_source", "m_block", "m_blocks").agg(
-        F.sum(word_count(F.col(f"m_row.{text_col}"))).alias("m_words"), F.count(F.lit(1)).alias("m_docs")
+    blocked = rows.join(counts, F.col("m_source").eqNullSafe(F.col("c_source"))).select(
+        "m_row", "m_rank", "m_key", F.pmod("m_key", "m_blocks").alias("m_block"), "m_blocks"
     )
+    blocks = blocked.groupBy("m_rank", "m_block").agg(F.sum(word_count(F.col(f"m_row.{text_col}"))).alias("m_words"))
     blocks = materialize(blocks, "mix-blocks")  # MAX_BLOCKS and a row for each source at most
-    targets = source_targets(
-        blocks.groupBy("m_source").agg(F.sum("m_words").alias("m_size"), F.sum("m_docs").alias("m_docs"))
-    )
+    targets = source_targets(blocks.groupBy("m_rank").agg(F.sum("m_words").alias("m_size")))
     whole = F.when(F.col("m_size") > 0, F.least(F.floor(F.col("m_target") / F.col("m_size")), F.lit(MAX_REPEATS))).otherwise(0)
     targets = targets.withColumn("m_whole", whole.cast("int")).withColumn(
         "m_part", F.col("m_target") - F.col("m_whole") * F.col("m_size")
     )
-    order = W.partitionBy("m_source").orderBy(F.xxhash64(F.lit(seed), F.lit("block"), F.col("m_source"), F.col("m_block")), "m_block")
-    t = targets.select("m_source", "m_rank", "m_size", "m_target", "m_whole", "m_part")
+    order = W.partitionBy("m_rank").orderBy(F.xxhash64(F.lit(seed), F.lit("block"), F.col("m_rank"), F.col("m_block")), "m_block")
     ordered = (
-        blocks.join(t.withColumnRenamed("m_source", "t_source"), F.col("m_source").eqNullSafe(F.col("t_source")))
-        .drop("t_source")
+        blocks.join(targets.select("m_rank", "m_size", "m_target", "m_whole", "m_part"), "m_rank")
         .withColumn("m_place", F.row_number().over(order) - 1)
         .withColumn("m_upto_words", F.sum("m_words").over(order))
         .withColumn("m_before", F.col("m_upto_words") - F.col("m_words"))
@@ -157,32 +153,24 @@ def plan_mix(
     quotas = ordered.groupBy("m_rank").agg(
         F.sum(F.col("m_whole") + F.when(F.col("m_take") == "none", 0).otherwise(1)).cast("long").alias("m_units")
     )
-    upto = split_quotas(quotas, n_shards, seed)
-    dealt = ordered.join(upto, "m_rank").select(
-        F.col("m_source").alias("d_source"), F.col("m_block").alias("d_block"), "m_size", "m_target",
-        "m_take", (F.col("m_part") - F.col("m_before")).alias("m_left"), "m_whole", "m_place", "m_upto",
-    )
-    placed = blocked.join(
-        dealt, F.col("m_source").eqNullSafe(F.col("d_source")) & (F.col("m_block") == F.col("d_block"))
-    )
-    placed = placed.withColumn("m_words", word_count(F.col(f"m_row.{text_col}")))
-    #: Only the one block of a source that the target cuts needs its rows in order.
-    inside = W.partitionBy("d_source", "d_block").orderBy("m_key", F.col(f"m_row.{id_col}"), F.col(f"m_row.{text_col}"))
-    cut = placed.where("m_take = 'cut'").withColumn(
-        "m_more", (F.sum("m_words").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("m_words") / 2 <= F.col("m_left")).cast("int")
+    dealt = ordered.join(split_quotas(quotas, n_shards, seed), "m_rank").select(
+        "m_rank", "m_block", "m_size", "m_target", "m_take", (F.col("m_part") - F.col("m_before")).alias("m_left"), "m_whole", "m_place", "m_upto"
     )
-    rest = placed.where("m_take <> 'cut'").withColumn("m_more", (F.col("m_take") == "all").cast("int"))
-    copies = F.col("m_whole") + F.col("m_more")
+    placed = blocked.join(dealt, ["m_rank", "m_block"]).withColumn("m_words", word_count(F.col(f"m_row.{text_col}")))
+    #: Rows move once: the join above and this window share their partitioning.
+    inside = W.partitionBy("m_rank", "m_block").orderBy("m_key", F.col(f"m_row.{id_col}"), F.col(f"m_row.{text_col}"))
+    middle = F.sum("m_words").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("m_words") / 2
+    more = F.when(F.col("m_take") == "cut", (middle <= F.col("m_left")).cast("int")).otherwise((F.col("m_take") == "all").cast("int"))
     shards = F.expr(
         """transform(slice(sequence(0, 3), 1, m_whole + m_more),
             p -> size(filter(m_upto, u -> u <= p * m_blocks + m_place)))"""
     )
-    return cut.unionByName(rest).select(
+    return placed.withColumn("m_more", more).select(
         "m_row.*",
         F.col("m_words").alias("size"),
         F.col("m_size").alias("source_size"),
         F.col("m_target").alias("target"),
-        copies.cast("int").alias("copies"),
+        (F.col("m_whole") + F.col("m_more")).cast("int").alias("copies"),
         shards.alias("shards"),
     )
 
