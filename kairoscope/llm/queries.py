@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, dart_minhash, decontaminate, langid, mixing, pii, sharding, warc
+from . import chat, dart_minhash, decontaminate, langid, mixing, pii, sharding, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_skip_chain_crf": pii.op2,
+    "op3_suffix_array": suffix_dedup.op3,
     "op4_dart_minhash": dart_minhash.op4,
     "op5_external_shuffle": sharding.op5,
     "op6_zip_warc": warc.op6,
