@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,3 +35,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """About ``rows`` rows of ``df`` and never more, chosen by a seeded hash.
+
+    A counted share of the hashes is let through by the tasks, so that what
+    reaches the driver has the same size whatever the number of partitions.
+    """
+    n = df.count()
+    if n > rows:
+        df = df.where(key.bitwiseAND(F.lit((1 << 53) - 1)) < F.lit(int(rows / n * (1 << 53))))
+    return df.orderBy(key).limit(rows)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import bounded_sample, read_table
 
 SEED = 90_001
 SAMPLE = 2400
@@ -125,19 +125,17 @@ def learnable() -> Column:
 
 def train(docs: DataFrame, *, sample: int = SAMPLE, seed: int = SEED) -> ByteCNN | None:
     """A model from ``sample`` labelled rows at most (columns doc_id, text, lang)."""
-    rows = (
-        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable())
-        .orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id", F.xxhash64("text"), "lang")
-        .select("doc_id", "text", "lang")
-        .limit(sample)
-    )
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable())
+    rows = bounded_sample(labelled.select("doc_id", "text", "lang"), F.xxhash64(F.lit(seed), F.col("doc_id")), sample)
     places = F.transform(
         F.sequence(F.lit(1), F.lit(PER_DOC)),
         lambda k: F.substring(
             "text", (F.pmod(F.xxhash64(F.lit(seed), k, F.col("doc_id")), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)
         ),
     )
-    got = [(t, r["lang"]) for r in rows.select("lang", F.array_distinct(places).alias("parts")).collect() for t in r["parts"] if _LETTER.search(t)]
+    got = sorted(
+        (t, r["lang"]) for r in rows.select("lang", F.array_distinct(places).alias("parts")).collect() for t in r["parts"] if _LETTER.search(t)
+    )
     if not got:
         return None
     langs = sorted({lang for _, lang in got})

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, dart_minhash, decontaminate, langid, mixing, pii, sharding, suffix_dedup, warc
+from . import audio, chat, dart_minhash, decontaminate, langid, mixing, pii, sharding, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chroma_fingerprint": audio.op1,
     "op2_skip_chain_crf": pii.op2,
     "op3_suffix_array": suffix_dedup.op3,
     "op4_dart_minhash": dart_minhash.op4,
