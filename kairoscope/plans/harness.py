@@ -60,12 +60,14 @@ def with_(names: str, body: str) -> str:
     for name in names.split():
         add(name)
     body = body.strip()
+    if not order:
+        return body
     ctes = ", ".join(f"{n} AS ({REL[n]})" for n in order)
     if body.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {ctes}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes}, {body[5:]}"
-    return f"WITH {ctes} {body}" if ctes else body
+    return f"WITH {ctes} {body}"
 
 
 def query(name: str, relations: str = "", sql: str | None = None):
