@@ -147,7 +147,7 @@ def plan_mix(
         .withColumn("m_before", F.col("m_upto_words") - F.col("m_words"))
         .withColumn(
             "m_take",
-            F.when(F.col("m_upto_words") <= F.col("m_part"), "all").when(F.col("m_before") < F.col("m_part"), "cut").otherwise("none"),
+            F.when(F.col("m_part") <= 0, "none").when(F.col("m_upto_words") <= F.col("m_part"), "all").when(F.col("m_before") < F.col("m_part"), "cut").otherwise("none"),
         )
     )
     quotas = ordered.groupBy("m_rank").agg(
