@@ -155,9 +155,29 @@ def csv_cell(x) -> Column:
     return F.when(safe.rlike(r'[",\r\n]'), F.concat(F.lit('"'), F.regexp_replace(safe, '"', '""'), F.lit('"'))).otherwise(safe)
 
 
+# What a log must not show.
+SECRET = r"""(?i)(["']?(?:authorization|access[_-]?token|refresh[_-]?token|token|api[_-]?key|password|secret)["']?\s*[:=]\s*["']?)(?:Bearer\s+)?([^"'\s,;}&]+)"""
+BEARER = r"""(?i)\bBearer\s+[^"'\s,;}&]+"""
+
+
 def redact(x, longest: int = 512) -> Column:
-    """Text with bearer tokens, key=value secrets and addresses masked, cut to a length."""
-    x = F.regexp_replace(_c(x), r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]")
-    x = F.regexp_replace(x, r"(?i)\b(api[_-]?key|token|secret|password)(\s*[=:]\s*)\S+", "$1$2[REDACTED]")
-    x = F.regexp_replace(x, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "[EMAIL]")
-    return F.substring(x, 1, longest)
+    """Text with the values of secret keys and bearer tokens masked, cut to a length."""
+    x = F.regexp_replace(_c(x), F.lit(SECRET), F.lit("$1[REDACTED]"))
+    return F.substring(F.regexp_replace(x, F.lit(BEARER), F.lit("Bearer [REDACTED]")), 1, longest)
+
+
+def release_timing(vintage, fetched, release_time, override_released=None, override_tradable=None) -> Column:
+    """struct(released_at, tradable_at, status): an override wins; a fetch on the vintage's
+    own day is the release; else the rule's time on that day."""
+    v, f = _c(vintage), _c(fetched)
+    same = f.cast("date") == v
+    ruled = F.to_timestamp(F.concat(v.cast("string"), F.lit(" "), _c(release_time)))
+    released = F.when(same, f).otherwise(ruled)
+    status = F.when(same, "OBSERVED_AT_FETCH").otherwise("CONSERVATIVE_DATE_END")
+    tradable = at_time(next_weekday(released.cast("date")), "14:30:00")
+    if override_released is not None:
+        o = _c(override_released)
+        status = F.when(o.isNotNull(), "OVERRIDE").otherwise(status)
+        tradable = F.when(o.isNotNull(), _c(override_tradable)).otherwise(tradable)
+        released = F.coalesce(o, released)
+    return F.struct(released.alias("released_at"), tradable.alias("tradable_at"), status.alias("status"))

@@ -28,11 +28,11 @@ def impulse_score(label) -> Column:
     return F.when(label == "EXPANDING", 80.0).when(label == "CONTRACTING", 30.0).otherwise(55.0)
 
 
-def trend_score(level, sma, four_back) -> Column:
-    """Half from the side of the mean (60 or 40), half from the four-step slope; 50 without history."""
+def trend_score(level, sma, four_back, thirteen_back) -> Column:
+    """Half from the side of the mean (60 or 40), half from the four-step slope; 50 with under 14 points."""
     level = _c(level)
     blend = F.when(level > _c(sma), 60.0).otherwise(40.0) * 0.5 + lin_map(level - _c(four_back), -200, 200) * 0.5
-    return F.when(_c(sma).isNull() | _c(four_back).isNull(), 50.0).otherwise(blend)
+    return F.when(_c(sma).isNull() | _c(thirteen_back).isNull(), 50.0).otherwise(blend)
 
 
 def direction(level, sma) -> Column:
@@ -135,12 +135,11 @@ def display_verdict(verdict, score, stress, status) -> Column:
 
 
 def base_exposure(verdict, direction_, score) -> Column:
-    """1.0 bullish with liquidity up, 0.9 bullish, 0.25 bearish and down, 0.5 bearish; neutral 0.75 or 0.5 by score 50."""
-    v, d, e = _c(verdict), _c(direction_), P.EXPOSURES
+    """Bullish 1.0, or 0.9 with liquidity down; bearish 0.25; neutral 0.75 from score 50 on, or else 0.5."""
+    v, e = _c(verdict), P.EXPOSURES
     return (
-        F.when((v == "BULLISH") & (d == "UP"), e["full"]).when(v == "BULLISH", e["high"])
-        .when((v == "BEARISH") & (d == "DOWN"), e["low"]).when(v == "BEARISH", e["cautious"])
-        .when(_c(score) >= P.NEUTRAL, e["middle"]).otherwise(e["cautious"])
+        F.when((v == "BULLISH") & (_c(direction_) == "DOWN"), e["high"]).when(v == "BULLISH", e["full"])
+        .when(v == "BEARISH", e["low"]).when(_c(score) < P.NEUTRAL, e["cautious"]).otherwise(e["middle"])
     )
 
 
@@ -172,7 +171,7 @@ def reserve_state(score) -> Column:
     s = _c(score)
     return (
         F.when(s.isNull() | F.isnan(s), "UNKNOWN").when(s >= 80, "ABUNDANT").when(s >= 60, "AMPLE")
-        .when(s >= 40, "ADEQUATE").when(s >= 20, "TIGHT").otherwise("SCARCE")
+        .when(s >= 40, "TRANSITION").when(s >= 20, "SCARCE").otherwise("STRESSED")
     )
 
 
@@ -186,3 +185,65 @@ def shadow_exposure(base, tactical, confidence) -> Column:
 
 def yield_scale(x) -> Column:
     return F.when(_c(x) > 20, _c(x) / 10.0).otherwise(_c(x))
+
+
+# Score of a policy regime (row) for an expanding, flat or contracting balance sheet.
+POLICY_MATRIX = {
+    "QE": (80.0, 60.0, 40.0),
+    "QT": (50.0, 40.0, 30.0),
+    "RESERVE_MANAGEMENT": (57.5, 52.5, 42.5),
+    "REINVESTMENT_ONLY": (52.5, 50.0, 45.0),
+    "NEUTRAL": (55.0, 50.0, 45.0),
+}
+
+
+def policy_score(regime, impulse) -> Column:
+    """struct(status, score): crisis and unknown regimes have no score."""
+    regime, i = _c(regime), _c(impulse)
+    status = F.when(regime == "CRISIS_LIQUIDITY", "CRISIS_POLICY_SEPARATE").when(regime.isin(*POLICY_MATRIX), "OK").otherwise("POLICY_UNAVAILABLE")
+    score = F.lit(None).cast("double")
+    for name, (up, flat, down) in POLICY_MATRIX.items():
+        score = F.when(regime == name, F.when(i == "EXPANDING", up).when(i == "FLAT", flat).when(i == "CONTRACTING", down)).otherwise(score)
+    return F.struct(status.alias("status"), score.alias("score"))
+
+
+def guidance_tone(verdict, direction_, score, stress) -> Column:
+    """unknown, brake, bull, bear or neutral; stress comes first, then the bands."""
+    v, stressed = _c(verdict), (_c(stress) == "STRESSED") & (_c(score) < P.STRESS_CEILING)
+    return (
+        F.when(_c(stress) == "UNKNOWN", "unknown").when(stressed, "brake").when((v == "BULLISH") & (_c(direction_) == "DOWN"), "neutral")
+        .when(v == "BULLISH", "bull").when(v == "BEARISH", "bear").otherwise("neutral")
+    )
+
+
+def divergence(impulse, direction_) -> Column:
+    """The balance sheet and net liquidity move apart."""
+    i, d = _c(impulse), _c(direction_)
+    return F.when((i == "EXPANDING") & (d == "DOWN"), "EXPANDING_BUT_DRAINING").when((i == "CONTRACTING") & (d == "UP"), "CONTRACTING_BUT_ADDING")
+
+
+def bear_trigger_armed(score) -> Column:
+    return (_c(score) < P.BEAR_BELOW) | (_c(score) - P.BEAR_BELOW <= P.ARM_DISTANCE)
+
+
+def factor_agreement(up, down, n: int = 4) -> Column:
+    """Share of major factors on the stronger side, neutral ones counted half, in percent."""
+    rest = F.lit(float(n)) - _c(up) - _c(down)
+    return F.greatest(_c(up) + rest * 0.5, _c(down) + rest * 0.5) * 100.0 / n
+
+
+def confidence(completeness, freshness, sample, agreement_, raw_smooth) -> Column:
+    """Mean of five components; the sample counts fully from 52, raw and smooth by 100, 50, 0."""
+    s = F.least(F.lit(100.0), _c(sample) / 52.0 * 100.0)
+    r = F.when(_c(raw_smooth) == "HIGH", 100.0).when(_c(raw_smooth) == "LOW", 0.0).otherwise(50.0)
+    return (_c(completeness) + _c(freshness) + s + _c(agreement_) + r) / 5.0
+
+
+def candidate_verdict(ic, low, high, p, delta, residual, n, sign: int) -> Column:
+    """PASS, DISPLAY-ONLY or DROP; a candidate of negative sign is judged turned round."""
+    o_ic = _c(ic) * float(sign)
+    o_low, o_p = (_c(low), _c(p)) if sign > 0 else (-_c(high), F.lit(1.0) - _c(p))
+    robust = (o_low > 0) | ((o_p < 0.10) & (o_ic > 0))
+    adds = (_c(delta) > 0.003) | (F.abs(_c(residual)) > 0.05)
+    shown = (F.abs(_c(ic)) > 0.05) | (F.abs(_c(residual)) > 0.05)
+    return F.when(robust & adds & (_c(n) >= 10), "PASS").when(shown, "DISPLAY-ONLY").otherwise("DROP")

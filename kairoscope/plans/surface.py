@@ -102,7 +102,7 @@ def top_factors(spark, sf):
 @query("decision_state", "h_signal", """
     WITH s AS (SELECT *, CASE WHEN idx % 11 = 0 THEN 'UNKNOWN' WHEN idx % 3 = 0 THEN 'STRESSED' ELSE 'NORMAL' END AS stress, CASE WHEN idx % 13 = 0 THEN 'DATA_INCOMPLETE' ELSE 'OK' END AS status,
         CASE WHEN idx % 2 = 0 THEN 'UP' ELSE 'DOWN' END AS dir FROM h_signal),
-    b AS (SELECT *, CASE WHEN verdict = 'BULLISH' AND dir = 'UP' THEN 1.0 WHEN verdict = 'BULLISH' THEN 0.9 WHEN verdict = 'BEARISH' AND dir = 'DOWN' THEN 0.25 WHEN verdict = 'BEARISH' THEN 0.5 WHEN score >= 50 THEN 0.75 ELSE 0.5 END AS base FROM s)
+    b AS (SELECT *, CASE WHEN verdict = 'BULLISH' AND dir = 'DOWN' THEN 0.9 WHEN verdict = 'BULLISH' THEN 1.0 WHEN verdict = 'BEARISH' THEN 0.25 WHEN score < 50 THEN 0.5 ELSE 0.75 END AS base FROM s)
     SELECT idx, CASE WHEN status <> 'OK' OR stress = 'UNKNOWN' THEN 'UNKNOWN' WHEN stress = 'STRESSED' AND score < 65 THEN CASE verdict WHEN 'BULLISH' THEN 'NEUTRAL' ELSE 'BEARISH' END ELSE verdict END AS shown,
         CAST(CASE WHEN stress = 'STRESSED' AND score < 65 THEN 0.25 WHEN stress = 'UNKNOWN' AND base > 0.75 THEN 0.75 ELSE base END AS DOUBLE) AS exposure FROM b""")
 def decision_state(spark, sf):
@@ -124,7 +124,7 @@ def shadow_exposure(spark, sf):
 
 
 @query("reserve_states", "h_factor", """
-    SELECT CASE WHEN f >= 80 THEN 'ABUNDANT' WHEN f >= 60 THEN 'AMPLE' WHEN f >= 40 THEN 'ADEQUATE' WHEN f >= 20 THEN 'TIGHT' ELSE 'SCARCE' END AS state, CAST(count(*) AS BIGINT) AS n FROM h_factor GROUP BY 1""")
+    SELECT CASE WHEN f >= 80 THEN 'ABUNDANT' WHEN f >= 60 THEN 'AMPLE' WHEN f >= 40 THEN 'TRANSITION' WHEN f >= 20 THEN 'SCARCE' ELSE 'STRESSED' END AS state, CAST(count(*) AS BIGINT) AS n FROM h_factor GROUP BY 1""")
 def reserve_states(spark, sf):
     return h_factor(spark, sf).groupBy(C.reserve_state("f").alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -223,9 +223,11 @@ def csv_export(spark, sf):
     return K.csv_lines(rows, ["idx", "v", "a", "b"])
 
 
-@query("redacted_text", "", """
-    SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(text, '(?i)bearer\\s+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'g'),
-        '(?i)\\b(api[_-]?key|token|secret|password)(\\s*[=:]\\s*)\\S+', '\\1\\2[REDACTED]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '[EMAIL]', 'g'), 1, 512) AS redacted FROM documents""")
+_SQL = lambda p: p.replace("'", "''")
+
+
+@query("redacted_text", "", f"""
+    SELECT doc_id, substr(regexp_replace(regexp_replace(text, '{_SQL(S.SECRET)}', '\\1[REDACTED]', 'g'), '{_SQL(S.BEARER)}', 'Bearer [REDACTED]', 'g'), 1, 512) AS redacted FROM documents""")
 def redacted_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", S.redact("text").alias("redacted"))
 

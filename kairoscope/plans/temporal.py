@@ -20,11 +20,11 @@ KEY = ["series_id"]
     l AS (SELECT a.d, a.v - t.v - r.v AS level FROM a
         ASOF JOIN (SELECT d, v FROM h_obs WHERE series_id = '2-HIGH') t ON a.d >= t.d
         ASOF JOIN (SELECT d, v FROM h_obs WHERE series_id = '3-MEDIUM') r ON a.d >= r.d),
-    m AS (SELECT d, level, CASE WHEN count(*) OVER w = 13 THEN avg(level) OVER w END AS sma13, lag(level, 4) OVER (ORDER BY d) AS l4
+    m AS (SELECT d, level, CASE WHEN count(*) OVER w = 13 THEN avg(level) OVER w END AS sma13, lag(level, 4) OVER (ORDER BY d) AS l4, lag(level, 13) OVER (ORDER BY d) AS l13
         FROM l WINDOW w AS (ORDER BY d ROWS 12 PRECEDING)),
     s AS (SELECT *, CASE WHEN (level - sma13) / greatest(1, abs(sma13)) > 0.002 THEN 'UP'
               WHEN (level - sma13) / greatest(1, abs(sma13)) < -0.002 THEN 'DOWN' ELSE 'FLAT' END AS direction,
-          CASE WHEN sma13 IS NULL OR l4 IS NULL THEN 50 ELSE
+          CASE WHEN l13 IS NULL THEN 50 ELSE
               0.5 * (CASE WHEN level > sma13 THEN 60 ELSE 40 END)
               + 0.5 * greatest(0, least(100, (level - l4 + 200) / 400 * 100)) END AS score FROM m),
     b AS (SELECT *, CASE WHEN round(score, 6) > 55 THEN 'BULLISH' WHEN round(score, 6) < 45 THEN 'BEARISH' END AS band FROM s)
@@ -35,8 +35,8 @@ def net_liquidity_decision(spark, sf):
     pick = lambda df, s: df.where(F.col("series_id") == s).select("d", "v")
     rows = A.align(pick(week, "1-URGENT"), {"tga": pick(obs, "2-HIGH"), "rrp": pick(obs, "3-MEDIUM")})
     rows = rows.select("d", C.net_liquidity("v", "tga", "rrp").alias("level"))
-    rows = rows.withColumn("sma13", N.sma("level", 13, [])).withColumn("l4", N.lag("level", 4, []))
-    rows = rows.withColumn("direction", C.direction("level", "sma13")).withColumn("score", F.round(C.trend_score("level", "sma13", "l4"), 6))
+    rows = rows.withColumn("sma13", N.sma("level", 13, [])).withColumn("l4", N.lag("level", 4, [])).withColumn("l13", N.lag("level", 13, []))
+    rows = rows.withColumn("direction", C.direction("level", "sma13")).withColumn("score", F.round(C.trend_score("level", "sma13", "l4", "l13"), 6))
     return rows.select("d", r6("level", "level"), r6("sma13", "sma13"), "direction", "score", N.hysteresis(C.band("score"), []).alias("verdict"))
 
 
@@ -250,19 +250,22 @@ def challenger_track(spark, sf):
     )
 
 
-@query("challenger_score", "h_week", """
+MAD = "CASE WHEN len({0}) >= 52 THEN nullif(list_median(list_transform({0}, lambda x: abs(x - list_median({0})))), 0) END"
+
+
+@query("challenger_score", "h_week", f"""
     WITH i AS (SELECT *, v - lag(v, 4) OVER x AS i4, v - lag(v, 13) OVER x AS i13, CASE WHEN count(*) OVER y = 13 THEN v - avg(v) OVER y END AS gap
         FROM h_week WINDOW x AS (PARTITION BY series_id ORDER BY w), y AS (PARTITION BY series_id ORDER BY w ROWS 12 PRECEDING)),
-    p AS (SELECT *, list(v) OVER (PARTITION BY series_id ORDER BY w ROWS BETWEEN 156 PRECEDING AND 1 PRECEDING) AS past FROM i),
-    m AS (SELECT *, CASE WHEN len(past) >= 52 THEN nullif(list_median(list_transform(past, lambda x: abs(x - list_median(past)))), 0) END AS mad FROM p)
-    SELECT series_id, w, round(mad, 6) AS mad, round(100 / (1 + exp(-(0.45 * gap / mad + 0.35 * i4 / mad + 0.2 * i13 / mad))), 6) AS score FROM m""")
+    p AS (SELECT *, list(gap) FILTER (gap IS NOT NULL) OVER z AS gp, list(i4) FILTER (i4 IS NOT NULL) OVER z AS p4, list(i13) FILTER (i13 IS NOT NULL) OVER z AS p13 FROM i
+        WINDOW z AS (PARTITION BY series_id ORDER BY w ROWS BETWEEN 156 PRECEDING AND 1 PRECEDING)),
+    m AS (SELECT *, {MAD.format("gp")} AS mg, {MAD.format("p4")} AS m4, {MAD.format("p13")} AS m13 FROM p)
+    SELECT series_id, w, round(mg, 6) AS gap_mad, round(100 / (1 + exp(-(0.45 * gap / mg + 0.35 * i4 / m4 + 0.2 * i13 / m13))), 6) AS score FROM m""")
 def challenger_score(spark, sf):
     d = lambda n: F.col("v") - N.lag("v", n, KEY, "w")
-    rows = h_week(spark, sf).select(
-        "series_id", "w", d(4).alias("i4"), d(13).alias("i13"), (F.col("v") - N.sma("v", 13, KEY, "w")).alias("g"), N.prior_mad("v", KEY, on="w").alias("m")
-    )
-    part = lambda c: F.col(c) / F.col("m")
-    return rows.select("series_id", "w", r6("m", "mad"), r6(C.logistic_score(part("g"), part("i4"), part("i13")), "score"))
+    rows = h_week(spark, sf).select("series_id", "w", d(4).alias("i4"), d(13).alias("i13"), (F.col("v") - N.sma("v", 13, KEY, "w")).alias("g"))
+    rows = rows.select("*", *[N.prior_mad(c, KEY, on="w").alias(f"m_{c}") for c in ("g", "i4", "i13")])
+    part = lambda c: F.col(c) / F.col(f"m_{c}")
+    return rows.select("series_id", "w", r6("m_g", "gap_mad"), r6(C.logistic_score(part("g"), part("i4"), part("i13")), "score"))
 
 
 @query("expanding_share", "h_obs", """
