@@ -193,14 +193,16 @@ def near_duplicates(docs: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
     distinct = materialize(signed.groupBy("content").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "dart-distinct")
     pairs = materialize(candidate_pairs(distinct.select("id", "bands")), "dart-pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = full.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    # the ids grow with the corpus, so this join is a shuffle at every size
+    texts = full.join(wanted.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     texts = materialize(texts, "dart-texts")
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     verified = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _similarity(F.col("text_a"), F.col("text_b")).alias("j"))
-    # ids that several texts share are linked too: rows of one id are of one class
-    same_id = signed.select("doc_id", "content").distinct().join(distinct.select("content", "id"), "content").where("doc_id <> id")
-    twice = same_id.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1 and a <> b")
-    edges = materialize(verified.where(F.col("j") >= similar).select("a", "b").union(twice.select("a", "b")), "dart-links")
+    # rows of one id are of one class: the texts of an id are linked to its first one
+    held = signed.select("doc_id", "content").distinct().join(distinct.select("content", "id"), "content")
+    first = held.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("doc_id", "a")
+    twice = held.join(first, "doc_id").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    edges = materialize(verified.where(F.col("j") >= similar).select("a", "b").union(twice), "dart-links")
     labels = components(edges, "dart")
     links = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n_links"))
     classes = (
