@@ -89,7 +89,8 @@ def prior_mad(value, keys: list[str], rows: int = P.MAD_WEEKS, least: int = P.MA
     """Median absolute deviation of up to ``rows`` earlier values; null under ``least`` or at 0."""
     past = F.collect_list(value).over(W.partitionBy(*keys).orderBy(on).rowsBetween(-rows, -1))
     past = F.filter(past, lambda x: ~F.isnan(x))
-    mad = _middle(F.transform(past, lambda x: F.abs(x - _middle(past))))
+    # the centre is bound once, not sorted anew for each value
+    mad = F.element_at(F.transform(F.array(_middle(past)), lambda c: _middle(F.transform(past, lambda x: F.abs(x - c)))), 1)
     return F.when((F.size(past) >= least) & (mad > 0), mad)
 
 
