@@ -16,6 +16,12 @@ to ``SMALL`` texts gives all its pairs, a larger one the pairs of each text
 with four centres, so no group is expanded quadratically. Each pair is verified
 on the whole texts, and the links are closed to classes.
 
+A second round makes classes exact over all pairs that share a bucket. In a
+large bucket only pairs of different classes can still change a class, and one
+of the two is outside the bucket's largest class. Those pairs are formed unless
+they cannot be links: their weights differ too much, or, as 1 - similarity is a
+metric, their similarities to a centre do.
+
 Defined results: weights are the shingle counts; a text of one to four words is
 one shingle; null texts and texts without words are classes of their own;
 rows of one id are of one class; null ids have a null class.
@@ -39,6 +45,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 20, 5
 COORDS = BANDS * ROWS
 SMALL = 8
+#: Members of a part of a large bucket in the second round.
+PART = 4096
 FIRST_RANK = 1 / 128
 _NONE = np.iinfo(np.uint64).max
 _poisson: dict[float, np.ndarray] = {}
@@ -139,18 +147,22 @@ def _similarity(a: Column, b: Column) -> Column:
     return compare(a, b)
 
 
-def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """``signed``: id, bands. Distinct pairs a < b that share a band."""
-    spread = signed.select("id", F.posexplode("bands").alias("band", "h"))
+def bucket_members(signed: DataFrame) -> DataFrame:
+    """``signed``: id, total, bands. The members of buckets of two texts or more:
+    id, total, band, h, n (texts of the bucket), centres."""
+    spread = signed.select("id", "total", F.posexplode("bands").alias("band", "h"))
     centre = lambda k: F.min_by("id", F.xxhash64(F.lit(k), "id"))
     buckets = (
         spread.groupBy("band", "h")
-        .agg(F.count(F.lit(1)).alias("n"), F.array(F.min("id"), *[centre(k) for k in range(3)]).alias("centres"))
+        .agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(F.min("id"), *[centre(k) for k in range(3)])).alias("centres"))
         .where("n > 1")
     )
-    buckets = materialize(buckets, "dart-buckets")
-    members = spread.join(buckets, ["band", "h"])
-    large = members.where(F.col("n") > SMALL).select("id", F.explode(F.array_distinct("centres")).alias("other"))
+    return spread.join(materialize(buckets, "dart-buckets"), ["band", "h"])
+
+
+def candidate_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of the first round."""
+    large = members.where(F.col("n") > SMALL).select("id", F.explode("centres").alias("other"))
     small = (
         members.where(F.col("n") <= SMALL).groupBy("band", "h").agg(F.collect_set("id").alias("ids"))
         .select(F.explode("ids").alias("id"), "ids").select("id", F.explode("ids").alias("other"))
@@ -161,6 +173,39 @@ def candidate_pairs(signed: DataFrame) -> DataFrame:
     )
 
 
+def mixed_members(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of large buckets that hold several classes, with their class
+    and whether it is the largest of the bucket."""
+    classed = large.join(labels, "id", "left").withColumn("class", F.coalesce("label", "id")).drop("label")
+    mixed = classed.groupBy("band", "h").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band", "h")
+    sizes = classed.join(mixed, ["band", "h"], "left_semi").groupBy("band", "h", "class").agg(F.count(F.lit(1)).alias("k"))
+    largest = sizes.groupBy("band", "h").agg(F.max_by("class", F.struct("k", "class")).alias("largest"))
+    return classed.join(largest, ["band", "h"]).withColumn("most", F.col("class") == F.col("largest")).drop("largest")
+
+
+def cross_pairs(mixed: DataFrame, verified: DataFrame, similar: float) -> DataFrame:
+    """Pairs a < b of different classes in one bucket of ``mixed`` that may be
+    links and are not in ``verified`` (a, b, j: all pairs with centres).
+
+    A bucket is cut to parts of about ``PART`` members, so that a hot one spreads.
+    """
+    key = [F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")]
+    spread = mixed.select("band", "h", "id", F.explode("centres").alias("centre"))
+    near = spread.select("*", *key).join(verified, ["a", "b"], "left")
+    near = near.groupBy("band", "h", "id").agg(F.array_sort(F.collect_set(F.struct("centre", F.coalesce("j", F.lit(1.0)).alias("j")))).alias("near"))
+    mixed = mixed.join(near, ["band", "h", "id"]).withColumn("parts", F.ceil(F.col("n") / PART))
+    one = mixed.where(~F.col("most")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    every = mixed.withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    cols = lambda df, x: df.select("band", "h", "part", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "class", "total", "most", "near")])
+    joined = cols(one, "x").join(cols(every, "y"), ["band", "h", "part"]).where("x_class <> y_class and (y_most or x_id < y_id)")
+    weights = F.least("x_total", "y_total") >= F.greatest("x_total", "y_total") * (similar - 1e-9)
+    apart = F.exists(F.zip_with("x_near", "y_near", lambda p, q: F.abs(p["j"] - q["j"])), lambda d: d > 1 - similar + 1e-9)
+    return (
+        joined.where(weights & ~apart).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+        .join(verified, ["a", "b"], "left_anti")
+    )
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """``edges``: a, b. Returns id and label, the least id of its component.
 
@@ -189,21 +234,31 @@ def near_duplicates(docs: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
     has_words = F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
     full = docs.where(has_words)
     signed = full.select("doc_id", F.md5(F.col("text").cast("binary")).alias("content"), _sign(F.col("text")).alias("s"))
-    signed = materialize(signed.select("doc_id", "content", "s.bands"), "dart-signed")
-    distinct = materialize(signed.groupBy("content").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "dart-distinct")
-    pairs = materialize(candidate_pairs(distinct.select("id", "bands")), "dart-pairs")
+    signed = materialize(signed.select("doc_id", "content", "s.total", "s.bands"), "dart-signed")
+    distinct = signed.groupBy("content").agg(F.min("doc_id").alias("id"), F.first("total").alias("total"), F.first("bands").alias("bands"))
+    distinct = materialize(distinct, "dart-distinct")
+    members = bucket_members(distinct.select("id", "total", "bands"))
+    pairs = materialize(candidate_pairs(members), "dart-pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     # the ids grow with the corpus, so this join is a shuffle at every size
     texts = full.join(wanted.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     texts = materialize(texts, "dart-texts")
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    verified = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _similarity(F.col("text_a"), F.col("text_b")).alias("j"))
+    compare = lambda p: p.join(side("a"), "a").join(side("b"), "b").select("a", "b", _similarity(F.col("text_a"), F.col("text_b")).alias("j"))
+    verified = materialize(compare(pairs), "dart-verified")
     # rows of one id are of one class: the texts of an id are linked to its first one
     held = signed.select("doc_id", "content").distinct().join(distinct.select("content", "id"), "content")
     first = held.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("doc_id", "a")
     twice = held.join(first, "doc_id").where("a <> id").select("a", F.col("id").alias("b")).distinct()
     edges = materialize(verified.where(F.col("j") >= similar).select("a", "b").union(twice), "dart-links")
     labels = components(edges, "dart")
+    mixed = materialize(mixed_members(members.where(F.col("n") > SMALL), labels), "dart-mixed")
+    if not mixed.isEmpty():
+        more = compare(materialize(cross_pairs(mixed, verified, similar), "dart-cross")).where(F.col("j") >= similar)
+        more = materialize(more.select("a", "b"), "dart-more")
+        if not more.isEmpty():
+            edges = edges.union(more)
+            labels = components(edges, "dart")
     links = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n_links"))
     classes = (
         distinct.select("content", "id").join(labels, "id", "left").join(links, "id", "left")

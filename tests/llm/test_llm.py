@@ -165,6 +165,41 @@ def test_near_duplicates_are_found(spark):
     assert got == brute_classes(rows)
 
 
+def test_links_away_from_the_centres_are_found(spark, monkeypatch):
+    """One bucket of everything: the second round forms every pair that a link of two classes needs."""
+    monkeypatch.setattr(dart_minhash, "PART", 7)
+    rng, rows = random.Random(12), []
+    for base in texts(3, 51, 60):
+        words = base.split()
+        for _ in range(12):  # a chain: each text is like the next, few are like a centre
+            rows.append((len(rows), " ".join(words)))
+            words[rng.randrange(60)] = f"w{rng.random()}"
+    weight = {i: max(1, len(t.split()) - 4) for i, t in rows}
+    centres = [0, 5, 17, 30]
+    near = [(min(i, c), max(i, c)) for c in centres for i, _ in rows if i != c]
+    scored = sorted({(a, b, jaccard(rows[a][1], rows[b][1])) for a, b in near})
+    label = {i: i for i, _ in rows}
+    for a, b, j in scored:
+        if j >= 0.8:
+            lo, hi = sorted((label[a], label[b]))
+            label = {i: lo if c == hi else c for i, c in label.items()}
+    verified = spark.createDataFrame(scored, "a long, b long, j double")
+    large = spark.createDataFrame([(i, weight[i], 0, 1, len(rows), centres) for i, _ in rows], "id long, total long, band int, h long, n long, centres array<long>")
+    labels = spark.createDataFrame(list(label.items()), "id long, label long")
+    mixed = dart_minhash.mixed_members(large, labels)
+    got = {(r.a, r.b) for r in dart_minhash.cross_pairs(mixed, verified, 0.8).collect()}
+    links = {(i, k) for k, u in rows for i, t in rows[:k] if label[i] != label[k] and jaccard(t, u) >= 0.8}
+    assert links and links <= got and len(got) < sum(label[i] != label[k] for k, _ in rows for i, _ in rows[:k])
+    assert dart_minhash.mixed_members(large, labels.withColumn("label", F.lit(0).cast("long"))).count() == 0
+
+
+def test_large_buckets_give_exact_classes(spark, monkeypatch):
+    monkeypatch.setattr(dart_minhash, "SMALL", 1)
+    rows = near_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(df).collect()} == brute_classes(rows)
+
+
 def test_no_documents_no_classes(none):
     assert dart_minhash.near_duplicates(none).count() == 0
 
