@@ -11,11 +11,16 @@ ones meet, and each bin is sorted by the difference-cover algorithm.
    windows of one anchor in a row form a run; only runs of repeated anchors stay.
 2. Runs of equal bytes are collapsed. If they stand in several places, all their
    windows are repeated.
-3. Runs that share an anchor but differ go to one bin, and the bin's suffix array
+3. An anchor with many different runs (more than ``HOT_BYTES`` of them) is split:
+   each run is cut by the anchor's place in the window into 2, 4, ... 256 cells, and
+   the cell's windows are keyed by the bytes that all of them hold. Equal windows
+   keep equal keys, keys that occur once are dropped, and cells of one place hold
+   nothing but equal windows, so every group ends small.
+4. Runs that share a key but differ go to one bin, and the bin's suffix array
    is built by DC3 (mod-3 difference cover): sample triples are sorted and named,
    names that tie are sorted by recursion, the remaining suffixes are merged in,
    and neighbours in the array are compared over 400 bytes.
-4. The bytes that repeated windows cover are removed from each document.
+5. The bytes that repeated windows cover are removed from each document.
 
 Whole texts that several rows share are removed without any of this, and count
 as one text for the others.
@@ -42,6 +47,8 @@ LENGTH = 400
 GRAM = 200
 #: Bytes of runs in a bin.
 BIN_BYTES = 1 << 20
+#: A group of runs of more bytes is split before it goes to a bin.
+HOT_BYTES = 1 << 20
 #: A text is looked at in pieces of so many bytes, which overlap by a window.
 PIECE = 1 << 19
 _PLACE = U((1 << 20) - 1)
@@ -153,6 +160,32 @@ def _runs(raw: bytes, shift: int):
     return gram[anchor[first]].view(np.int64), body.view(np.int64), first + shift, count
 
 
+def split_run(raw: bytes, g: int, s: int, n: int, p: int, level: int) -> list[tuple[int, int, int, int, int]]:
+    """The run of ``n`` windows from ``s`` on cut into the 2**level cells of the
+    anchor's place in a window: key, body, s, n, p of each. ``p`` is where the
+    anchor is in ``raw``, or -1 if its gram hash ``g`` is yet to be found."""
+    if p < 0:
+        near = np.frombuffer(raw, np.uint8, LENGTH, s)
+        up, down = powers(LENGTH + 1)
+        total = np.concatenate([np.zeros(1, U), np.cumsum((near.astype(U) + U(1)) * up[:LENGTH], dtype=U)])
+        gram = mix((total[GRAM:] - total[:-GRAM]) * down[: LENGTH - GRAM + 1])
+        p = s + int(np.flatnonzero(gram.view(np.int64) == g)[0])
+    width, out = 256 >> level, []
+    last = p - s  # the anchor's place in the first window; it falls by one with each
+    while n > 0:
+        low = last // width * width
+        high = min(low + width - 1, LENGTH - GRAM)
+        k = min(n, last - low + 1)
+        key = b"%d,%d," % (level, low) + raw[p - low : p + LENGTH - high]
+        out.append((_hash(key), _hash(b"%d," % k + raw[s : s + k + LENGTH - 1]), s, k, p))
+        s, n, last = s + k, n - k, last - k
+    return out
+
+
+def _hash(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+
+
 def ranges(starts: np.ndarray) -> list[dict]:
     """Windows in a row as (from, to), to exclusive."""
     if not len(starts):
@@ -199,6 +232,45 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             })
 
 
+def _splitter(level: int):
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content, text, wanted in zip(batch["content"], batch["text"], batch["wanted"], strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                rows = [x for w in wanted for x in split_run(raw, w["g"], w["s"], w["n"], w["p"], level)]
+                yield pd.DataFrame(rows, columns=["g", "b", "s", "n", "p"]).assign(content=content)[["content", "g", "b", "s", "n", "p"]]
+
+    return split
+
+
+def _repeated(flat: DataFrame) -> DataFrame:
+    """The runs whose key stands in several places."""
+    place = F.xxhash64("content", "s")
+    repeated = flat.groupBy("g").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("g")
+    return flat.join(repeated, "g", "left_semi").distinct()
+
+
+def _bodies(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("g", "b").agg(F.min(F.struct("content", "s", "n")).alias("one"), F.count(F.lit(1)).alias("places"))
+
+
+def split_hot(docs: DataFrame, runs: DataFrame, bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``runs`` and ``bodies`` with every group of more than HOT_BYTES split."""
+    runs = runs.withColumn("p", F.lit(-1))
+    for level in range(1, 9):
+        hot = bodies.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("one.n").cast("long") + LENGTH).alias("size"))
+        hot = materialize(hot.where((F.col("k") > 1) & (F.col("size") > HOT_BYTES)).select("g"), "suffix-hot")
+        if hot.isEmpty():
+            break
+        wanted = runs.join(hot, "g", "left_semi").groupBy("content").agg(F.collect_list(F.struct("g", "s", "n", "p")).alias("wanted"))
+        cells = docs.join(wanted, "content").select("content", "text", "wanted")
+        cells = cells.mapInPandas(_splitter(level), "content string, g long, b long, s int, n int, p int")
+        cells = materialize(_repeated(materialize(cells, "suffix-cells")), "suffix-repeated")
+        runs = runs.join(hot, "g", "left_anti").select("content", "g", "b", "s", "n", "p").unionByName(cells)
+        bodies = bodies.join(hot, "g", "left_anti").unionByName(materialize(_bodies(cells), "suffix-bodies"))
+    return runs.drop("p"), bodies
+
+
 def _sort_bin(bin_: pd.DataFrame) -> pd.DataFrame:
     hits = repeated_starts(list(bin_["run"]))
     return pd.DataFrame({"g": bin_["g"], "b": bin_["b"], "windows": [ranges(h) for h in hits]})
@@ -208,12 +280,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """``docs``: doc_id, text, content (distinct by text). Returns content and
     windows, the ranges of starts of repeated windows."""
     flat = _flat_runs(docs)
-    place = F.xxhash64("content", "s")
-    repeated = flat.groupBy("g").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("g")
-    runs = materialize(flat.join(repeated, "g", "left_semi").distinct(), "suffix-repeated")
-    bodies = materialize(
-        runs.groupBy("g", "b").agg(F.min(F.struct("content", "s", "n")).alias("one"), F.count(F.lit(1)).alias("places")), "suffix-bodies"
-    )
+    runs = materialize(_repeated(flat), "suffix-repeated")
+    runs, bodies = split_hot(docs, runs, materialize(_bodies(runs), "suffix-bodies"))
     several = bodies.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g")
     sought = bodies.join(several, "g", "left_semi").select("g", "b", "one.*")
     total = sought.agg(F.coalesce(F.sum(F.col("n") + LENGTH), F.lit(0))).first()[0]

@@ -268,6 +268,28 @@ def test_repeats_are_removed(spark, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("hot_bytes", [0, 2500])
+def test_hot_anchors_are_split(spark, monkeypatch, hot_bytes):
+    """One passage in many surroundings that are partly shared themselves."""
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot_bytes)
+    passage, other = texts(2, 61, 40)
+    around = texts(40, 62, 40)
+    rows = [around[i % 7] + passage[:230] + around[i % 11] for i in range(30)] + [around[i] + passage[:230] + other for i in range(40)]
+    rows += ["ab" * 300 + around[3], around[4] + "ab" * 300, around[5] + "ab" * 260 + "c", *repeat_rows()]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.removed), len(r.removed), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == [(i, *x) for i, x in enumerate(brute_repeats(rows))]
+
+
+def test_cells_of_a_run_cover_it():
+    raw = texts(1, 63, 400)[0].encode()
+    for g, _, s, n in zip(*suffix_dedup.anchored_runs(raw), strict=True):
+        for level in range(1, 9):
+            cells = suffix_dedup.split_run(raw, int(g), int(s), int(n), -1, level)
+            assert [w for c in cells for w in range(c[2], c[2] + c[3])] == list(range(s, s + n))
+            assert max(c[3] for c in cells) <= 256 >> level
+
+
 # ---------------------------------------------------------------- PII
 
 
