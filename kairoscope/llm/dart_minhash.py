@@ -19,8 +19,10 @@ on the whole texts, and the links are closed to classes.
 A second round makes classes exact over all pairs that share a bucket. In a
 large bucket only pairs of different classes can still change a class, and one
 of the two is outside the bucket's largest class. Those pairs are formed unless
-they cannot be links: their weights differ too much, or, as 1 - similarity is a
-metric, their similarities to a centre do.
+they cannot be links. The shingles that a text has in common with no other text
+of such buckets bound its similarity to any of them, which drops most texts
+before pairs are formed, and the similarity of a pair; and as 1 - similarity is
+a metric, two texts whose similarities to a centre differ too much are no link.
 
 Defined results: weights are the shingle counts; a text of one to four words is
 one shingle; null texts and texts without words are classes of their own;
@@ -148,9 +150,9 @@ def _similarity(a: Column, b: Column) -> Column:
 
 
 def bucket_members(signed: DataFrame) -> DataFrame:
-    """``signed``: id, total, bands. The members of buckets of two texts or more:
-    id, total, band, h, n (texts of the bucket), centres."""
-    spread = signed.select("id", "total", F.posexplode("bands").alias("band", "h"))
+    """``signed``: id, bands. The members of buckets of two texts or more: id,
+    band, h, n (texts of the bucket), centres."""
+    spread = signed.select("id", F.posexplode("bands").alias("band", "h"))
     centre = lambda k: F.min_by("id", F.xxhash64(F.lit(k), "id"))
     buckets = (
         spread.groupBy("band", "h")
@@ -183,12 +185,35 @@ def mixed_members(large: DataFrame, labels: DataFrame) -> DataFrame:
     return classed.join(largest, ["band", "h"]).withColumn("most", F.col("class") == F.col("largest")).drop("largest")
 
 
+def shared_weights(texts: DataFrame) -> DataFrame:
+    """``texts``: id (distinct), text. Returns id, total (weight of the text) and
+    shared (weight of its shingles that another of the texts has too)."""
+
+    @F.pandas_udf("array<struct<e:long,c:long>>")
+    def elements(part: pd.Series) -> pd.Series:
+        texts, out = [t.encode("utf-8", "surrogatepass") for t in part], []
+        for s, e in batches(texts):
+            keys, counts = shingles(texts[s:e], SHINGLE)
+            at = np.searchsorted(keys >> U(BITS), np.arange(e - s + 1).astype(U))
+            hashes = (keys & MASK).astype(np.int64)
+            out += [[{"e": x, "c": c} for x, c in zip(hashes[a:b].tolist(), counts[a:b].tolist(), strict=True)] for a, b in zip(at[:-1], at[1:], strict=True)]
+        return pd.Series(out, dtype=object)
+
+    flat = texts.select("id", F.inline(elements("text")))
+    solo = flat.groupBy("e").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id"), F.min("c").alias("c")).where("k = 1")
+    solo = solo.groupBy("id").agg(F.sum("c").alias("solo"))
+    total = flat.groupBy("id").agg(F.sum("c").alias("total"))
+    return total.join(solo, "id", "left").select("id", "total", (F.col("total") - F.coalesce("solo", F.lit(0))).alias("shared"))
+
+
 def cross_pairs(mixed: DataFrame, verified: DataFrame, similar: float) -> DataFrame:
     """Pairs a < b of different classes in one bucket of ``mixed`` that may be
-    links and are not in ``verified`` (a, b, j: all pairs with centres).
+    links and are not in ``verified`` (a, b, j: all pairs with centres). ``mixed``
+    has total and shared of each member.
 
     A bucket is cut to parts of about ``PART`` members, so that a hot one spreads.
     """
+    mixed = mixed.where(F.col("shared") >= F.col("total") * similar - 1e-6)  # the others have no link here
     key = [F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")]
     spread = mixed.select("band", "h", "id", F.explode("centres").alias("centre"))
     near = spread.select("*", *key).join(verified, ["a", "b"], "left")
@@ -196,9 +221,10 @@ def cross_pairs(mixed: DataFrame, verified: DataFrame, similar: float) -> DataFr
     mixed = mixed.join(near, ["band", "h", "id"]).withColumn("parts", F.ceil(F.col("n") / PART))
     one = mixed.where(~F.col("most")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     every = mixed.withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
-    cols = lambda df, x: df.select("band", "h", "part", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "class", "total", "most", "near")])
+    cols = lambda df, x: df.select("band", "h", "part", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "class", "total", "shared", "most", "near")])
     joined = cols(one, "x").join(cols(every, "y"), ["band", "h", "part"]).where("x_class <> y_class and (y_most or x_id < y_id)")
-    weights = F.least("x_total", "y_total") >= F.greatest("x_total", "y_total") * (similar - 1e-9)
+    both = F.least("x_shared", "y_shared")
+    weights = both >= (F.col("x_total") + F.col("y_total") - both) * similar - 1e-6
     apart = F.exists(F.zip_with("x_near", "y_near", lambda p, q: F.abs(p["j"] - q["j"])), lambda d: d > 1 - similar + 1e-9)
     return (
         joined.where(weights & ~apart).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
@@ -234,10 +260,10 @@ def near_duplicates(docs: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
     has_words = F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
     full = docs.where(has_words)
     signed = full.select("doc_id", F.md5(F.col("text").cast("binary")).alias("content"), _sign(F.col("text")).alias("s"))
-    signed = materialize(signed.select("doc_id", "content", "s.total", "s.bands"), "dart-signed")
-    distinct = signed.groupBy("content").agg(F.min("doc_id").alias("id"), F.first("total").alias("total"), F.first("bands").alias("bands"))
+    signed = materialize(signed.select("doc_id", "content", "s.bands"), "dart-signed")
+    distinct = signed.groupBy("content").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     distinct = materialize(distinct, "dart-distinct")
-    members = bucket_members(distinct.select("id", "total", "bands"))
+    members = bucket_members(distinct.select("id", "bands"))
     pairs = materialize(candidate_pairs(members), "dart-pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     # the ids grow with the corpus, so this join is a shuffle at every size
@@ -254,6 +280,9 @@ def near_duplicates(docs: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
     labels = components(edges, "dart")
     mixed = materialize(mixed_members(members.where(F.col("n") > SMALL), labels), "dart-mixed")
     if not mixed.isEmpty():
+        ids = mixed.select("id").distinct()
+        weights = materialize(shared_weights(texts.select(F.col("doc_id").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")), "dart-weights")
+        mixed = mixed.join(weights, "id")
         more = compare(materialize(cross_pairs(mixed, verified, similar), "dart-cross")).where(F.col("j") >= similar)
         more = materialize(more.select("a", "b"), "dart-more")
         if not more.isEmpty():

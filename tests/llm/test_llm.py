@@ -174,7 +174,6 @@ def test_links_away_from_the_centres_are_found(spark, monkeypatch):
         for _ in range(12):  # a chain: each text is like the next, few are like a centre
             rows.append((len(rows), " ".join(words)))
             words[rng.randrange(60)] = f"w{rng.random()}"
-    weight = {i: max(1, len(t.split()) - 4) for i, t in rows}
     centres = [0, 5, 17, 30]
     near = [(min(i, c), max(i, c)) for c in centres for i, _ in rows if i != c]
     scored = sorted({(a, b, jaccard(rows[a][1], rows[b][1])) for a, b in near})
@@ -184,9 +183,13 @@ def test_links_away_from_the_centres_are_found(spark, monkeypatch):
             lo, hi = sorted((label[a], label[b]))
             label = {i: lo if c == hi else c for i, c in label.items()}
     verified = spark.createDataFrame(scored, "a long, b long, j double")
-    large = spark.createDataFrame([(i, weight[i], 0, 1, len(rows), centres) for i, _ in rows], "id long, total long, band int, h long, n long, centres array<long>")
+    large = spark.createDataFrame([(i, 0, 1, len(rows), centres) for i, _ in rows], "id long, band int, h long, n long, centres array<long>")
     labels = spark.createDataFrame(list(label.items()), "id long, label long")
-    mixed = dart_minhash.mixed_members(large, labels)
+    weights = dart_minhash.shared_weights(spark.createDataFrame(rows, "id long, text string"))
+    bags = [collections.Counter(tuple(t.split()[i : i + 5]) for i in range(56)) for _, t in rows]
+    held = collections.Counter(s for b in bags for s in b)
+    assert {(r.id, r.total, r.shared) for r in weights.collect()} == {(i, 56, sum(c for s, c in b.items() if held[s] > 1)) for i, b in enumerate(bags)}
+    mixed = dart_minhash.mixed_members(large, labels).join(weights, "id")
     got = {(r.a, r.b) for r in dart_minhash.cross_pairs(mixed, verified, 0.8).collect()}
     links = {(i, k) for k, u in rows for i, t in rows[:k] if label[i] != label[k] and jaccard(t, u) >= 0.8}
     assert links and links <= got and len(got) < sum(label[i] != label[k] for k, _ in rows for i, _ in rows[:k])
