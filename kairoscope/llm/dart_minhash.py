@@ -21,7 +21,8 @@ large bucket only pairs of different classes can still change a class, and one
 of the two is outside the bucket's largest class. Those pairs are formed unless
 they cannot be links. The shingles that a text has in common with no other text
 of such buckets bound its similarity to any of them, which drops most texts
-before pairs are formed, and the similarity of a pair; and as 1 - similarity is
+before pairs are formed, and the similarity of a pair; so do the counts of
+shingles by hash, which overlap at least as much as the texts; and as 1 - similarity is
 a metric, two texts whose similarities to a centre differ too much are no link.
 
 Defined results: weights are the shingle counts; a text of one to four words is
@@ -49,6 +50,8 @@ COORDS = BANDS * ROWS
 SMALL = 8
 #: Members of a part of a large bucket in the second round.
 PART = 4096
+#: Counters of shingles by hash in the sketch that bounds a pair's overlap.
+BINS = 128
 FIRST_RANK = 1 / 128
 _NONE = np.iinfo(np.uint64).max
 _poisson: dict[float, np.ndarray] = {}
@@ -186,30 +189,33 @@ def mixed_members(large: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def shared_weights(texts: DataFrame) -> DataFrame:
-    """``texts``: id (distinct), text. Returns id, total (weight of the text) and
-    shared (weight of its shingles that another of the texts has too)."""
+    """``texts``: id (distinct), text. Returns id, total (weight of the text),
+    shared (weight of its shingles that another of the texts has too) and bins
+    (weight of its shingles by hash)."""
 
-    @F.pandas_udf("array<struct<e:long,c:long>>")
-    def elements(part: pd.Series) -> pd.Series:
+    @F.pandas_udf("es array<long>, cs array<long>, total long, bins array<int>")
+    def elements(part: pd.Series) -> pd.DataFrame:
         texts, out = [t.encode("utf-8", "surrogatepass") for t in part], []
         for s, e in batches(texts):
             keys, counts = shingles(texts[s:e], SHINGLE)
             at = np.searchsorted(keys >> U(BITS), np.arange(e - s + 1).astype(U))
             hashes = (keys & MASK).astype(np.int64)
-            out += [[{"e": x, "c": c} for x, c in zip(hashes[a:b].tolist(), counts[a:b].tolist(), strict=True)] for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pd.Series(out, dtype=object)
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                bins = np.bincount(hashes[a:b] % BINS, counts[a:b], BINS).astype(np.int32)
+                out.append((hashes[a:b], counts[a:b], int(counts[a:b].sum()), bins))
+        return pd.DataFrame(out, columns=["es", "cs", "total", "bins"])
 
-    flat = texts.select("id", F.inline(elements("text")))
+    found = materialize(texts.select("id", elements("text").alias("s")).select("id", "s.*"), "dart-elements")
+    flat = found.select("id", F.inline(F.arrays_zip("es", "cs"))).withColumnsRenamed({"es": "e", "cs": "c"})
     solo = flat.groupBy("e").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id"), F.min("c").alias("c")).where("k = 1")
     solo = solo.groupBy("id").agg(F.sum("c").alias("solo"))
-    total = flat.groupBy("id").agg(F.sum("c").alias("total"))
-    return total.join(solo, "id", "left").select("id", "total", (F.col("total") - F.coalesce("solo", F.lit(0))).alias("shared"))
+    return found.join(solo, "id", "left").select("id", "total", (F.col("total") - F.coalesce("solo", F.lit(0))).alias("shared"), "bins")
 
 
 def cross_pairs(mixed: DataFrame, verified: DataFrame, similar: float) -> DataFrame:
     """Pairs a < b of different classes in one bucket of ``mixed`` that may be
     links and are not in ``verified`` (a, b, j: all pairs with centres). ``mixed``
-    has total and shared of each member.
+    has total, shared and bins of each member.
 
     A bucket is cut to parts of about ``PART`` members, so that a hot one spreads.
     """
@@ -221,13 +227,16 @@ def cross_pairs(mixed: DataFrame, verified: DataFrame, similar: float) -> DataFr
     mixed = mixed.join(near, ["band", "h", "id"]).withColumn("parts", F.ceil(F.col("n") / PART))
     one = mixed.where(~F.col("most")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     every = mixed.withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
-    cols = lambda df, x: df.select("band", "h", "part", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "class", "total", "shared", "most", "near")])
+    cols = lambda df, x: df.select("band", "h", "part", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "class", "total", "shared", "bins", "most", "near")])
     joined = cols(one, "x").join(cols(every, "y"), ["band", "h", "part"]).where("x_class <> y_class and (y_most or x_id < y_id)")
     both = F.least("x_shared", "y_shared")
-    weights = both >= (F.col("x_total") + F.col("y_total") - both) * similar - 1e-6
+    every_weight = F.col("x_total") + F.col("y_total")
+    weights = both >= (every_weight - both) * similar - 1e-6
+    overlap = F.aggregate(F.zip_with("x_bins", "y_bins", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda n, k: n + k)
+    alike = overlap * (1 + similar) >= every_weight * similar - 1e-6
     apart = F.exists(F.zip_with("x_near", "y_near", lambda p, q: F.abs(p["j"] - q["j"])), lambda d: d > 1 - similar + 1e-9)
     return (
-        joined.where(weights & ~apart).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+        joined.where(weights & ~apart & alike).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
         .join(verified, ["a", "b"], "left_anti")
     )
 
