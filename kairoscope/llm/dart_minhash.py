@@ -262,6 +262,21 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+def merge_classes(labels: DataFrame, more: DataFrame, name: str) -> DataFrame:
+    """``labels`` (id, label) after the further links ``more`` (a, b). Only the
+    links between classes are followed, not those inside them."""
+    classed = more
+    for end in ("a", "b"):
+        known = labels.select(F.col("id").alias(end), F.col("label").alias(f"class_{end}"))
+        classed = classed.join(known, end, "left").withColumn(f"class_{end}", F.coalesce(f"class_{end}", end))
+    classed = materialize(classed, f"{name}-classed")
+    merged = components(classed.where("class_a <> class_b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")), f"{name}-classes")
+    ends = classed.select(F.col("a").alias("id"), F.col("class_a").alias("label")).union(classed.select("b", "class_b"))
+    every = labels.union(ends).distinct()
+    to = merged.select(F.col("id").alias("label"), F.col("label").alias("to"))
+    return materialize(every.join(to, "label", "left").select("id", F.coalesce("to", "label").alias("label")), f"{name}-labels")
+
+
 def near_duplicates(docs: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id (least id of the class), n_links (verified pairs of the
     text), one row for each row of ``docs`` (doc_id, text)."""
@@ -296,7 +311,7 @@ def near_duplicates(docs: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
         more = materialize(more.select("a", "b"), "dart-more")
         if not more.isEmpty():
             edges = edges.union(more)
-            labels = components(edges, "dart")
+            labels = merge_classes(labels, more, "dart")
     links = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n_links"))
     classes = (
         distinct.select("content", "id").join(labels, "id", "left").join(links, "id", "left")
