@@ -5,7 +5,8 @@ The patterns give the base spans. A CRF over the tokens that hold a digit or an
 tokens with the same or similar digits share a skip potential, so that a number
 recognised in one place is recognised wherever else the document repeats it.
 Labels of base spans are observed; marginals of the other tokens come from
-loopy belief propagation. All documents of a batch are one graph of separate
+loopy belief propagation over every document that has a token outside base
+spans, with or without an observed one. All documents of a batch are one graph of separate
 parts, in numpy arrays.
 
 Weights are learned piecewise from base spans of ``SAMPLE`` documents at most
@@ -247,7 +248,7 @@ def find(model: SkipChain | None, texts: list[str | None]) -> list[tuple[list[Sp
     work = [(i, t, Document(t)) for i, t in enumerate(texts) if isinstance(t, str) and _ANY.search(t)]
     for i, _, d in work:
         out[i] = (d.base, d.base)
-    open_ = [(i, t, d) for i, t, d in work if d.tokens and not d.known.all() and d.known.any()]
+    open_ = [(i, t, d) for i, t, d in work if d.tokens and not d.known.all()]
     if model is None or not open_:
         return out
     p = model.marginals([d for _, _, d in open_])

@@ -330,6 +330,21 @@ def test_distant_repeats_are_labelled(spark, none):
     assert pii.detect(none.select("doc_id", "text"), pii.train(none)).count() == 0
 
 
+def pii_model():
+    cards = [f"pay 4111 1111 1111 1111 now {w}" for w in texts(30, 2, 20)]
+    phones = [f"call +1 (555) 123-45{k:02d} soon {w}" for k, w in enumerate(texts(40, 3, 20))]
+    return pii.SkipChain.fit(cards + phones + [f"item {k} of 12 in 2024 {w}" for k, w in enumerate(texts(40, 4, 20))])
+
+
+def test_numbers_are_found_in_documents_without_base_spans():
+    model, words = pii_model(), texts(1, 5, 20)[0]
+    alone, beside = f"call (555) 867-5309 soon {words}", f"mail a@b.co or call (555) 867-5309 soon {words}"
+    for text in (alone, beside):
+        base, spans = pii.find(model, [text])[0]
+        assert [text[s:e] for k, s, e in spans if (k, s, e) not in base] == ["(555) 867-5309"]
+    assert pii.find(model, [f"item 3 of 12 in 2024 {words}"]) == [([], [])]
+
+
 # ---------------------------------------------------------------- WARC
 
 
