@@ -345,6 +345,23 @@ def test_numbers_are_found_in_documents_without_base_spans():
     assert pii.find(model, [f"item 3 of 12 in 2024 {words}"]) == [([], [])]
 
 
+def test_repeats_are_labelled_at_any_distance():
+    model = pii_model()
+    for form, shown in (("555.867.5309", True), ("5558675309", False)):
+        for n in (1, 50):
+            text = "call +1 (555) 867-5309 today. " + " ".join(f"{w} again {form} there" for w in texts(n, 5, 6))
+            d = pii.Document(text)
+            p = model.marginals([d])[d.known == 0]
+            if n == 1:
+                alone = p[0]
+            assert len(p) == n and np.allclose(p, alone, atol=1e-3)
+            assert len(pii.find(model, [text])[0][1]) == 1 + n * shown
+    # messages of a row of tokens reach its end, and do not depend on the other documents
+    row = pii.Document("+1 (555) 867-5309 " + "555-1234 " * 60)
+    many = [row, pii.Document("item 3 of 12 in 2024"), pii.Document("call (555) 867-5309 or 555.867.5309 or (555)8675309")]
+    assert np.allclose(model.marginals(many), np.concatenate([model.marginals([d]) for d in many]), atol=1e-9)
+
+
 # ---------------------------------------------------------------- WARC
 
 
