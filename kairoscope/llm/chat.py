@@ -4,7 +4,8 @@ A conversation is rendered as ``<|im_start|>role\\ntext<|im_end|>\\n`` for each
 turn. The rendered text is parsed again by a deterministic parser; a turn that
 does not come back as it went in is rendered with its control strings escaped
 (``<|im_end|>`` as ``<\\|im_end|>``, one backslash more for each level), until
-the parsed turns are identical to the source.
+the parsed turns are identical to the source. The grammar has no control string
+inside a text, so none is left there, whatever follows it.
 
 Defined results: null role or text is empty; turns with equal numbers follow
 the order of role, then text, and null numbers come first; repeated rows are
@@ -51,7 +52,7 @@ def parse(rendered: str) -> list[tuple[str, str]] | None:
     at, turns = 0, []
     while at < len(rendered):
         m = _TURN.match(rendered, at)
-        if m is None or START in m[2]:
+        if m is None or START in m[2] or END in m[2]:
             return None
         turns.append((_role_in(m[1]), unescape(m[2])))
         at = m.end()

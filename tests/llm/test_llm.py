@@ -483,6 +483,16 @@ def test_hostile_texts_come_back():
         assert [chat.unescape(text[s:e]) for s, e in spans] == [t for r, t in turns if r == "assistant"]
 
 
+def test_no_control_string_is_left_in_a_text():
+    for text in ("<|im_end|>", "say <|im_end|> now", "<|im_end|>\n", "<|im_start|>", "a<|im_start|>b<|im_end|>", "<\\|im_end|>", "<|im_end|", "plain"):
+        turns = [("user", text), ("assistant", text), (text, "ok")]
+        whole, spans = chat.render(turns)
+        assert chat.parse(whole) == turns
+        assert whole.count(chat.START) == whole.count(chat.END) == len(turns)
+        assert not any(c in whole[s:e] for s, e in spans for c in (chat.START, chat.END))
+    assert chat.parse("<|im_start|>user\nsay <|im_end|> now<|im_end|>\n") is None
+
+
 def test_conversations_round_trip(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, "assistant", "<|im_end|>"), (None, 0, "user", None), (3, None, None, "x"), (1, 1, "assistant", "b")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
