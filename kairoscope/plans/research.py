@@ -235,6 +235,19 @@ def execution_availability(spark, sf):
     return s.join(p, seen, "left").groupBy("idx").agg(F.count("value").alias("n"))
 
 
+@query("execution_availability_all", "h_pit h_signal", """
+    SELECT s.idx, CAST(count(p.value) AS BIGINT) AS n FROM h_signal s LEFT JOIN h_pit p
+        ON p.released_at <= s.decision_at AND p.released_at + INTERVAL 15 HOUR <= s.tradable_at AND p.obs_date > s.d - 10 GROUP BY 1""")
+def execution_availability_all(spark, sf):
+    """``execution_availability`` over every series and date. No release comes before its
+    date, so what a signal sees lies in the weeks from nine days before it to its own."""
+    week = lambda c: F.date_trunc("week", c).cast("date")
+    p = h_pit(spark, sf).withColumn("w", week("obs_date"))
+    s = h_signal(spark, sf).withColumn("w", F.explode(F.sequence(week(F.date_sub("d", 9)), week("d"), F.expr("interval 7 days")))).alias("s")
+    seen = (F.col("released_at") <= F.col("decision_at")) & (F.col("released_at") + F.expr("interval 15 hours") <= F.col("tradable_at")) & (F.col("obs_date") > F.date_sub("d", 10))
+    return s.join(p.alias("p"), (F.col("s.w") == F.col("p.w")) & seen, "left").groupBy("idx").agg(F.count("value").alias("n"))
+
+
 @query("sorted_unique_violations", "", """
     SELECT l_orderkey, l_linenumber, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
 def sorted_unique_violations(spark, sf):

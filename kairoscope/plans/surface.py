@@ -275,7 +275,18 @@ def current_series_json(spark, sf):
 def wide_vintage_unpivot(spark, sf):
     from .harness import h_pit
 
-    rows = h_pit(spark, sf).where("obs_date < date'1995-07-01'")
+    return _unpivot(h_pit(spark, sf).where("obs_date < date'1995-07-01'"))
+
+
+@query("wide_vintage_unpivot_all", "h_pit", "SELECT series_id, obs_date, vintage_date, value FROM h_pit")
+def wide_vintage_unpivot_all(spark, sf):
+    """``wide_vintage_unpivot`` over every date."""
+    from .harness import h_pit
+
+    return _unpivot(h_pit(spark, sf))
+
+
+def _unpivot(rows):
     name = F.concat(F.lit("X_"), F.date_format("vintage_date", "yyyyMMdd"))
     entry = F.map_from_entries(F.collect_list(F.struct(name, F.col("value").cast("string"))))
     wide = rows.groupBy("series_id", "obs_date").agg(entry.alias("m"))

@@ -42,3 +42,11 @@ def test_query(spark, duck, name):
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     assert got == as_rows(columns, cursor.fetchall())
+
+
+def test_whole_tables_are_covered(spark):
+    from kairoscope.plans.harness import h_pit, h_signal
+
+    assert plans.QUERIES["wide_vintage_unpivot_all"](spark, SF).count() == h_pit(spark, SF).count()
+    got = plans.QUERIES["execution_availability_all"](spark, SF).collect()
+    assert len(got) == h_signal(spark, SF).count()
