@@ -528,6 +528,26 @@ def test_shifted_recordings_are_aligned(spark):
         assert audio.align(prints[s], late, np.arange(-20, 21))[:2] == hits[0][2:3] + hits[0][4:5]
 
 
+def test_recall_against_all_offsets():
+    rng = np.random.default_rng(5)
+    base = rng.normal(0, 0.125, (25, 64))
+    near = np.concatenate([base + rng.normal(0, sigma, base.shape) for sigma in (0.01, 0.02, 0.03, 0.04)])
+    cuts = audio.quartiles([audio.sonify(v) for v in base])
+    prints = [audio.fingerprint(audio.sonify(v), cuts) for v in base]
+    queries = audio.Queries([(i, p.astype("<u4").tobytes()) for i, p in enumerate(prints)])
+    want, got, hard = set(), set(), set()
+    for j, v in enumerate(near):
+        p = audio.fingerprint(audio.sonify(v), cuts)
+        got |= {(h[0], j) for h in queries.match(1000 + j, p)}
+        for i, q in enumerate(prints):
+            if best := audio.align(q, p, np.arange(1 - len(p), len(q))):
+                want.add((i, j))
+                if best[1] >= 0.2 * best[2]:
+                    hard.add((i, j))
+    assert got <= want and len(hard) >= 10
+    assert len(got) >= 0.9 * len(want) and len(got & hard) >= 0.9 * len(hard)
+
+
 def test_broken_audio_has_no_fingerprint(spark):
     cuts = audio.quartiles([])
     for raw in (None, b"", b"RIFFxxxx", struct.pack("<4sI4s", b"RIFF", 4, b"WAVE")):
