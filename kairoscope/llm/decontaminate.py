@@ -16,7 +16,9 @@ else its first sentence; the rest is the answer. If either has fewer than five
 words, both are the whole text.
 
 The index goes to all tasks in blocks of items of ``INDEX_BYTES`` of text at
-most; more items mean more blocks, each with a pass over the documents.
+most; more items mean more blocks, each with a pass over the documents. Item
+count, mean length, longest item and document frequencies are those of the whole
+benchmark in every block, so results do not depend on the blocks.
 
 Defined results: null and empty texts match nothing; empty items are never
 retrieved; equal items are all reported; an empty benchmark gives no rows;
@@ -28,7 +30,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -64,20 +66,38 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return (q, a) if min(len(q), len(a)) >= GRAM else (tokens(text), tokens(text))
 
 
+class Statistics:
+    """What BM25 needs to know of the whole benchmark; parts of it add up."""
+
+    def __init__(self, texts: Iterable[str | None] = ()):
+        self.items = self.words = self.longest = 0
+        self.df: Counter[str] = Counter()
+        for words in map(tokens, filter(None, texts)):
+            if words:
+                self.items += 1
+                self.words += len(words)
+                self.longest = max(self.longest, len(words))
+                self.df.update(set(words))
+
+
 class Index:
-    """Postings by term, in the order of items, with the largest score of each block."""
+    """Postings by term, in the order of items, with the largest score of each block.
+
+    ``whole`` has the statistics of the benchmark that the items are a block of.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, whole: Statistics | None = None):
+        whole = whole or Statistics(t for _, t in items)
         items = sorted(((i, t) for i, t in items if t and tokens(t)), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         self.ids = [i for i, _ in items]
         self.threshold = threshold
         docs = [Counter(tokens(t)) for _, t in items]
         self.sides = [tuple(grams(side) for side in question_and_answer(t)) for _, t in items]
         lengths = [sum(d.values()) for d in docs]
-        self.stride = max([STRIDE, *lengths])
-        mean = sum(lengths) / max(1, len(lengths))
-        df = Counter(t for d in docs for t in d)
-        idf = {t: math.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+        self.stride = max(STRIDE, whole.longest)
+        mean = whole.words / max(1, whole.items)
+        df = {t for d in docs for t in d}
+        idf = {t: math.log(1 + (whole.items - whole.df[t] + 0.5) / (whole.df[t] + 0.5)) for t in df}
         self.terms = {t: k for k, t in enumerate(sorted(df))}
         impact = [{self.terms[t]: idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * size / mean)) for t, n in d.items()} for d, size in zip(docs, lengths, strict=True)]
         self.postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
@@ -214,9 +234,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = TH
     n_blocks = max(1, -(-size // INDEX_BYTES))
     spark, parts = docs.sparkSession, []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    whole = Statistics(r[0] for r in items.select("text").toLocalIterator()) if n_blocks > 1 else None
     for block in range(n_blocks):
         block_items = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in block_items.collect()], threshold))
+        index = spark.sparkContext.broadcast(Index([tuple(r) for r in block_items.collect()], threshold, whole))
 
         def look(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             book = index.value
@@ -232,10 +253,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = TH
                         yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
 
         parts.append(rows.mapInPandas(look, SCHEMA))
-    whole = parts[0]
+    found = parts[0]
     for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+        found = found.unionByName(part)
+    return found
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

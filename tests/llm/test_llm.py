@@ -445,6 +445,18 @@ def test_leaks_are_found_and_clean_documents_left(spark, none):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.contaminated(none, bench).count() == 0
 
 
+def test_blocks_of_the_index_do_not_change_results(spark, monkeypatch):
+    items = [(i, t if i else t + " " + t + " " + t) for i, t in enumerate(texts(30, 31, 30))]
+    clean = texts(31, 33, 200)
+    rows = [(i, clean[i] + " " + " ".join(t.split()[: 18 + i % 12]) + " " + clean[i + 1]) for i, t in items]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted(tuple(r) for r in decontaminate.contaminated(df, bench).collect())
+    whole = found()
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", sum(len(t) for _, t in items) // 4)
+    assert len(whole) >= 10 and [r[:2] for r in found()] == [r[:2] for r in whole]
+    assert [r[2:] for r in found()] == [pytest.approx(r[2:]) for r in whole]
+
+
 # ---------------------------------------------------------------- language ID
 
 
