@@ -18,9 +18,15 @@ from kairoscope.llm.common import materialize, read_table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no text, or no letter in it."""
-    found = langid.identify(docs, langid.train(docs))
-    return found.where("lang_pred <> 'und'").select(docs.columns)
+    """Drops documents without a language: no text, or no letter in it.
+
+    The network's language and score drop nothing; without labels there is no
+    network, and documents are told by their letters alone.
+    """
+    model = langid.train(docs)
+    if model is None:
+        return docs.where(langid.has_letter(F.col("text")))
+    return langid.identify(docs, model).where("lang_pred <> 'und'").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

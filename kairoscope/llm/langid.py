@@ -181,6 +181,17 @@ def predict_texts(model: ByteCNN | None, texts: list[str | None]) -> tuple[list[
     return lang, score
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text has a language for a model to tell; false for null."""
+
+    @F.pandas_udf("boolean")
+    def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([isinstance(t, str) and bool(_LETTER.search(t)) for t in part], dtype=bool)
+
+    return found(text)
+
+
 def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
     """``docs`` plus lang_pred and score, from the text alone."""
 

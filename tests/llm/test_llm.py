@@ -591,3 +591,11 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept["near_duplicates"] == kept["language"] - {1000 + i for i in range(10)}
     assert kept["decontamination"] == kept["near_duplicates"] - {2000}
     assert kept["mixing"] <= kept["decontamination"] and kept["sharding"] == kept["mixing"]
+
+
+def test_documents_stay_where_no_row_has_a_label(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, t, None, "s", len(t)) for i, t in enumerate(texts(20, 51, 30))] + [(100, "12 34", None, "s", 5), (101, None, None, "s", None), (102, "été", None, "s", 3), (None, "b", None, "s", 1)]
+    got = corpus_pipeline.language(spark, spark.createDataFrame(rows, DOCS), "")
+    assert sorted(map(str, (r.doc_id for r in got.collect()))) == sorted(map(str, [*range(20), 102, None]))
+    assert got.columns == [c.split()[0] for c in DOCS.split(", ")]
