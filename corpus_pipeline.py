@@ -4,8 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet and hands what it reads back to the next stage. All stages but the
 last return the columns of ``documents``; the last adds ``shard`` and ``slot``.
 
-Rows without a doc_id pass the stages that go by id. Rows of one id are one
-document to the near-duplicate stage, which keeps the first of equal rows.
+Documents are told apart by their texts, so rows without a doc_id and different
+texts of one doc_id are treated like all others; of rows equal in both the
+near-duplicate stage keeps one. An empty table gives an empty result. A column
+``shard`` or ``slot`` of the input is replaced by the last stage.
 """
 
 from __future__ import annotations
@@ -30,20 +32,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id of each class."""
-    classes = dart_minhash.near_duplicates(docs.select("doc_id", "text"))
-    dropped = classes.where("class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    repeated = materialize(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
-    one = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(one)
+    """Keeps one row of each class: its least id, and of that the least text."""
+    return dart_minhash.one_of_each(docs).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, question and answer."""
     hits = decontaminate.contaminated(docs.select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
-    hits = materialize(hits.select("doc_id").where("doc_id is not null").distinct(), "pipeline-leaks")
-    return docs.join(hits, "doc_id", "left_anti").select(docs.columns)
+    hits = materialize(hits.select("content").distinct(), "pipeline-leaks")
+    return docs.join(hits, dart_minhash.content(F.col("text")) == F.col("content"), "left_anti").select(docs.columns)
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    A folder of our own is used only where the session names none, as in tests
-    on a single machine.
+    A folder of our own is used only where the session names none and all of it
+    runs on one machine, as in tests.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file:///tmp/kairoscope-shared"
     return folder.rstrip("/")
 

@@ -27,7 +27,10 @@ a metric, two texts whose similarities to a centre differ too much are no link.
 
 Defined results: weights are the shingle counts; a text of one to four words is
 one shingle; null texts and texts without words are classes of their own;
-rows of one id are of one class; null ids have a null class.
+texts are told apart by their content, so rows of one id and different texts have
+the classes of their texts, and rows without an id are compared like all others
+(the class of texts that only such rows have is null); very long texts are compared
+whole; columns other than doc_id and text are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,6 +53,7 @@ COORDS = BANDS * ROWS
 SMALL = 8
 #: Members of a part of a large bucket in the second round.
 PART = 4096
+CENTRES = 4
 #: Counters of shingles by hash in the sketch that bounds a pair's overlap.
 BINS = 128
 FIRST_RANK = 1 / 128
@@ -110,8 +114,9 @@ def _throw(sig, doc, element, weight, level, width, ring, low, high) -> None:
 
 
 def band_hashes(sig: np.ndarray) -> np.ndarray:
+    """A hash of each band's number and values."""
     parts = sig.reshape(-1, BANDS, ROWS)
-    h = np.zeros(parts.shape[:2], U)
+    h = np.broadcast_to(mix(np.arange(1, BANDS + 1).astype(U)), parts.shape[:2])
     for k in range(ROWS):
         h = mix(h * U(0x9E3779B97F4A7C15) + parts[:, :, k])
     return h.view(np.int64)
@@ -152,40 +157,36 @@ def _similarity(a: Column, b: Column) -> Column:
     return compare(a, b)
 
 
-def bucket_members(signed: DataFrame) -> DataFrame:
-    """``signed``: id, bands. The members of buckets of two texts or more: id,
-    band, h, n (texts of the bucket), centres."""
-    spread = signed.select("id", F.posexplode("bands").alias("band", "h"))
-    centre = lambda k: F.min_by("id", F.xxhash64(F.lit(k), "id"))
-    buckets = (
-        spread.groupBy("band", "h")
-        .agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(F.min("id"), *[centre(k) for k in range(3)])).alias("centres"))
-        .where("n > 1")
-    )
-    return spread.join(materialize(buckets, "dart-buckets"), ["band", "h"])
+def bucket_members(distinct: DataFrame) -> DataFrame:
+    """``distinct``: id, r (a hash of the text), bands. The members of buckets of two texts or more: h, n (texts of the bucket), id, r."""
+    spread = distinct.select("id", "r", F.explode("bands").alias("h"))
+    counts = spread.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return spread.join(counts, "h").select("h", "n", "id", "r")
+
+
+def with_centres(large: DataFrame) -> DataFrame:
+    """``large`` with the centres of each bucket, four texts at most, chosen by hashes."""
+    centre = lambda k: F.min_by("id", F.struct(F.xxhash64(F.lit(k), "r"), "r"))
+    return large.join(large.groupBy("h").agg(F.array_distinct(F.array(*[centre(k) for k in range(CENTRES)])).alias("centres")), "h")
 
 
-def candidate_pairs(members: DataFrame) -> DataFrame:
+def candidate_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
     """Distinct pairs a < b of the first round."""
-    large = members.where(F.col("n") > SMALL).select("id", F.explode("centres").alias("other"))
-    small = (
-        members.where(F.col("n") <= SMALL).groupBy("band", "h").agg(F.collect_set("id").alias("ids"))
-        .select(F.explode("ids").alias("id"), "ids").select("id", F.explode("ids").alias("other"))
-    )
-    return (
-        large.unionByName(small).where("id <> other")
-        .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    star = large.select("id", F.explode("centres").alias("other"))
+    every = (
+        small.groupBy("h").agg(F.collect_set("id").alias("ids"))
+        .select(F.explode("ids").alias("id"), "ids").select("id", F.explode("ids").alias("other")).where("id < other")
     )
+    return star.where("id <> other").unionByName(every).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def mixed_members(large: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of large buckets that hold several classes, with their class
     and whether it is the largest of the bucket."""
     classed = large.join(labels, "id", "left").withColumn("class", F.coalesce("label", "id")).drop("label")
-    mixed = classed.groupBy("band", "h").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band", "h")
-    sizes = classed.join(mixed, ["band", "h"], "left_semi").groupBy("band", "h", "class").agg(F.count(F.lit(1)).alias("k"))
-    largest = sizes.groupBy("band", "h").agg(F.max_by("class", F.struct("k", "class")).alias("largest"))
-    return classed.join(largest, ["band", "h"]).withColumn("most", F.col("class") == F.col("largest")).drop("largest")
+    sizes = classed.groupBy("h", "class").agg(F.count(F.lit(1)).alias("k"))
+    largest = sizes.groupBy("h").agg(F.max_by("class", F.struct("k", "class")).alias("largest"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    return classed.join(largest, "h").withColumn("most", F.col("class") == F.col("largest")).drop("largest", "classes")
 
 
 def shared_weights(texts: DataFrame) -> DataFrame:
@@ -221,14 +222,14 @@ def cross_pairs(mixed: DataFrame, verified: DataFrame, similar: float) -> DataFr
     """
     mixed = mixed.where(F.col("shared") >= F.col("total") * similar - 1e-6)  # the others have no link here
     key = [F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")]
-    spread = mixed.select("band", "h", "id", F.explode("centres").alias("centre"))
+    spread = mixed.select("h", "id", F.explode("centres").alias("centre"))
     near = spread.select("*", *key).join(verified, ["a", "b"], "left")
-    near = near.groupBy("band", "h", "id").agg(F.array_sort(F.collect_set(F.struct("centre", F.coalesce("j", F.lit(1.0)).alias("j")))).alias("near"))
-    mixed = mixed.join(near, ["band", "h", "id"]).withColumn("parts", F.ceil(F.col("n") / PART))
+    near = near.groupBy("h", "id").agg(F.array_sort(F.collect_set(F.struct("centre", F.coalesce("j", F.lit(1.0)).alias("j")))).alias("near"))
+    mixed = mixed.join(near, ["h", "id"]).withColumn("parts", F.ceil(F.col("n") / PART))
     one = mixed.where(~F.col("most")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     every = mixed.withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
-    cols = lambda df, x: df.select("band", "h", "part", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "class", "total", "shared", "bins", "most", "near")])
-    joined = cols(one, "x").join(cols(every, "y"), ["band", "h", "part"]).where("x_class <> y_class and (y_most or x_id < y_id)")
+    cols = lambda df, x: df.select("h", "part", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "class", "total", "shared", "bins", "most", "near")])
+    joined = cols(one, "x").join(cols(every, "y"), ["h", "part"]).where("x_class <> y_class and (y_most or x_id < y_id)")
     both = F.least("x_shared", "y_shared")
     every_weight = F.col("x_total") + F.col("y_total")
     weights = both >= (every_weight - both) * similar - 1e-6
@@ -277,50 +278,86 @@ def merge_classes(labels: DataFrame, more: DataFrame, name: str) -> DataFrame:
     return materialize(every.join(to, "label", "left").select("id", F.coalesce("to", "label").alias("label")), f"{name}-labels")
 
 
-def near_duplicates(docs: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id (least id of the class), n_links (verified pairs of the
-    text), one row for each row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    has_words = F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
-    full = docs.where(has_words)
-    signed = full.select("doc_id", F.md5(F.col("text").cast("binary")).alias("content"), _sign(F.col("text")).alias("s"))
-    signed = materialize(signed.select("doc_id", "content", "s.bands"), "dart-signed")
-    distinct = signed.groupBy("content").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    distinct = materialize(distinct, "dart-distinct")
-    members = bucket_members(distinct.select("id", "bands"))
-    pairs = materialize(candidate_pairs(members), "dart-pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    # the ids grow with the corpus, so this join is a shuffle at every size
-    texts = full.join(wanted.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = materialize(texts, "dart-texts")
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+def content(text: Column) -> Column:
+    """What texts are told apart by."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def has_words(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
+def classify(docs: DataFrame, *, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """``docs``: doc_id, text, one row for each row with words: doc_id, content.
+    Texts: a row for each distinct text: content, one (its least doc_id),
+    class_id, n_links (verified pairs) and first: whether it is the text of the
+    least id of its class (then of the least content)."""
+    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(has_words(F.col("text")))
+    signed = materialize(full.select("doc_id", content(F.col("text")).alias("content"), _sign(F.col("text")).alias("s")).select("doc_id", "content", "s.bands"), "dart-signed")
+    distinct = signed.groupBy("content", "bands").agg(F.min("doc_id").alias("one"))
+    #: The numbers hold once they are written; nothing but the order of a pair depends on them.
+    distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("id"), F.xxhash64("content").alias("r"), "content", "one", "bands"), "dart-distinct")
+    members = materialize(bucket_members(distinct.select("id", "r", "bands")), "dart-members")
+    large = with_centres(members.where(F.col("n") > SMALL)).drop("r")
+    pairs = materialize(candidate_pairs(members.where(F.col("n") <= SMALL), large), "dart-pairs")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(distinct.select("id", F.col("content").alias("w_content"), "one"), "id")
+    # the texts grow with the corpus, so this join is a shuffle at every size; with the id in the key copies stay spread
+    same = (content(F.col("text")) == F.col("w_content")) & F.col("doc_id").eqNullSafe(F.col("one"))
+    texts = materialize(full.join(wanted.hint("merge"), same).groupBy("id").agg(F.first("text").alias("text")), "dart-texts")
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
     compare = lambda p: p.join(side("a"), "a").join(side("b"), "b").select("a", "b", _similarity(F.col("text_a"), F.col("text_b")).alias("j"))
     verified = materialize(compare(pairs), "dart-verified")
-    # rows of one id are of one class: the texts of an id are linked to its first one
-    held = signed.select("doc_id", "content").distinct().join(distinct.select("content", "id"), "content")
-    first = held.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("doc_id", "a")
-    twice = held.join(first, "doc_id").where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    edges = materialize(verified.where(F.col("j") >= similar).select("a", "b").union(twice), "dart-links")
+    edges = verified.where(F.col("j") >= similar).select("a", "b")
     labels = components(edges, "dart")
-    mixed = materialize(mixed_members(members.where(F.col("n") > SMALL), labels), "dart-mixed")
+    mixed = materialize(mixed_members(large, labels), "dart-mixed")
     if not mixed.isEmpty():
-        ids = mixed.select("id").distinct()
-        weights = materialize(shared_weights(texts.select(F.col("doc_id").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")), "dart-weights")
-        mixed = mixed.join(weights, "id")
-        more = compare(materialize(cross_pairs(mixed, verified, similar), "dart-cross")).where(F.col("j") >= similar)
+        weights = materialize(shared_weights(texts.join(mixed.select("id").distinct().hint("merge"), "id", "left_semi")), "dart-weights")
+        more = compare(materialize(cross_pairs(mixed.join(weights, "id"), verified, similar), "dart-cross")).where(F.col("j") >= similar)
         more = materialize(more.select("a", "b"), "dart-more")
         if not more.isEmpty():
             edges = edges.union(more)
             labels = merge_classes(labels, more, "dart")
     links = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n_links"))
-    classes = (
-        distinct.select("content", "id").join(labels, "id", "left").join(links, "id", "left")
-        .select("content", F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    linked = labels.join(distinct.select("id", "one", "content"), "id").join(links, "id")
+    least = linked.groupBy("label").agg(F.min(F.struct(F.col("one").isNull().alias("none"), "one", "content")).alias("least"))
+    linked = linked.join(least, "label").select(
+        "id", "n_links", F.col("least.one").alias("class_id"), (F.col("content") == F.col("least.content")).alias("first")
+    )
+    texts = distinct.select("id", "content", "one").join(linked, "id", "left").select(
+        "content", "one", F.when(F.col("first").isNull(), F.col("one")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("first", F.lit(True)).alias("first"),
     )
-    found = signed.select("doc_id", "content").join(classes, "content").select("doc_id", "class_id", "n_links")
-    rest = docs.where(~F.coalesce(has_words, F.lit(False))).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return signed.select("doc_id", "content"), texts
+
+
+def near_duplicates(docs: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, class_id (least id of the class), n_links (verified pairs of the
+    text), one row for each row of ``docs`` (doc_id, text)."""
+    rows, texts = classify(docs, similar=similar)
+    found = rows.join(texts, "content").select("doc_id", "class_id", "n_links")
+    doc_id = F.col("doc_id").cast("long")
+    rest = docs.where(~has_words(F.col("text"))).select(doc_id.alias("doc_id"), doc_id.alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return found.unionByName(rest)
 
 
+def one_of_each(docs: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
+    """The rows of ``docs`` less all rows but one of each class.
+
+    The row that stays has the class's least id and, of the texts of that id in
+    the class, the least content; of rows equal in both one stays, chosen by a
+    hash of all columns. Rows without words stay.
+    """
+    rows, texts = classify(docs.select("doc_id", "text"), similar=similar)
+    own = rows.join(texts, "content").withColumn("keep", F.col("first") & F.col("doc_id").eqNullSafe(F.col("one")))
+    own = own.groupBy("content", F.col("doc_id").alias("d_id")).agg(F.first("keep").alias("keep"), F.count(F.lit(1)).alias("n"))
+    odd = materialize(own.where("not keep or n > 1").withColumnRenamed("content", "d_content"), "dart-odd")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("k_id"), content(F.col("text")).alias("k_content"))
+    same = (F.col("k_content") == F.col("d_content")) & F.col("k_id").eqNullSafe(F.col("d_id"))
+    alone = keyed.join(odd.drop("keep", "n"), same, "left_anti")
+    repeated = keyed.join(odd.where("keep").drop("keep", "n"), same).groupBy("k_content", "k_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return alone.select("row.*").unionByName(repeated.select("row.*"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))

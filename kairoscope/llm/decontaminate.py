@@ -27,6 +27,7 @@ null ids are reported as they are.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -224,11 +225,12 @@ class Index:
                 yield d, item, *hit
 
 
-SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
+SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long, content binary"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each document and test item that it holds."""
+    """One row for each document and test item that it holds. ``content`` is the
+    MD5 of the document's text, which tells rows of one doc_id apart."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // INDEX_BYTES))
@@ -239,13 +241,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = TH
         block_items = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
         index = spark.sparkContext.broadcast(Index([tuple(r) for r in block_items.collect()], threshold, whole))
 
+        def md5(text: str) -> bytes:
+            return hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
+
         def look(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             book = index.value
             for batch in batches:
                 docs, texts = list(batch["doc_id"].astype(object)), list(batch["text"])
                 for s in range(0, len(texts), 256):
                     hits = [
-                        (None if pd.isna(docs[s + d]) else int(docs[s + d]), book.ids[item], *hit)
+                        (None if pd.isna(docs[s + d]) else int(docs[s + d]), book.ids[item], *hit, md5(texts[s + d]))
                         for d, item, *hit in book.search(texts[s : s + 256])
                     ]
                     if hits:
@@ -260,4 +265,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = TH
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("content")

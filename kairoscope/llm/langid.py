@@ -8,16 +8,17 @@ text is cut into windows that cover it whole; their probabilities are averaged
 by the bytes they hold.
 
 Training takes ``SAMPLE`` labelled documents at most, those of the lowest
-seeded hash, and ``PER_DOC`` windows of each.
+seeded hash, and ``PER_DOC`` windows of ``WINDOW`` characters of each; one task
+trains on them. Prediction reads whole texts.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0;
+Defined results: a null text, or one without a letter (Unicode category L), is ``und`` with score 0;
 an empty table, or one without labelled rows, gives ``und`` with score 0 for
 every row; ties go to the first language by name.
 """
 
 from __future__ import annotations
 
-import re
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,11 @@ STEPS = 500
 BATCH = 128
 #: Windows that are in work at once.
 BLOCK = 512
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def letters(text: str) -> bool:
+    """Whether a text has a character of Unicode category L."""
+    return any(map(str.isalpha, text))
 
 
 class ByteCNN:
@@ -133,17 +138,20 @@ def train(docs: DataFrame, *, sample: int = SAMPLE, seed: int = SEED) -> ByteCNN
             "text", (F.pmod(F.xxhash64(F.lit(seed), k, F.col("doc_id")), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)
         ),
     )
-    got = sorted(
-        (t, r["lang"]) for r in rows.select("lang", F.array_distinct(places).alias("parts")).collect() for t in r["parts"] if _LETTER.search(t)
-    )
-    if not got:
-        return None
-    langs = sorted({lang for _, lang in got})
-    model = ByteCNN(langs, seed)
-    x = np.stack([windows(t.encode("utf-8", "surrogatepass"))[0][0] for t, _ in got])
-    model.fit(x, np.array([langs.index(lang) for _, lang in got]), seed)
-    model.fuse()
-    return model
+    parts = rows.select("lang", F.explode(F.array_distinct(places)).alias("part"))
+    #: The sample is bounded, so one task learns from it; the driver gets the weights alone.
+    learned = parts.coalesce(1).mapInPandas(lambda batches: _learn(batches, seed), "model binary").collect()
+    return pickle.loads(learned[0]["model"]) if learned else None
+
+
+def _learn(batches: Iterator[pd.DataFrame], seed: int) -> Iterator[pd.DataFrame]:
+    got = sorted((t, lang) for batch in batches for lang, t in zip(batch["lang"], batch["part"], strict=True) if letters(t))
+    if got:
+        langs = sorted({lang for _, lang in got})
+        model = ByteCNN(langs, seed)
+        x = np.stack([windows(t.encode("utf-8", "surrogatepass"))[0][0] for t, _ in got])
+        model.fit(x, np.array([langs.index(lang) for _, lang in got]), seed)
+        yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
 
 def predict_texts(model: ByteCNN | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -165,7 +173,7 @@ def predict_texts(model: ByteCNN | None, texts: list[str | None]) -> tuple[list[
 
     pending = 0
     for i, text in enumerate(texts):
-        if model is None or not isinstance(text, str) or not _LETTER.search(text):
+        if model is None or not isinstance(text, str) or not letters(text):
             continue
         x, w = windows(text.encode("utf-8", "surrogatepass"))
         for s in range(0, len(x), BLOCK):
@@ -183,13 +191,7 @@ def predict_texts(model: ByteCNN | None, texts: list[str | None]) -> tuple[list[
 
 def has_letter(text: Column) -> Column:
     """Whether a text has a language for a model to tell; false for null."""
-
-    @F.pandas_udf("boolean")
-    def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield pd.Series([isinstance(t, str) and bool(_LETTER.search(t)) for t in part], dtype=bool)
-
-    return found(text)
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
 def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
@@ -197,6 +199,8 @@ def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        if model is not None:
+            model.fuse()
         for part in parts:
             names, scores = predict_texts(model, list(part))
             yield pd.DataFrame({"lang_pred": names, "score": scores})

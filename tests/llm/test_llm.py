@@ -207,10 +207,31 @@ def test_no_documents_no_classes(none):
     assert dart_minhash.near_duplicates(none).count() == 0
 
 
-def test_rows_of_one_id_are_one_class(spark):
-    a, b = texts(2, 9)
-    df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b)], "doc_id long, text string")
-    assert {(r.doc_id, r.class_id) for r in dart_minhash.near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 1)}
+def test_texts_of_one_id_keep_their_links(spark):
+    """Texts are told apart by content: repeated and null ids lose no link."""
+    a, b, c = texts(3, 9)
+    near = " ".join([*b.split()[:-1], "changed"])
+    df = spark.createDataFrame([(1, a), (1, b), (5, near), (None, near), (7, c), (None, c + " more"), (None, "alone here")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in dart_minhash.near_duplicates(df).collect())
+    assert got == sorted([("1", "1", 0), ("1", "1", 1), ("5", "1", 1), ("None", "1", 1), ("7", "7", 1), ("None", "7", 1), ("None", "None", 0)])
+
+
+def test_one_row_of_each_class_stays(spark):
+    a, b, c = texts(3, 9)
+    near = " ".join([*b.split()[:-1], "changed"])
+    rows = [(1, a, "s"), (1, b, "s"), (5, near, "s"), (None, near, "s"), (7, c, "s"), (7, c, "t"), (7, c, "t"), (8, None, "s"), (8, " ", "s"), (None, a + " x", "s"), (None, "alone here", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("content", F.lit("clash")).withColumn("id", F.lit(3))
+    kept = dart_minhash.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted([("1", a), ("1", b), ("7", c), ("8", "None"), ("8", " "), ("None", "alone here")])
+    assert dart_minhash.one_of_each(df.limit(0)).count() == 0
+
+
+def test_recall_against_all_pairs(spark):
+    """Every pair of at least 0.8 of the whole table is in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(docs).collect()}
+    assert got == {**{i: i for i in got}, **brute_classes([(r.doc_id, r.text) for r in docs.collect() if r.text and r.text.split()])}
 
 
 def test_signatures_estimate_weighted_similarity():
