@@ -22,6 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark)}/kairoscope-{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -29,7 +34,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kairoscope-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
 

@@ -1,19 +1,23 @@
 """Mixing sources to target weights (DataFrame functions only).
 
-The documents of a source are scattered into blocks by a seeded hash. A source
-is taken in full passes over all its blocks and then in part: permuted blocks
-from the front, the last of them cut at the document nearest to the target.
+The documents of a source are scattered by a seeded hash into blocks, as many
+as the documents to the power 2/3. A source is taken in full passes over all
+its blocks and then in part: permuted blocks from the front, and of the block
+in which the target falls the documents that fit (in hash order, then, a few
+times over, those that fit into what is left).
 Which output shard gets how many blocks of which source is drawn by a splitting
 tree: each node divides its exact quotas between its two halves by a
 multivariate hypergeometric draw (an urn emptied one block at a time), so every
 shard gets its exact share of blocks and every source its exact total. Blocks
 of a source are then dealt to the shards in their permuted order without
-overlap, and a seeded hash orders the rows inside each block.
+overlap, and the rows are shuffled where they are, by a seeded hash.
 
 Defined results: a null text has size 0 and a null source is a source of its
 own, last in order; rows with no words are taken with their block; documents
-repeated in the input are repeated in the output; an empty table gives an empty
-result; output columns replace input columns of their name.
+repeated in the input are repeated in the output, and any number of equal ones
+spreads over all blocks of their source; very long texts move as they are; an
+empty table gives an empty result; output columns replace input columns of
+their name. The quotas of all sources are one row (a long for each source).
 """
 
 from __future__ import annotations
@@ -23,14 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import materialize, read_table
+from .row_keys import keyed_rows
 
 SEED = 80_021
 WEIGHTS = (5, 2, 1)
 #: No document is taken more often than this.
 MAX_REPEATS = 3
-#: A block has this many rows, or more where that would make over MAX_BLOCKS.
-BLOCK_ROWS = 256
-MAX_BLOCKS = 65_536
+#: Blocks of a source: its rows to this power, at every size.
+BLOCKS_POWER = 2 / 3
+#: Times that the block in which a target falls is gone through for documents that still fit.
+FILLS = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 OUTPUTS = ("size", "source_size", "target", "copies", "shards")
@@ -113,27 +119,24 @@ def plan_mix(
     text_col: str = "text",
     source_col: str = "source",
     seed: int = SEED,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """``docs`` plus size, source_size, target, copies (int) and shards (the
-    output shard of each copy)."""
+    output shard of each copy). ``block_rows``: rows of a block, by default
+    those that make BLOCKS_POWER."""
     docs = docs.drop(*[c for c in OUTPUTS if c in docs.columns])
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    rows = docs.select(row.alias("m_row"), F.col(source_col).alias("m_source"), key.alias("m_key"))
-
+    rows = keyed_rows(docs, seed, [id_col, text_col]).select(
+        F.col("row").alias("m_row"), F.col(f"row.{source_col}").alias("m_source"), F.col("key").alias("m_key"), word_count(F.col(f"row.{text_col}")).alias("m_words")
+    )
     counts = docs.groupBy(F.col(source_col).alias("c_source")).agg(F.count(F.lit(1)).alias("m_docs"))
-    rows_of_block = F.greatest(F.lit(block_rows), F.ceil(F.sum("m_docs").over(W.partitionBy()) / MAX_BLOCKS))
+    blocks_of = F.ceil(F.col("m_docs") / block_rows) if block_rows else F.ceil(F.pow("m_docs", F.lit(BLOCKS_POWER)) - 1e-6)
     counts = counts.select(
-        "c_source",
-        F.row_number().over(W.orderBy(F.col("c_source").asc_nulls_last())).alias("m_rank"),
-        F.ceil(F.col("m_docs") / rows_of_block).alias("m_blocks"),
-    )
-    blocked = rows.join(counts, F.col("m_source").eqNullSafe(F.col("c_source"))).select(
-        "m_row", "m_rank", "m_key", F.pmod("m_key", "m_blocks").alias("m_block"), "m_blocks"
+        "c_source", F.row_number().over(W.orderBy(F.col("c_source").asc_nulls_last())).alias("m_rank"), blocks_of.cast("long").alias("m_blocks")
     )
-    blocks = blocked.groupBy("m_rank", "m_block").agg(F.sum(word_count(F.col(f"m_row.{text_col}"))).alias("m_words"))
-    blocks = materialize(blocks, "mix-blocks")  # MAX_BLOCKS and a row for each source at most
+    counts = materialize(counts, "mix-sources")
+    in_block = lambda df: df.join(counts, F.col("m_source").eqNullSafe(F.col("c_source"))).withColumn("m_block", F.pmod("m_key", "m_blocks"))
+    blocks = in_block(rows.drop("m_row")).groupBy("m_rank", "m_block").agg(F.sum("m_words").alias("m_words"))
+    blocks = materialize(blocks, "mix-blocks")
     targets = source_targets(blocks.groupBy("m_rank").agg(F.sum("m_words").alias("m_size")))
     whole = F.when(F.col("m_size") > 0, F.least(F.floor(F.col("m_target") / F.col("m_size")), F.lit(MAX_REPEATS))).otherwise(0)
     targets = targets.withColumn("m_whole", whole.cast("int")).withColumn(
@@ -156,11 +159,19 @@ def plan_mix(
     dealt = ordered.join(split_quotas(quotas, n_shards, seed), "m_rank").select(
         "m_rank", "m_block", "m_size", "m_target", "m_take", (F.col("m_part") - F.col("m_before")).alias("m_left"), "m_whole", "m_place", "m_upto"
     )
-    placed = blocked.join(dealt, ["m_rank", "m_block"]).withColumn("m_words", word_count(F.col(f"m_row.{text_col}")))
-    #: Rows move once: the join above and this window share their partitioning.
-    inside = W.partitionBy("m_rank", "m_block").orderBy("m_key", F.col(f"m_row.{id_col}"), F.col(f"m_row.{text_col}"))
-    middle = F.sum("m_words").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("m_words") / 2
-    more = F.when(F.col("m_take") == "cut", (middle <= F.col("m_left")).cast("int")).otherwise((F.col("m_take") == "all").cast("int"))
+    placed = in_block(rows).join(dealt, ["m_rank", "m_block"])
+    #: Rows move once: the join above and these windows share their partitioning and order.
+    order = [F.col("m_key"), F.xxhash64("m_row"), F.col(f"m_row.{id_col}"), F.col(f"m_row.{text_col}")]
+    block = W.partitionBy("m_rank", "m_block")
+    upto = block.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    placed = placed.withColumn("m_fits", F.col("m_take") == "all").withColumn("m_room", F.when(F.col("m_take") == "cut", F.col("m_left").cast("double")))
+    for _ in range(FILLS):
+        tried = ~F.col("m_fits") & (F.col("m_words") <= F.col("m_room"))
+        placed = placed.withColumn("m_try", F.when(F.coalesce(tried, F.lit(False)), F.col("m_words"))).withColumn("m_sum", F.sum("m_try").over(upto))
+        placed = placed.withColumn("m_new", F.coalesce(F.col("m_try").isNotNull() & (F.col("m_sum") <= F.col("m_room")), F.lit(False)))
+        got = F.coalesce(F.sum(F.when(F.col("m_new"), F.col("m_words"))).over(block), F.lit(0))
+        placed = placed.withColumn("m_room", F.col("m_room") - got).withColumn("m_fits", F.col("m_fits") | F.col("m_new"))
+    more = F.col("m_fits").cast("int")
     shards = F.expr(
         """transform(slice(sequence(0, 3), 1, m_whole + m_more),
             p -> size(filter(m_upto, u -> u <= p * m_blocks + m_place)))"""
@@ -176,13 +187,14 @@ def plan_mix(
 
 
 def mix(docs: DataFrame, n_shards: int = 8, *, seed: int = SEED, **options) -> DataFrame:
-    """The mixture: a row of ``docs`` for each copy, with ``mix_shard``,
-    ``mix_copy`` and ``mix_order``, the key that orders the rows of a shard."""
+    """The mixture: a row of ``docs`` for each copy, with ``mix_shard``, ``mix_copy``
+    and ``mix_order``, the key by which the rows of a shard are shuffled in each task."""
     plan = plan_mix(docs, n_shards, seed=seed, **options)
     kept = [c for c in docs.columns if c not in OUTPUTS]
     id_col = options.get("id_col", "doc_id")
     rows = plan.select(*[F.col(f"`{c}`") for c in kept], F.posexplode("shards").alias("mix_copy", "mix_shard"))
-    return rows.withColumn("mix_order", F.xxhash64(F.lit(seed), F.lit("order"), F.col(id_col), F.col("mix_copy")))
+    rows = rows.withColumn("mix_order", F.xxhash64(F.lit(seed), F.lit("order"), F.col(id_col), F.col("mix_copy")))
+    return rows.sortWithinPartitions("mix_shard", "mix_order")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

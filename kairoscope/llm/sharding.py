@@ -2,14 +2,17 @@
 
 Pass 1 scatters the records into memory-sized buckets by a seeded hash: one
 exchange of the whole rows. Pass 2 gives every bucket a Fisher-Yates
-permutation, drawn from a seeded hash of (bucket, step), and deals the permuted
-records to the shards in turn. Everything is a pure function of the rows and
-the seed, so a task that is run again after a lost executor gives the same rows.
+permutation, drawn from a seeded hash of (bucket, step) in the bucket's own
+task, deals the permuted records to the shards in turn and writes them. All of
+it is a pure function of the rows and the seed, so a task that is run again
+after a lost executor gives the same rows.
 
 Defined results: a null or empty text counts one byte; null ids hash like any
-value; rows that are equal in id and text share a bucket and may take each
-other's slots; an empty table gives an empty result; input columns named like an
-output column (``shard``, ``slot``) are replaced, all others are kept.
+value; rows that are equal in all columns are numbered before they are
+scattered, so any number of them spreads over all buckets; rows equal in id and
+text may take each other's slots; very long texts move as they are; an empty
+table gives an empty result; input columns named like an output column
+(``shard``, ``slot``) are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import read_table
+from .common import materialize, new_path, read_table
+from .row_keys import keyed_rows
 
 SEED = 20_011
 #: A bucket is cut to these bounds on average.
@@ -40,24 +44,16 @@ FISHER_YATES = """
 """
 
 
-def _permutations(buckets: DataFrame, seed: int) -> DataFrame:
-    """b_bucket, b_offset (rows in earlier buckets), b_perm (places from 1)."""
-    group = F.floor(F.col("b_bucket") / GROUP)
-    buckets = buckets.withColumn("b_group", group)
+def _offsets(buckets: DataFrame) -> DataFrame:
+    """b_bucket and b_offset, the rows in earlier buckets."""
+    buckets = buckets.withColumn("b_group", F.floor(F.col("b_bucket") / GROUP))
     before = W.partitionBy("b_group").orderBy("b_bucket").rowsBetween(W.unboundedPreceding, -1)
     groups = buckets.groupBy("b_group").agg(F.sum("b_rows").alias("g_rows"))
     #: One row for each 4,096 buckets, so this window stays small.
     earlier = W.orderBy("b_group").rowsBetween(W.unboundedPreceding, -1)
     groups = groups.select("b_group", F.coalesce(F.sum("g_rows").over(earlier), F.lit(0)).alias("g_offset"))
-    return (
-        buckets.withColumn("in_group", F.coalesce(F.sum("b_rows").over(before), F.lit(0)))
-        .join(groups, "b_group")
-        .select(
-            "b_bucket",
-            (F.col("g_offset") + F.col("in_group")).alias("b_offset"),
-            F.expr(FISHER_YATES.format(seed=seed)).alias("b_perm"),
-        )
-    )
+    inside = buckets.withColumn("in_group", F.coalesce(F.sum("b_rows").over(before), F.lit(0)))
+    return inside.join(groups, "b_group").select("b_bucket", (F.col("g_offset") + F.col("in_group")).alias("b_offset"))
 
 
 def external_shuffle(
@@ -80,21 +76,20 @@ def external_shuffle(
         F.coalesce(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + F.lit(1).cast("long")), F.lit(0)).alias("b"),
     ).first()
     n_buckets = max(1, -(-total["n"] // bucket_rows), -(-total["b"] // bucket_bytes))
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    bucket = F.pmod(key, F.lit(n_buckets).cast("long"))
-    perms = _permutations(
-        df.groupBy(bucket.alias("b_bucket")).agg(F.count(F.lit(1)).alias("b_rows")), seed
-    )
-    place = W.partitionBy("b_bucket").orderBy("b_key", F.col(f"b_row.{id_col}"), F.col(f"b_row.{text_col}"))
-    scattered = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("b_row"), key.alias("b_key"), bucket.alias("b_bucket")
-    ).withColumn("b_place", F.row_number().over(place))
+    bucket = F.pmod("key", F.lit(n_buckets).cast("long"))
+    scattered = keyed_rows(df, seed, [id_col, text_col]).withColumn("b_bucket", bucket)
+    buckets = scattered.groupBy("b_bucket").agg(F.count(F.lit(1)).alias("b_rows"))
+    offsets = _offsets(materialize(buckets, "shard-buckets"))
+    place = W.partitionBy("b_bucket").orderBy("key", F.xxhash64("row"), F.col(f"row.{id_col}"), F.col(f"row.{text_col}"))
+    #: The permutations grow with the rows: they are drawn where the bucket's rows are, never broadcast.
+    perms = buckets.select("b_bucket", F.expr(FISHER_YATES.format(seed=seed)).alias("b_perm"))
+    placed = scattered.withColumn("b_place", F.row_number().over(place)).join(perms.hint("merge"), "b_bucket")
     at = F.col("b_offset") + F.element_at("b_perm", F.col("b_place")) - 1
     return (
-        scattered.join(perms, "b_bucket")
-        .select("b_row", at.alias("b_at"))
+        placed.join(offsets, "b_bucket")
+        .select("row", at.alias("b_at"))
         .select(
-            "b_row.*",
+            "row.*",
             F.pmod("b_at", F.lit(n_shards)).cast("int").alias("shard"),
             F.floor(F.col("b_at") / n_shards).cast("long").alias("slot"),
         )
@@ -102,17 +97,14 @@ def external_shuffle(
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder for each shard, its rows in the order of their slots."""
-    (
-        sharded.repartitionByRange("shard", "slot")
-        .sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard")
-        .parquet(path)
-    )
+    """One folder for each shard; each file has whole buckets, its rows in the order of their slots."""
+    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = external_shuffle(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    path = new_path(spark, "shards")
+    write_shards(external_shuffle(read_table(spark, sf_dir, "documents").select("doc_id", "text")), path)
+    out = spark.read.schema("doc_id long, text string, slot long, shard int").parquet(path)
     text = F.coalesce(F.col("text"), F.lit(""))
     return out.select(
         "doc_id",
