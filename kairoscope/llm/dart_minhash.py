@@ -167,7 +167,8 @@ def bucket_members(distinct: DataFrame) -> DataFrame:
 def with_centres(large: DataFrame) -> DataFrame:
     """``large`` with the centres of each bucket, four texts at most, chosen by hashes."""
     centre = lambda k: F.min_by("id", F.struct(F.xxhash64(F.lit(k), "r"), "r"))
-    return large.join(large.groupBy("h").agg(F.array_distinct(F.array(*[centre(k) for k in range(CENTRES)])).alias("centres")), "h")
+    centres = large.groupBy("h").agg(F.array_distinct(F.array(*[centre(k) for k in range(CENTRES)])).alias("centres"))
+    return large.join(materialize(centres, "dart-centres"), "h")  # written, so that a hot bucket can be split
 
 
 def candidate_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
@@ -350,13 +351,18 @@ def one_of_each(docs: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
     rows, texts = classify(docs.select("doc_id", "text"), similar=similar)
     own = rows.join(texts, "content").withColumn("keep", F.col("first") & F.col("doc_id").eqNullSafe(F.col("one")))
     own = own.groupBy("content", F.col("doc_id").alias("d_id")).agg(F.first("keep").alias("keep"), F.count(F.lit(1)).alias("n"))
-    odd = materialize(own.where("not keep or n > 1").withColumnRenamed("content", "d_content"), "dart-odd")
+    own = materialize(own.where("not keep or n > 1").withColumnRenamed("content", "d_content"), "dart-odd")
+    odd = own.drop("keep", "n")
+    repeated = materialize(own.where("keep").drop("keep", "n"), "dart-repeated")
     names = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("k_id"), content(F.col("text")).alias("k_content"))
     same = (F.col("k_content") == F.col("d_content")) & F.col("k_id").eqNullSafe(F.col("d_id"))
-    alone = keyed.join(odd.drop("keep", "n"), same, "left_anti")
-    repeated = keyed.join(odd.where("keep").drop("keep", "n"), same).groupBy("k_content", "k_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return alone.select("row.*").unionByName(repeated.select("row.*"))
+    # what is dropped grows with the corpus, so this join is a shuffle at every size
+    alone = keyed.join(odd.hint("merge"), same, "left_anti").select("row.*")
+    if repeated.isEmpty():
+        return alone
+    repeated = keyed.join(repeated, same).groupBy("k_content", "k_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return alone.unionByName(repeated.select("row.*"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
