@@ -3,35 +3,34 @@
 Two places share a 400-byte string exactly if the suffixes that start there
 agree in their first 400 bytes. Sorting all suffixes of a corpus would move it
 many times over, so the suffixes are first dealt into bins in which all equal
-ones meet, and each bin is sorted by the difference-cover algorithm. The same
-sort tells passages that documents share: strings of ``SHORT`` bytes (about 50
-short words) that also stand in another document. They are reported, not removed.
-
-1. Each window of SHORT bytes is assigned to its anchor: the leftmost of its
-   100-byte grams with the least hash. Equal windows have equal anchors in equal
-   places, so a window whose anchor gram occurs in one place only is not repeated.
-   The windows of one anchor in a row form a run, with the bytes up to 400 from its
-   last start; only runs of repeated anchors stay.
+ones meet, and each bin is sorted by the difference-cover algorithm.
+
+1. Each 400-byte window is assigned to its anchor: the leftmost of its 150-byte
+   grams with the least hash. Equal windows have equal anchors in equal places,
+   so a window whose anchor gram occurs in one place only is not repeated. The
+   windows of one anchor in a row form a run; only runs of repeated anchors stay.
 2. Runs of equal bytes (told by 128-bit BLAKE2 digests) are collapsed. If they
    stand in several places, all their windows are repeated.
 3. An anchor with many different runs (more than ``HOT_BYTES`` of them) is split:
    each run is cut by the anchor's place in the window into 2, 4, ... 256 cells, and
    the cell's windows are keyed by the bytes that all of them hold. Equal windows
-   keep equal keys, and keys that occur once are dropped. The last cells are single
-   windows, which are counted by their 250 and their 400 bytes, however many there are.
+   keep equal keys, keys that occur once are dropped, and cells of one place hold
+   nothing but equal windows, so every group ends small.
 4. Other runs that share a key but differ go to one bin, and the bin's suffix array
    is built by DC3 (mod-3 difference cover): sample triples are sorted and named,
    names that tie are sorted by recursion, the remaining suffixes are merged in,
-   and neighbours in the array are compared over 400 and over SHORT bytes.
-5. The bytes that repeated 400-byte windows cover are removed from each document.
+   and neighbours in the array are compared over 400 bytes.
+5. The bytes that repeated windows cover are removed from each document.
+
+Anchors that stand in another document too are counted (``n_shared``). They tell of
+shared passages that are too short to be removed: of 300 bytes, say, three in four.
 
 Whole texts that several rows share are removed without any of this, and count
 as one text for the others.
 
 Defined results: a null text is empty; texts under 400 bytes keep all bytes;
 rows are judged by text, so null or repeated ids do no harm, and repeated rows
-of 400 bytes or more are copies of each other (and share their text from SHORT
-bytes on); texts of over ``PIECE`` bytes are cut to pieces that overlap; columns
+of 400 bytes or more are copies of each other; texts of over ``PIECE`` bytes are cut to pieces that overlap; columns
 named like an output column are replaced; an empty table gives no rows.
 """
 
@@ -39,19 +38,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, read_table
 from .text_hash import U, mix, powers
 
 LENGTH = 400
-#: Strings of so many bytes that other documents hold too are reported: 50 words, space after each, seldom have fewer.
-SHORT = 250
-GRAM = 100
+GRAM = 150
 #: Bytes of runs in a bin.
 BIN_BYTES = 1 << 20
 #: A group of runs of more bytes is split before it goes to a bin.
@@ -174,15 +172,15 @@ def _eights(raw: np.ndarray) -> np.ndarray:
 def anchored_runs(raw: bytes) -> tuple[list, list, list, list]:
     """Anchor gram, digest of the run's bytes, first window and number of windows of each run."""
     g, s, n = [], [], []
-    for at in range(0, max(0, len(raw) - SHORT) + 1, PIECE):
-        if len(raw) - at >= SHORT:
-            for out, part in zip((g, s, n), _runs(raw[at : at + PIECE + SHORT - 1], at), strict=True):
+    for at in range(0, max(0, len(raw) - LENGTH) + 1, PIECE):
+        if len(raw) - at >= LENGTH:
+            for out, part in zip((g, s, n), _runs(raw[at : at + PIECE + LENGTH - 1], at), strict=True):
                 out += part.tolist()
     return g, [body(raw, f, k) for f, k in zip(s, n, strict=True)], s, n
 
 
 def body(raw: bytes, s: int, n: int) -> bytes:
-    """Digest of what ``n`` windows from ``s`` on may share: their bytes, and those up to LENGTH from the last start."""
+    """Digest of the bytes of ``n`` windows from ``s`` on."""
     return hashlib.blake2b(b"%d," % n + raw[s : s + n - 1 + LENGTH], digest_size=16).digest()
 
 
@@ -193,12 +191,12 @@ def _runs(raw: bytes, shift: int):
     np.cumsum((a.astype(U) + U(1)) * up[:-1], out=total[1:])
     gram = mix((total[GRAM:] - total[:-GRAM]) * down[: len(a) - GRAM + 1])
     key = (gram & ~_PLACE) | np.arange(len(gram)).astype(U)
-    width = SHORT - GRAM + 1
+    width = LENGTH - GRAM + 1
     fill = -len(key) % width
     grid = np.concatenate([key, np.full(fill, np.iinfo(np.uint64).max)]).reshape(-1, width)
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    n = len(a) - SHORT + 1
+    n = len(a) - LENGTH + 1
     anchor = (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & _PLACE).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     return gram[anchor[first]].view(np.int64), first + shift, np.diff(np.concatenate([first, [n]]))
@@ -209,18 +207,18 @@ def split_run(raw: bytes, g: int, s: int, n: int, p: int, level: int) -> list[tu
     anchor's place in a window: key, body, s, n, p of each. ``p`` is where the
     anchor is in ``raw``, or -1 if its gram hash ``g`` is yet to be found."""
     if p < 0:
-        near = np.frombuffer(raw, np.uint8, SHORT, s)
-        up, down = powers(SHORT + 1)
-        total = np.concatenate([np.zeros(1, U), np.cumsum((near.astype(U) + U(1)) * up[:SHORT], dtype=U)])
-        gram = mix((total[GRAM:] - total[:-GRAM]) * down[: SHORT - GRAM + 1])
+        near = np.frombuffer(raw, np.uint8, LENGTH, s)
+        up, down = powers(LENGTH + 1)
+        total = np.concatenate([np.zeros(1, U), np.cumsum((near.astype(U) + U(1)) * up[:LENGTH], dtype=U)])
+        gram = mix((total[GRAM:] - total[:-GRAM]) * down[: LENGTH - GRAM + 1])
         p = s + int(np.flatnonzero(gram.view(np.int64) == g)[0])
     width, out = 256 >> level, []
     last = p - s  # the anchor's place in the first window; it falls by one with each
     while n > 0:
         low = last // width * width
-        high = min(low + width - 1, SHORT - GRAM)
+        high = min(low + width - 1, LENGTH - GRAM)
         k = min(n, last - low + 1)
-        key = b"%d,%d," % (level, low) + raw[p - low : p + SHORT - high]
+        key = b"%d,%d," % (level, low) + raw[p - low : p + LENGTH - high]
         digest = hashlib.blake2b(key, digest_size=8).digest()
         out.append((int.from_bytes(digest, "little", signed=True), body(raw, s, k), s, k, p))
         s, n, last = s + k, n - k, last - k
@@ -235,11 +233,11 @@ def ranges(starts: np.ndarray) -> list[dict]:
     return [{"from": int(f), "to": int(t) + 1} for f, t in zip(starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [-1]])], strict=True)]
 
 
-def covered(windows: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
-    """Byte spans that windows of ``length`` starting in (from, to) cover, joined where they touch."""
+def covered(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Byte spans that windows starting in (from, to) cover, joined where they touch."""
     out: list[list[int]] = []
     for f, t in sorted(windows):
-        e = t - 1 + length
+        e = t - 1 + LENGTH
         if out and f <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
@@ -259,17 +257,16 @@ def _flat_runs(docs: DataFrame) -> DataFrame:
             rows = [anchored_runs(t.encode("utf-8", "surrogatepass")) for t in part]
             yield pd.DataFrame({c: [r[k] for r in rows] for k, c in enumerate("gbsn")})
 
-    stored = docs.select("content", F.octet_length("text").alias("bytes"), runs(F.col("text")).alias("r")).select("content", "bytes", "r.*")
-    flat = materialize(stored, "suffix-runs").select("content", "bytes", F.explode(F.arrays_zip("g", "b", "s", "n")).alias("r"))
-    return flat.select("content", "r.*", (F.col("bytes") - F.col("r.s")).cast("int").alias("size"))
+    stored = materialize(docs.select("content", runs(F.col("text")).alias("r")).select("content", "r.*"), "suffix-runs")
+    return stored.select("content", F.explode(F.arrays_zip("g", "b", "s", "n")).alias("r")).select("content", "r.*")
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for content, text, wanted in zip(batch["content"], batch["text"], batch["wanted"], strict=True):
+        for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             yield pd.DataFrame({
-                "g": [w["g"] for w in wanted], "b": [w["b"] for w in wanted], "wide": [w["wide"] for w in wanted], "content": [content] * len(wanted),
+                "g": [w["g"] for w in wanted], "b": [w["b"] for w in wanted],
                 "run": [raw[w["s"] : w["s"] + w["n"] - 1 + LENGTH] for w in wanted],
             })
 
@@ -279,118 +276,80 @@ def _splitter(level: int):
         for batch in batches:
             for content, text, wanted in zip(batch["content"], batch["text"], batch["wanted"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                rows = [(content, g, b, s, n, len(raw) - s, p) for w in wanted for g, b, s, n, p in split_run(raw, w["g"], w["s"], w["n"], w["p"], level)]
-                yield pd.DataFrame(rows, columns=["content", "g", "b", "s", "n", "size", "p"])
+                rows = [(content, *x) for w in wanted for x in split_run(raw, w["g"], w["s"], w["n"], w["p"], level)]
+                yield pd.DataFrame(rows, columns=["content", "g", "b", "s", "n", "p"])
 
     return split
 
 
 def _repeated(flat: DataFrame) -> DataFrame:
-    """The runs whose key stands in several places. ``flat`` has no equal rows."""
+    """The runs whose key stands in several places, and whether it stands in several texts (wide). ``flat`` has no equal rows."""
     place = F.xxhash64("content", "s")
-    repeated = flat.groupBy("g").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("g")
-    return flat.join(materialize(repeated, "suffix-keys"), "g", "left_semi")
+    keys = flat.groupBy("g").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), (F.min("content") != F.max("content")).alias("wide"))
+    return flat.join(materialize(keys.where("lo <> hi").select("g", "wide"), "suffix-keys"), "g")
 
 
 def _bodies(runs: DataFrame) -> DataFrame:
-    """One place of each body, its places, and whether they are in several texts."""
-    return runs.groupBy("g", "b").agg(
-        F.min(F.struct("content", "s", "n", "size")).alias("one"), F.count(F.lit(1)).alias("places"), (F.min("content") != F.max("content")).alias("wide")
-    )
-
-
-def _windows(of: Column, start: Column, n: Column) -> Column:
-    return F.when(of & (n > 0), F.array(F.struct(start.cast("int").alias("from"), (start + n).cast("int").alias("to")))).otherwise(F.array().cast(RANGES))
+    return runs.groupBy("g", "b").agg(F.min(F.struct("content", "s", "n")).alias("one"), F.count(F.lit(1)).alias("places"))
 
 
-def _long_windows(n: Column, size: Column) -> Column:
-    """How many of a run's windows have LENGTH bytes; ``size`` is the number of bytes from its start to the text's end."""
-    return F.greatest(F.least(n, size - LENGTH + 1), F.lit(0))
-
-
-def split_hot(docs: DataFrame, runs: DataFrame, bodies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """``runs`` and ``bodies`` with every group of more than HOT_BYTES split, and
-    the windows (content, long, short) of those that end as single windows."""
-    runs, single = runs.withColumn("p", F.lit(-1)), None
-    columns = ["content", "g", "b", "s", "n", "size"]
-    for level in range(1, 9):
+def split_hot(docs: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``runs`` with every group of more than HOT_BYTES split, and their bodies."""
+    runs, parts = runs.withColumn("p", F.lit(-1)), []
+    for level in range(1, 10):
+        bodies = materialize(_bodies(runs), "suffix-bodies")
         hot = bodies.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("one.n").cast("long") + LENGTH).alias("bytes"))
         hot = materialize(hot.where((F.col("k") > 1) & (F.col("bytes") > HOT_BYTES)).select("g"), "suffix-hot")
-        if hot.isEmpty():
+        if level == 9 or hot.isEmpty():
+            parts.append((runs, bodies))
             break
+        parts.append((runs.join(hot, "g", "left_anti"), bodies.join(hot, "g", "left_anti")))
         wanted = runs.join(hot, "g", "left_semi").groupBy("content").agg(F.collect_list(F.struct("g", "s", "n", "p")).alias("wanted"))
         cells = docs.join(wanted, "content").select("content", "text", "wanted")
-        cells = cells.mapInPandas(_splitter(level), "content binary, g long, b binary, s int, n int, size int, p int")
-        cells = materialize(_repeated(materialize(cells, "suffix-cells")), "suffix-repeated")
-        runs = runs.join(hot, "g", "left_anti").select(*columns, "p")
-        bodies = bodies.join(hot, "g", "left_anti")
-        if level < 8:
-            runs, bodies = runs.unionByName(cells), bodies.unionByName(materialize(_bodies(cells), "suffix-bodies"))
-        else:
-            wide = materialize(cells.groupBy("g").agg((F.min("content") != F.max("content")).alias("wide")).where("wide").select("g", "wide"), "suffix-wide")
-            twice = materialize(cells.groupBy("g", "b").agg(F.count(F.lit(1)).alias("places")).where("places > 1"), "suffix-twice")
-            told = cells.join(wide, "g", "left").join(twice, ["g", "b"], "left")
-            single = told.select(
-                "content", _windows(F.col("places").isNotNull(), F.col("s"), _long_windows(F.col("n"), F.col("size"))).alias("long"),
-                _windows(F.col("wide").isNotNull(), F.col("s"), F.col("n")).alias("short"),
-            )
-    return runs.select(columns), bodies, single
+        cells = cells.mapInPandas(_splitter(level), "content binary, g long, b binary, s int, n int, p int")
+        runs = materialize(_repeated(materialize(cells, "suffix-cells")), "suffix-repeated")
+    together = lambda frames: reduce(DataFrame.unionByName, frames)
+    return together([r.select("content", "g", "b", "s", "n") for r, _ in parts]), together([b for _, b in parts])
 
 
 def _sort_bin(bin_: pd.DataFrame) -> pd.DataFrame:
-    array = SortedRuns(list(bin_["run"]))
-    group, order = array.groups(LENGTH)
-    long_ = array.by_run(order[np.bincount(group)[group] > 1])
-    group, order = array.groups(SHORT)
-    text = pd.factorize(bin_["content"])[0][array.run[order]]
-    lo, hi = np.full(len(order), len(bin_)), np.full(len(order), -1)
-    np.minimum.at(lo, group, text)
-    np.maximum.at(hi, group, text)
-    wide = lo < hi
-    np.logical_or.at(wide, group, bin_["wide"].to_numpy(bool)[array.run[order]])
-    short = array.by_run(order[wide[group]])
-    return pd.DataFrame({"g": bin_["g"], "b": bin_["b"], "long": [ranges(h) for h in long_], "short": [ranges(h) for h in short]})
+    hits = repeated_starts(list(bin_["run"]))
+    return pd.DataFrame({"g": bin_["g"], "b": bin_["b"], "windows": [ranges(h) for h in hits]})
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """``docs``: text, content (distinct). Returns content, long and short: the ranges
-    of starts of windows of LENGTH bytes that stand elsewhere, and of windows of
-    SHORT bytes that stand in another text."""
-    flat = _flat_runs(docs)
-    runs = materialize(_repeated(flat), "suffix-repeated")
-    runs, bodies, single = split_hot(docs, runs, materialize(_bodies(runs), "suffix-bodies"))
+    """``docs``: text, content (distinct). Returns content, windows (the ranges of
+    starts of repeated windows) and n_shared (anchors that other texts have too)."""
+    runs = materialize(_repeated(_flat_runs(docs)), "suffix-repeated")
+    shared = runs.groupBy("content").agg(F.count_if("wide").alias("n_shared"))
+    runs, bodies = split_hot(docs, runs.select("content", "g", "b", "s", "n"))
     several = materialize(bodies.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g"), "suffix-several")
-    sought = bodies.join(several, "g", "left_semi").select("g", "b", "wide", "one.*")
+    sought = bodies.join(several, "g", "left_semi").select("g", "b", "one.*")
     total = sought.agg(F.coalesce(F.sum(F.col("n") + LENGTH), F.lit(0))).first()[0]
     n_bins = max(1, -(-total // BIN_BYTES))
-    wanted = sought.groupBy("content").agg(F.collect_list(F.struct("g", "b", "s", "n", "wide")).alias("wanted"))
-    cut = docs.join(wanted, "content").select("content", "text", "wanted").mapInPandas(_cut, "g long, b binary, wide boolean, content binary, run binary")
+    wanted = sought.groupBy("content").agg(F.collect_list(F.struct("g", "b", "s", "n")).alias("wanted"))
+    cut = docs.join(wanted, "content").select("text", "wanted").mapInPandas(_cut, "g long, b binary, run binary")
     bins = cut.groupBy(F.pmod("g", F.lit(n_bins)).alias("bin"))
-    sorted_ = bins.applyInPandas(lambda pdf: _sort_bin(pdf), f"g long, b binary, long {RANGES}, short {RANGES}")
-    sorted_ = materialize(sorted_.where("size(long) + size(short) > 0"), "suffix-sorted")
-    zero, n = F.lit(0), F.col("one.n")
-    found = bodies.join(sorted_, ["g", "b"], "left").select(
-        "g", "b",
-        F.when(F.col("places") > 1, _windows(F.lit(True), zero, _long_windows(n, F.col("one.size")))).otherwise(F.coalesce("long", F.array().cast(RANGES))).alias("long"),
-        F.when(F.col("wide"), _windows(F.lit(True), zero, n)).otherwise(F.coalesce("short", F.array().cast(RANGES))).alias("short"),
-    )
-    found = materialize(found.where("size(long) + size(short) > 0"), "suffix-found")
-    moved = lambda w: F.transform(w, lambda x: F.struct((x["from"] + F.col("s")).alias("from"), (x["to"] + F.col("s")).alias("to")))
-    out = runs.join(found, ["g", "b"]).select("content", moved("long").alias("long"), moved("short").alias("short"))
-    out = out if single is None else out.unionByName(single)
-    return out.groupBy("content").agg(F.flatten(F.collect_list("long")).alias("long"), F.flatten(F.collect_list("short")).alias("short"))
+    sorted_ = bins.applyInPandas(lambda pdf: _sort_bin(pdf), f"g long, b binary, windows {RANGES}")
+    sorted_ = materialize(sorted_.where(F.size("windows") > 0), "suffix-sorted")
+    whole = F.array(F.struct(F.lit(0).alias("from"), F.col("one.n").alias("to")))
+    found = bodies.join(sorted_, ["g", "b"], "left").select("g", "b", F.when(F.col("places") > 1, whole).otherwise(F.col("windows")).alias("windows"))
+    found = materialize(found.where("windows is not null"), "suffix-found")
+    moved = lambda w: F.struct((w["from"] + F.col("s")).alias("from"), (w["to"] + F.col("s")).alias("to"))
+    out = runs.join(found, ["g", "b"]).select("content", F.transform("windows", moved).alias("windows"), F.lit(0).cast("long").alias("n_shared"))
+    out = out.unionByName(shared.select("content", F.lit(None).cast(RANGES).alias("windows"), "n_shared"))
+    return out.groupBy("content").agg(F.flatten(F.collect_list("windows")).alias("windows"), F.sum("n_shared").alias("n_shared"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` (with doc_id, text) plus n_bytes, removed (byte spans), kept (binary)
-    and shared: byte spans of SHORT bytes or more of which another document holds each SHORT bytes."""
+    """``docs`` (with doc_id, text) plus n_bytes, removed (byte spans), kept (binary) and n_shared."""
     kind = "array<struct<start:int,end:int>>"
 
-    @F.pandas_udf(f"removed {kind}, kept binary, shared {kind}")
-    def keep(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, long_, short in parts:
-            removed, kept, shared = [], [], []
-            for text, w, v in zip(texts, long_, short, strict=True):
+    @F.pandas_udf(f"removed {kind}, kept binary")
+    def keep(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, windows in parts:
+            removed, kept = [], []
+            for text, w in zip(texts, windows, strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 spans = covered([(x["from"], x["to"]) for x in w]) if w is not None else []
                 at, rest = 0, []
@@ -399,30 +358,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     at = e
                 removed.append([{"start": s, "end": e} for s, e in spans])
                 kept.append(b"".join([*rest, raw[at:]]))
-                shared.append([{"start": s, "end": e} for s, e in (covered([(x["from"], x["to"]) for x in v], SHORT) if v is not None else [])])
-            yield pd.DataFrame({"removed": removed, "kept": kept, "shared": shared})
+            yield pd.DataFrame({"removed": removed, "kept": kept})
 
-    docs = docs.drop("n_bytes", "removed", "kept", "shared")
+    docs = docs.drop("n_bytes", "removed", "kept", "n_shared")
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("content"))
-    long_ = keyed.where(F.octet_length("text") >= SHORT).select("content", "text")
+    long_ = keyed.where(F.octet_length("text") >= LENGTH).select("content", "text")
     copies = materialize(long_.groupBy("content").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("content"), "suffix-copies")
     # equal texts meet in the tasks that read them first, so a text of many rows moves a few times only
     windows = repeated_windows(materialize(long_.groupBy("content").agg(F.first("text").alias("text")), "suffix-texts"))
-    told = materialize(windows.join(copies, "content", "left_anti"), "suffix-told")
-    told = told.withColumn("copy", F.lit(False)).unionByName(copies.select("content", F.lit(None).cast(RANGES).alias("long"), F.lit(None).cast(RANGES).alias("short"), F.lit(True).alias("copy")))
+    whole = copies.select("content", F.lit(None).cast(RANGES).alias("windows"), F.lit(1).cast("long").alias("n_shared"), F.lit(True).alias("copy"))
+    told = materialize(windows.join(copies, "content", "left_anti").withColumn("copy", F.lit(False)).unionByName(whole), "suffix-told")
     joined = keyed.join(told, "content", "left")
     n = F.octet_length("text")
-    all_of = lambda length, name: F.when(F.col("copy"), _windows(F.lit(True), F.lit(0), n - length + 1)).otherwise(F.col(name))
-    out = joined.select("row", "text", all_of(LENGTH, "long").alias("long"), all_of(SHORT, "short").alias("short"))
-    out = out.select("row", n.cast("long").alias("n_bytes"), keep("text", "long", "short").alias("k"))
-    return out.select("row.*", "n_bytes", "k.removed", "k.kept", "k.shared")
+    all_of = F.array(F.struct(F.lit(0).alias("from"), (n - LENGTH + 1).cast("int").alias("to")))
+    out = joined.select("row", "text", "n_shared", F.when(F.col("copy"), all_of).otherwise(F.col("windows")).alias("windows"))
+    out = out.select("row", n.cast("long").alias("n_bytes"), keep("text", "windows").alias("k"), F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
+    return out.select("row.*", "n_bytes", "k.removed", "k.kept", "n_shared")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return out.select(
-        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
-        F.size("shared").cast("long").alias("n_shared"),
-    )
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_shared"
+    )
