@@ -206,8 +206,8 @@ def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     docs = docs.drop("lang_pred", "score")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.select(*columns, predict(F.col("text")).alias("cnn_out")).select(*columns, "cnn_out.lang_pred", "cnn_out.score")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), predict(F.col("text")).alias("found")).select("row.*", "found.lang_pred", "found.score")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

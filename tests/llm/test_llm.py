@@ -369,6 +369,7 @@ def test_distant_repeats_are_labelled(spark, none):
     text = "call +1 (555) 867-5309 today. " + texts(1, 5, 40)[0] + " again 5558675309 there"
     base, spans = pii.find(model, [text])[0]
     assert base == pii.base_spans(text) and set(base) <= set(spans)
+    assert [text[s:e] for k, s, e in spans if (k, s, e) not in base] == ["5558675309"]
     assert pii.find(model, [None, "", plain[0]]) == [([], [])] * 3
     assert pii.find(None, [text])[0] == (base, base)
     assert pii.detect(none.select("doc_id", "text"), pii.train(none)).count() == 0
@@ -389,9 +390,32 @@ def test_numbers_are_found_in_documents_without_base_spans():
     assert pii.find(model, [f"item 3 of 12 in 2024 {words}"]) == [([], [])]
 
 
+def test_planted_repeats_are_caught_and_plain_numbers_left(spark):
+    """The model of a corpus finds repeats in other forms, and nothing in documents of years, amounts and counts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model, rng, caught = pii.train(docs), random.Random(8), 0
+    for k, words in enumerate(texts(60, 14, 30)):
+        n = f"{rng.randrange(200, 999)}555{rng.randrange(1000, 9999)}"
+        form = (n, f"({n[:3]}) {n[3:6]}-{n[6:]}", f"{n[:3]}-{n[3:6]}-{n[6:]}", f"{n[:3]}.{n[3:6]}.{n[6:]}")[k % 4]
+        text = f"reach me at +1 ({n[:3]}) {n[3:6]}-{n[6:]} or so {words} again {form} there"
+        base, spans = pii.find(model, [text])[0]
+        caught += [text[s:e] for kind, s, e in spans if (kind, s, e) not in base] == [form]
+    assert caught >= 54
+    plain = [f"in {rng.randrange(1900, 2030)} some {rng.randrange(1, 10**rng.randrange(1, 9))} of {rng.randrange(1, 99)}.{rng.randrange(10)} % {w}" for w in texts(200, 15, 20)]
+    assert sum(bool(spans) for _, spans in pii.find(model, plain)) == 0
+
+
+def test_odd_tables_of_personal_data(spark):
+    rows = [(1, "mail a@b.co " * 3), (1, "mail a@b.co " * 3), (None, "x" * 400_000 + " 10.0.0.1 " + "7 " * 50_000), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("base", "spans", "crf_out")})
+    got = pii.detect(df, None)
+    assert sorted((str(r.doc_id), len(r.base)) for r in got.collect()) == [("1", 3), ("1", 3), ("3", 0), ("4", 0), ("None", 1)]
+    assert got.columns == ["doc_id", "text", "crf_out", "base", "spans"]
+
+
 def test_repeats_are_labelled_at_any_distance():
     model = pii_model()
-    for form, shown in (("555.867.5309", True), ("5558675309", False)):
+    for form, shown in (("555.867.5309", True), ("5558675309", True)):
         for n in (1, 50):
             text = "call +1 (555) 867-5309 today. " + " ".join(f"{w} again {form} there" for w in texts(n, 5, 6))
             d = pii.Document(text)
