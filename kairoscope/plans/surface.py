@@ -207,12 +207,19 @@ def health_verdict(spark, sf):
 
 
 @query("alert_on_second_failure", "", """
-    SELECT event_id, user_id FROM (SELECT *, lag(event_type) OVER x AS a, lag(event_type, 2) OVER x AS b FROM events WINDOW x AS (PARTITION BY user_id ORDER BY ts, event_id))
-    WHERE event_type = 'error' AND a = 'error' AND b IS DISTINCT FROM 'error'""")
+    WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM
+        (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE event_type = 'error' AND before = 'error'),
+    a AS (SELECT user_id, 1::BIGINT AS rn UNION ALL
+        SELECT a.user_id, min(x.rn) FROM a JOIN e y ON y.user_id = a.user_id AND y.rn = a.rn JOIN e x ON x.user_id = y.user_id AND x.ts >= y.ts + INTERVAL 12 HOUR GROUP BY a.user_id, a.rn)
+    SELECT e.event_id, e.user_id FROM e JOIN a ON a.user_id = e.user_id AND a.rn = e.rn""".replace("SELECT user_id, 1::BIGINT AS rn UNION", "SELECT DISTINCT user_id, 1::BIGINT AS rn FROM e UNION"))
 def alert_on_second_failure(spark, sf):
+    """A failure after a failure gives an alert, but none within 12 hours of the last."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.lag("event_type").over(w).alias("a"), F.lag("event_type", 2).over(w).alias("b"))
-    return rows.where("event_type = 'error' and a = 'error' and not (b <=> 'error')").select("event_id", "user_id")
+    rows = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", F.lag("event_type").over(w).alias("before"))
+    failures = rows.where("event_type = 'error' and before = 'error'").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("f"))
+    alerts = F.expr("""aggregate(f, named_struct('last', CAST(NULL AS TIMESTAMP), 'out', CAST(array() AS ARRAY<BIGINT>)),
+        (s, x) -> IF(s.last IS NULL OR CAST(x.ts AS TIMESTAMP) >= s.last + INTERVAL 12 HOURS, named_struct('last', CAST(x.ts AS TIMESTAMP), 'out', array_append(s.out, x.event_id)), s), s -> s.out)""")
+    return failures.select(F.explode(alerts).alias("event_id"), "user_id")
 
 
 @query("csv_export", "h_signal", """
@@ -232,11 +239,16 @@ def redacted_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", S.redact("text").alias("redacted"))
 
 
-@query("challenge_pages", "", """
-    WITH h AS (SELECT page_id, lower(substr(ltrim(html), 1, 512)) AS x FROM pages)
-    SELECT page_id, starts_with(x, '<!doctype') OR starts_with(x, '<html') OR contains(x, '<script') OR contains(x, 'enable javascript') AS challenge FROM h""")
+@query("challenge_pages", "", r"""
+    WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN html WHEN 1 THEN 'Date,Close' || chr(10) || '2024-01-02,1' WHEN 2 THEN repeat('a', 250) || '<script' ELSE chr(10) || ' x _CF_CHL_opt' END AS body,
+        CASE WHEN page_id % 11 = 0 THEN 'Application/JavaScript' WHEN page_id % 13 = 0 THEN 'TEXT/HTML; charset=utf-8' WHEN page_id % 3 = 0 THEN 'text/csv' END AS kind FROM pages),
+    h AS (SELECT page_id, lower(coalesce(kind, '')) AS t, lower(substr(regexp_replace(body, '^\s+', ''), 1, 256)) AS x FROM p)
+    SELECT page_id, contains(t, 'text/html') OR contains(t, 'javascript') OR starts_with(x, '<!doctype html') OR starts_with(x, '<html') OR contains(x, '<script') OR contains(x, '_cf_chl_') AS challenge FROM h""")
 def challenge_pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", R.challenge_page(F.col("html")).alias("challenge"))
+    k = F.col("page_id")
+    body = F.when(k % 4 == 0, F.col("html")).when(k % 4 == 1, "Date,Close\n2024-01-02,1").when(k % 4 == 2, "a" * 250 + "<script").otherwise("\n x _CF_CHL_opt")
+    kind = F.when(k % 11 == 0, "Application/JavaScript").when(k % 13 == 0, "TEXT/HTML; charset=utf-8").when(k % 3 == 0, "text/csv")
+    return table(spark, sf, "pages").select("page_id", R.challenge_page(body, kind).alias("challenge"))
 
 
 @query("series_manifest", "h_obs", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .. import params as P
 from ..functions import scalars as S
 from ..functions import scores as C
 from ..operators import asof as A
@@ -357,14 +358,30 @@ def drawdown_path(spark, sf):
     return N.drawdown(h_price(spark, sf), [], value="close").select("d", "peak", r6("drawdown", "drawdown"), "below")
 
 
-@query("live_stress", "h_price h_vix", """
-    WITH j AS (SELECT p.d, p.close, v.v FROM h_price p LEFT JOIN h_vix v ON p.d = v.d),
-    s AS (SELECT d, v, close / lag(close, 5) OVER (ORDER BY d) - 1 AS move FROM j)
-    SELECT d, round(move, 6) AS move, CASE WHEN move IS NULL OR v IS NULL THEN 'UNKNOWN' WHEN v > 28 OR move <= -0.04 THEN 'STRESSED' ELSE 'NORMAL' END AS stress FROM s""")
+# Live stress, over five steps.
+INDEX_STRESS, YIELD_STRESS, DOLLAR_STRESS = -0.04, 0.25, 0.02
+
+
+@query("live_stress", "h_price h_vix h_rate h_obs", """
+    WITH s AS (SELECT d, close / lag(close, 5) OVER (ORDER BY d) - 1 AS move FROM h_price),
+    y AS (SELECT d, rate - lag(rate, 5) OVER (ORDER BY d) AS y10 FROM h_rate),
+    u AS (SELECT d, v / lag(v, 5) OVER (ORDER BY d) - 1 AS dxy FROM h_obs WHERE series_id = '1-URGENT'),
+    j AS (SELECT s.d, s.move, y.y10 FROM s ASOF LEFT JOIN y ON y.d <= s.d),
+    k AS (SELECT j.*, u.dxy FROM j ASOF LEFT JOIN u ON u.d <= j.d),
+    l AS (SELECT k.*, v.v FROM k ASOF LEFT JOIN h_vix v ON v.d <= k.d)
+    SELECT d, round(move, 6) AS move, CASE WHEN v IS NULL OR move IS NULL OR y10 IS NULL OR dxy IS NULL THEN 'UNKNOWN'
+        WHEN v > 28 OR move < -0.04 OR y10 > 0.25 OR dxy > 0.02 THEN 'STRESSED' ELSE 'NORMAL' END AS stress FROM l""")
 def live_stress(spark, sf):
-    rows = h_price(spark, sf).join(h_vix(spark, sf), "d", "left").withColumn("move", F.col("close") / N.lag("close", 5, []) - 1)
-    stress = F.when(F.col("move").isNull() | F.col("v").isNull(), "UNKNOWN").when((F.col("v") > 28) | (F.col("move") <= -0.04), "STRESSED").otherwise("NORMAL")
-    return rows.select("d", r6("move", "move"), stress.alias("stress"))
+    """Last VIX, and what the index, the yield and the dollar did over their last five steps; any missing one makes the state unknown."""
+    ratio = lambda df, c, name: df.select("d", (F.col(c) / N.lag(c, 5, []) - 1).alias(name))
+    rows = ratio(h_price(spark, sf), "close", "move")
+    dollar = ratio(h_obs(spark, sf).where("series_id = '1-URGENT'"), "v", "dxy")
+    bond = h_rate(spark, sf).select("d", (F.col("rate") - N.lag("rate", 5, [])).alias("y10"))
+    for data, c in ((bond, "y10"), (dollar, "dxy"), (h_vix(spark, sf), "v")):
+        rows = A.asof_last(rows, data.withColumnRenamed(c, "x"), keys=[], carry=["x"], prefix="").drop("date").withColumnRenamed("x", c)
+    missing = F.col("v").isNull() | F.col("move").isNull() | F.col("y10").isNull() | F.col("dxy").isNull()
+    strain = (F.col("v") > P.VIX_STRESS) | (F.col("move") < INDEX_STRESS) | (F.col("y10") > YIELD_STRESS) | (F.col("dxy") > DOLLAR_STRESS)
+    return rows.select("d", r6("move", "move"), F.when(missing, "UNKNOWN").when(strain, "STRESSED").otherwise("NORMAL").alias("stress"))
 
 
 # ---------------------------------------------------------------- bitemporal

@@ -59,10 +59,12 @@ def daily_arrays(payloads: DataFrame) -> DataFrame:
     return rows.where(F.col("close").isNotNull() & (finite("close") == F.col("close"))).select("symbol", F.col("ts").cast("timestamp").cast("date").alias("d"), "close")
 
 
-def challenge_page(body: Column) -> Column:
-    """The response is a page for browsers, not data."""
-    head = F.lower(F.substring(F.ltrim(body), 1, 512))
-    return F.coalesce(head.startswith("<!doctype") | head.startswith("<html") | head.contains("<script") | head.contains("enable javascript"), F.lit(False))
+def challenge_page(body: Column, content_type: Column | None = None) -> Column:
+    """The response is a page for browsers, not data, by its content type or its first 256 characters."""
+    kind = F.lower(F.coalesce(content_type, F.lit(""))) if content_type is not None else F.lit("")
+    head = F.lower(F.substring(F.regexp_replace(body, r"^\s+", ""), 1, 256))
+    page = head.startswith("<!doctype html") | head.startswith("<html") | head.contains("<script") | head.contains("_cf_chl_")
+    return kind.contains("text/html") | kind.contains("javascript") | F.coalesce(page, F.lit(False))
 
 
 def operations_json(payloads: DataFrame, earliest: str = "2021-07-29") -> DataFrame:

@@ -165,6 +165,14 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
     assert sorted(r.k for r in rows) == [1, 2, 3]
 
 
+def test_a_replayed_batch_keeps_its_rows(spark, tmp_path):
+    target, schema = str(tmp_path / "out"), "k long, v double"
+    first, second = spark.createDataFrame([(1, 1.0), (2, 2.0)], schema), spark.createDataFrame([(2, 9.0), (3, 3.0)], schema)
+    for number, batch in ((0, first), (0, first), (1, second), (1, second), (2, second)):
+        G.write_batch(batch, number, target, ["k"])
+    assert sorted((r.k, r.v) for r in spark.read.parquet(target).collect()) == [(1, 1.0), (2, 2.0), (3, 3.0)]
+
+
 def test_parameters_cannot_drift():
     assert len(P.SERIES) == 18 and sum(P.WEIGHTS.values()) == pytest.approx(1.0)
     assert P.digest() == "5ce25092efb8781e7b3ad9fd145427aca454254765350b6a45fd99d948b772d4"
