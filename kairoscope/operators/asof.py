@@ -109,12 +109,16 @@ def validity_intervals(pit: DataFrame, *, key: list[str], vintage: str = "vintag
     return kept.withColumn("valid_to", F.lead(released).over(w))
 
 
+#: Buckets of keys that the intervals of a year are dealt to.
+KEY_BUCKETS = 32
+
+
 def bitemporal_frames(pit: DataFrame, events: DataFrame, *, key: list[str]) -> DataFrame:
     """For each event (event_id, model_date, decision_at) the row of each key that is visible:
     released by the decision, observed by the model date, of the highest vintage.
 
-    The range join meets the intervals of one year bucket only; an interval is
-    listed in each bucket that it spans.
+    The range join meets the intervals of one year and one bucket of keys only; an
+    interval is listed in each year that it spans, an event in each bucket of keys.
     """
     far = F.lit("9999-01-01").cast("timestamp")
     bucket = lambda t: F.year(t)
@@ -122,15 +126,23 @@ def bitemporal_frames(pit: DataFrame, events: DataFrame, *, key: list[str]) -> D
     last = events.agg(F.coalesce(F.max(F.year("decision_at")), F.lit(1900)).alias("__last"))
     spans = spans.crossJoin(F.broadcast(last)).where(F.year("released_at") <= F.col("__last"))
     spans = spans.withColumn("__b", F.explode(F.sequence(bucket("released_at"), F.least(bucket("__end"), F.greatest("__last", F.year("released_at"))))))
-    e = events.withColumn("__b", bucket("decision_at"))
-    joined = e.join(spans, "__b").where((F.col("released_at") <= F.col("decision_at")) & (F.col("decision_at") < F.col("__end")))
-    return joined.where(F.col("obs_date") <= F.col("model_date")).drop("__b", "__end", "__last")
+    spans = spans.withColumn("__k", F.pmod(F.xxhash64(*key), F.lit(KEY_BUCKETS)).cast("int"))
+    e = events.withColumn("__b", bucket("decision_at")).withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(KEY_BUCKETS - 1))))
+    joined = e.join(spans, ["__b", "__k"]).where((F.col("released_at") <= F.col("decision_at")) & (F.col("decision_at") < F.col("__end")))
+    return joined.where(F.col("obs_date") <= F.col("model_date")).drop("__b", "__k", "__end", "__last")
 
 
 def interval_join(points: DataFrame, ranges: DataFrame, *, on: str, start: str, end: str) -> DataFrame:
-    """Points in [start, end) of a small table of ranges; a null end is open. Adds n_matches."""
-    inside = (F.col(start) <= F.col(on)) & (F.col(end).isNull() | (F.col(end) > F.col(on)))
-    joined = points.join(ranges, inside, "left")
+    """Points in [start, end) of a table of ranges; a null end is open. Adds n_matches.
+
+    Points meet the ranges of their own year only; a range is listed in each year of the points that it spans.
+    """
+    years = points.agg(F.min(F.year(on)).alias("__y0"), F.max(F.year(on)).alias("__y1"))  # one row
+    spans = ranges.crossJoin(F.broadcast(years)).withColumn("__from", F.greatest(F.year(start), "__y0"))
+    spans = spans.withColumn("__to", F.least(F.coalesce(F.year(end), F.col("__y1")), F.col("__y1"))).where("__from <= __to")
+    spans = spans.withColumn("__y", F.explode(F.sequence("__from", "__to"))).drop("__from", "__to", "__y0", "__y1")
+    inside = (F.col("__p") == F.col("__y")) & (F.col(start) <= F.col(on)) & (F.col(end).isNull() | (F.col(end) > F.col(on)))
+    joined = points.withColumn("__p", F.year(on)).join(spans, inside, "left").drop("__p", "__y")
     return joined.withColumn("n_matches", F.count(F.col(start)).over(W.partitionBy(*points.columns)))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -31,6 +31,13 @@ def schedule(signals: DataFrame, prices: DataFrame, *, keys: list[str]) -> DataF
     return done.withColumn("old_exposure", old)
 
 
+def _on_days(rows: DataFrame, data: DataFrame, on: str, carry: str, prefix: str, strict: bool = False) -> DataFrame:
+    """As-of values for the days of ``rows``: looked up once for each day of the calendar, then joined by day,
+    so that the sessions of all keys never meet in one task."""
+    days = asof_last(rows.select(on).where(F.col(on).isNotNull()).distinct(), data, keys=[], on=on, data_on="d", carry=[carry], prefix=prefix, strict=strict)
+    return rows.join(days, on, "left")
+
+
 def daily_portfolio(sessions: DataFrame, vix: DataFrame, rates: DataFrame, *, keys: list[str]) -> DataFrame:
     """``sessions``: keys, d, close, target. Adds returns, costs, nav and complete.
 
@@ -39,8 +46,7 @@ def daily_portfolio(sessions: DataFrame, vix: DataFrame, rates: DataFrame, *, ke
     """
     w = W.partitionBy(*keys).orderBy("d")
     s = sessions.select(*sessions.columns, F.lag("d").over(w).alias("prev_d"), F.lag("close").over(w).alias("prev_close"), F.lag("target", 1, 0.0).over(w).alias("held"))
-    s = asof_last(s, rates, keys=[], on="prev_d", data_on="d", carry=["rate"], prefix="r_", strict=True)
-    s = asof_last(s, vix, keys=[], on="d", carry=["v"], prefix="x_")
+    s = _on_days(_on_days(s, rates, "prev_d", "rate", "r_", strict=True), vix, "d", "v", "x_")
     first = F.col("prev_d").isNull()
     days = F.datediff("d", "prev_d")
     annual = F.col("r_rate") / 100.0
@@ -93,8 +99,11 @@ def outcomes(executions: DataFrame, prices: DataFrame, cutoff: Column, *, keys:
     )
     got = got.withColumn("status", status).withColumn("exit_d", F.when(ok, F.col("x_date")))
     got = got.withColumn("total_return", F.when(ok, F.col("x_close") / F.col("price") - 1.0)).drop("x_date", "x_close")
-    path = got.where("status = 'OK'").select(*keys, "exec_d", "weeks", "exit_d").distinct().join(prices, keys) if keys else got.where("status = 'OK'").select("exec_d", "weeks", "exit_d").distinct().join(prices)
-    path = path.where(F.col("d").between(F.col("exec_d"), F.col("exit_d")))
+    # executions meet the prices of their own weeks only
+    week = lambda c: F.date_trunc("week", c).cast("date")
+    held = got.where("status = 'OK'").select(*keys, "exec_d", "weeks", "exit_d").distinct()
+    held = held.withColumn("__w", F.explode(F.sequence(week("exec_d"), week("exit_d"), F.expr("interval 7 days"))))
+    path = held.join(prices.withColumn("__w", week("d")), [*keys, "__w"]).where(F.col("d").between(F.col("exec_d"), F.col("exit_d")))
     worst = drawdown(path, [*keys, "exec_d", "weeks"], value="close").groupBy(*keys, "exec_d", "weeks").agg(F.min("drawdown").alias("worst_drawdown"))
     return got.join(worst, [*keys, "exec_d", "weeks"], "left")
 
@@ -102,34 +111,54 @@ def outcomes(executions: DataFrame, prices: DataFrame, cutoff: Column, *, keys:
 # ---------------------------------------------------------------- bootstraps
 
 
-def mulberry32(seed: int, n: int) -> list[float]:
-    """The first ``n`` draws of the 32-bit generator."""
-    mask, a, out = 0xFFFFFFFF, seed & 0xFFFFFFFF, []
-    for _ in range(n):
-        a = (a + 0x6D2B79F5) & mask
-        t = ((a ^ (a >> 15)) * (a | 1)) & mask
-        t = ((t + (((t ^ (t >> 7)) * (t | 61)) & mask)) & mask) ^ t
-        out.append((t ^ (t >> 14)) / 4294967296)
-    return out
+MASK = 0xFFFFFFFF
+#: Steps of the congruential generator that a draw's number may have, as a power of two.
+LCG_BITS = 40
+
+
+def _imul(x: Column, y: Column) -> Column:
+    """Product modulo 2**32 of two numbers under 2**32, in halves, as a long would overflow."""
+    low, high = x.bitwiseAND(F.lit(0xFFFF)), F.shiftright(x, 16)
+    return (F.shiftleft((high * y).bitwiseAND(F.lit(0xFFFF).cast("long")), 16) + low * y).bitwiseAND(F.lit(MASK))
 
 
-def lcg(seed: int, n: int) -> list[float]:
-    """Draws of x -> 1664525 x + 1013904223 modulo 2**32."""
-    out, x = [], seed & 0xFFFFFFFF
-    for _ in range(n):
-        x = (1664525 * x + 1013904223) & 0xFFFFFFFF
-        out.append(x / 4294967296)
-    return out
+def mulberry32(seed: int, k: Column) -> Column:
+    """Draw number ``k`` (from 0) of the 32-bit generator. Its state is a counter, so each draw stands alone."""
+    a = (F.lit(seed).cast("long") + (k.cast("long") + 1) * F.lit(0x6D2B79F5).cast("long")).bitwiseAND(F.lit(MASK))
+    steps = [
+        lambda a: _imul(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1).cast("long"))),
+        lambda t: (t + _imul(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61).cast("long")))).bitwiseAND(F.lit(MASK)).bitwiseXOR(t),
+        lambda t: t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(4294967296.0),
+    ]
+    held = F.array(a)
+    for step in steps:  # a lambda's variable holds each value once
+        held = F.transform(held, step)
+    return F.element_at(held, 1)
+
+
+def lcg(seed: int, k: Column) -> Column:
+    """Draw number ``k`` (from 0) of x -> 1664525 x + 1013904223 modulo 2**32.
+
+    The step applied 2**m times is again such a step, so a draw is reached by the bits of its number.
+    """
+    a, c, jumps = 1664525, 1013904223, []
+    for m in range(LCG_BITS):
+        jumps.append(F.struct(F.lit(m).alias("m"), F.lit(a).cast("long").alias("a"), F.lit(c).cast("long").alias("c")))
+        a, c = a * a & MASK, (a * c + c) & MASK
+    n = k.cast("long") + 1
+    bit = lambda j: F.call_function("getbit", n, j["m"]) == 1
+    x = F.aggregate(F.array(*jumps), F.lit(seed).cast("long"), lambda x, j: F.when(bit(j), (_imul(x, j["a"]) + j["c"]).bitwiseAND(F.lit(MASK))).otherwise(x))
+    return x / F.lit(4294967296.0)
 
 
-def block_draws(spark: SparkSession, n: int, *, block: int, iterations: int, draws: list[float], circular: bool = True) -> DataFrame:
-    """(iter, pos, idx): the rows that each resample takes, from draws made once on the driver.
+def block_bootstrap(rows: DataFrame, *, n: int, block: int, iterations: int, draw, first: int = 0) -> DataFrame:
+    """``rows`` (idx from 0) in resamples ``iter``: circular blocks from drawn starts, cut at ``n`` rows.
 
-    Only the block starts are shipped; the tasks expand them.
+    ``draw`` gives the uniform draw of a number; ``first`` is the number of the first one. All of it is made in tasks.
     """
     per = -(-n // block)
-    top = n if circular else n - block + 1
-    rows = [(b, k, int(draws[b * per + k] * top)) for b in range(iterations) for k in range(per)]
-    starts = spark.createDataFrame(rows, "iter int, k int, start int")
-    spread = starts.select("iter", (F.col("k") * block).alias("base"), "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o"))
-    return spread.select("iter", (F.col("base") + F.col("o")).alias("pos"), F.pmod(F.col("start") + F.col("o"), F.lit(n)).alias("idx")).where(F.col("pos") < n)
+    k = rows.sparkSession.range(iterations * per)
+    starts = k.select(F.floor(F.col("id") / per).alias("iter"), F.pmod("id", F.lit(per)).alias("b"), F.floor(draw(F.col("id") + first) * n).alias("start"))
+    spread = starts.select("iter", (F.col("b") * block).alias("base"), "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o"))
+    picked = spread.where(F.col("base") + F.col("o") < n).select("iter", F.pmod(F.col("start") + F.col("o"), F.lit(n)).alias("idx"))
+    return picked.join(rows, "idx")

@@ -118,10 +118,12 @@ def deflated_sharpe(observed, variance, trials, sample, skew, kurtosis) -> Colum
     """Deflated Sharpe ratio; null where it is not defined."""
     gamma, e = 0.5772156649015329, 2.718281828459045
     n = _c(trials)
-    expected = F.sqrt(_c(variance)) * (probit(1.0 - 1.0 / n) * (1 - gamma) + probit(1.0 - 1.0 / (n * e)) * gamma)
+    # each value is bound once: the approximations name their argument many times
+    bound = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    expected = F.sqrt(_c(variance)) * (bound(1.0 - 1.0 / n, probit) * (1 - gamma) + bound(1.0 - 1.0 / (n * e), probit) * gamma)
     under = F.lit(1.0) - _c(skew) * _c(observed) + (_c(kurtosis) - 1.0) / 4.0 * _c(observed) * _c(observed)
     stat = (_c(observed) - expected) * F.sqrt(_c(sample) - 1.0) / F.sqrt(F.when(under > 0, under))
-    return F.when((n >= 2) & (_c(sample) >= 2) & (_c(variance) > 2.220446049250313e-16), normal_cdf(stat))
+    return F.when((n >= 2) & (_c(sample) >= 2) & (_c(variance) > 2.220446049250313e-16), bound(stat, normal_cdf))
 
 
 def ic_weights(ics: DataFrame, keys: list[str], factor="factor", ic="ic", n="n") -> DataFrame:

@@ -31,17 +31,6 @@ def lag(value, n: int, keys: list[str], on="d") -> Column:
     return F.lag(value, n).over(W.partitionBy(*keys).orderBy(on))
 
 
-def cadence_ok(on, n: int, frequency: str, keys: list[str]) -> Column:
-    """The gaps between the last ``n`` dates all fit the frequency; false with fewer than two dates."""
-    if frequency not in P.CADENCE:
-        return F.lit(True)
-    low, high = P.CADENCE[frequency]
-    w = W.partitionBy(*keys).orderBy(on)
-    gap = F.datediff(on, F.lag(on).over(w))
-    good = F.when(gap.isNull(), None).otherwise(gap.between(low, high))
-    return good  # framed by the caller; see add_cadence
-
-
 def add_cadence(df: DataFrame, frequency: str, n: int, keys: list[str], on="d", name="cadence_ok") -> DataFrame:
     low, high = P.CADENCE[frequency]
     w = W.partitionBy(*keys).orderBy(on)
@@ -51,32 +40,55 @@ def add_cadence(df: DataFrame, frequency: str, n: int, keys: list[str], on="d",
     return gapped.withColumn(name, (bad == 0) & (F.count("__gap").over(frame) >= 1)).drop("__gap")
 
 
-def expanding_share(df: DataFrame, value: str, keys: list[str], on="d", name="share") -> DataFrame:
-    """Share of the history up to now, now included, that is at most the current value.
+#: Rows of a block of the dominance count.
+RANK_BLOCK = 512
+
+
+def earlier_at_most(df: DataFrame, value: str, keys: list[str], on="d", name="n_at_most") -> DataFrame:
+    """Adds the number of earlier rows of the series whose value is at most the row's own; null for a null value.
 
-    The history is split into blocks of 512 rows, each sorted once: a row looks
-    its value up in the earlier blocks by binary search (``array_position`` on
-    ranks would be linear) and counts inside its own block, so no pair of rows
-    of different blocks is ever joined.
+    Rows are cut into blocks of ``RANK_BLOCK`` twice, by time and by value. Counts of the
+    cells (time block, value block) and their two running sums give the rows that are earlier
+    and smaller by whole blocks; the rest lies in the row's own value block or time block, of
+    bounded size. No row carries its history.
     """
-    order = W.partitionBy(*keys).orderBy(on)
-    rows = df.withColumn("__n", F.row_number().over(order)).withColumn("__b", F.floor((F.col("__n") - 1) / 512))
-    history = W.partitionBy(*keys, "__b").orderBy(on).rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("__in", F.size(F.filter(F.collect_list(value).over(history), lambda x: x <= F.col(value))))
-    blocks = rows.groupBy(*keys, "__b").agg(F.array_sort(F.collect_list(value)).alias("__sorted"))
-    older = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.withColumn("__older", F.collect_list("__sorted").over(older)).drop("__sorted")
-    joined = rows.join(blocks, [*keys, "__b"])
-    below = F.aggregate("__older", F.lit(0), lambda a, b: a + F.size(F.filter(b, lambda x: x <= F.col(value))))
-    return joined.withColumn(name, (F.col("__in") + below) / F.col("__n")).drop("__n", "__b", "__in", "__older")
-
-
-def prior_mid_rank(value, keys: list[str], least: int, on="d") -> Column:
+    block = lambda c: F.floor((F.col(c) - 1) / RANK_BLOCK)
+    by = lambda *c: W.partitionBy("__key", *c)
+    rows = df.withColumn("__key", F.struct(*keys) if keys else F.lit(0)).where(F.col(value).isNotNull())
+    rows = rows.withColumn("__t", F.row_number().over(by().orderBy(on))).withColumn("__v", F.row_number().over(by().orderBy(value, "__t")))
+    rows = rows.withColumn("__tb", block("__t")).withColumn("__vb", block("__v"))
+    cells = rows.groupBy("__key", "__tb", "__vb").agg(F.count(F.lit(1)).alias("__n"))
+    span = lambda top: F.explode(F.sequence(F.lit(0).cast("long"), top))
+    grid = cells.groupBy("__key").agg(F.max("__tb").alias("__mt"), F.max("__vb").alias("__mv"))
+    grid = grid.select("__key", span("__mt").alias("__tb"), "__mv").select("__key", "__tb", span("__mv").alias("__vb"))
+    grid = grid.join(cells, ["__key", "__tb", "__vb"], "left").na.fill(0, ["__n"])
+    for part, order in (("__vb", "__tb"), ("__tb", "__vb")):
+        earlier = by(part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        grid = grid.withColumn("__n", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    mates = F.collect_list(F.struct(F.col("__tb").alias("tb"), F.col("__v").alias("v"))).over(by("__vb"))
+    beside = F.size(F.filter(mates, lambda x: (x["tb"] < F.col("__tb")) & (x["v"] < F.col("__v"))))
+    past = F.collect_list("__v").over(by("__tb").orderBy("__t").rowsBetween(W.unboundedPreceding, -1))
+    inside = F.size(F.filter(past, lambda x: x < F.col("__v")))
+    rows = rows.withColumn("__near", beside + inside).join(grid, ["__key", "__tb", "__vb"])
+    found = rows.select(*df.columns, (F.col("__near") + F.col("__n")).cast("long").alias(name))
+    return found.unionByName(df.where(F.col(value).isNull()).withColumn(name, F.lit(None).cast("long")))
+
+
+def expanding_share(df: DataFrame, value: str, keys: list[str], on="d", name="share") -> DataFrame:
+    """Share of the history up to now, now included, that is at most the current value."""
+    rows = earlier_at_most(df, value, keys, on, "__k")
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(on))
+    return rows.withColumn(name, (F.col("__k") + 1) / place).drop("__k")
+
+
+def add_prior_mid_rank(df: DataFrame, value: str, keys: list[str], least: int, on="d", name="rank") -> DataFrame:
     """Strictly prior mid-rank in percent: ties count half; null with under ``least`` earlier values."""
-    past = F.collect_list(value).over(W.partitionBy(*keys).orderBy(on).rowsBetween(W.unboundedPreceding, -1))
-    below = F.size(F.filter(past, lambda x: x < F.col(value)))
-    equal = F.size(F.filter(past, lambda x: x == F.col(value)))
-    return F.when((F.size(past) >= least) & F.col(value).isNotNull(), (below + equal * 0.5) / F.size(past) * 100.0)
+    rows = earlier_at_most(df, value, keys, on, "__k")
+    order = W.partitionBy(*keys).orderBy(on).rowsBetween(W.unboundedPreceding, -1)
+    equal = F.row_number().over(W.partitionBy(*keys, value).orderBy(on)) - 1
+    rows = rows.withColumn("__n", F.count(value).over(order)).withColumn("__e", equal)
+    rank = (F.col("__k") - F.col("__e") * 0.5) / F.col("__n") * 100.0
+    return rows.withColumn(name, F.when((F.col("__n") >= least) & F.col(value).isNotNull() & (F.col("__n") > 0), rank)).drop("__k", "__n", "__e")
 
 
 def _middle(a: Column) -> Column:

@@ -1,6 +1,6 @@
 """All queries over the driver's tables, with their SQL where there is any."""
 
-from . import evaluation, research, rules, surface, temporal  # noqa: F401  (they register themselves)
+from . import evaluation, flows, research, rules, surface, temporal  # noqa: F401  (they register themselves)
 from .harness import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

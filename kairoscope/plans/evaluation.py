@@ -260,14 +260,6 @@ def normal_functions(spark, sf):
     return rows.select("p", r6(probit("p"), "z"), r6(normal_cdf(probit("p")), "cdf"))
 
 
-@query("deflated_sharpe", "h_factor")
-def deflated_sharpe(spark, sf):
-    """Sharpe ratios of the factors as trials; no oracle, as the formula is checked against Python in the tests."""
-    trials = h_factor(spark, sf).groupBy("factor").agg((F.avg("f") / F.stddev_samp("f") / 10).alias("s"))
-    got = trials.agg(F.max("s").alias("best"), F.var_samp("s").alias("v"), F.count(F.lit(1)).cast("double").alias("n"))
-    return got.select(r6(X.deflated_sharpe("best", "v", "n", F.lit(250.0), F.lit(0.1), F.lit(3.2)), "dsr"), "n")
-
-
 # ---------------------------------------------------------------- simulation
 
 SCHEDULE = """e AS (SELECT s.*, p.d AS exec_d, p.close AS price FROM h_signal s ASOF LEFT JOIN (SELECT d, close, CAST(d AS TIMESTAMP) + INTERVAL 17 HOUR AS b FROM h_price) p ON s.tradable_at < p.b),
@@ -418,20 +410,3 @@ def ablation_arms(spark, sf):
     rows = h_factor(spark, sf).join(F.broadcast(weights), "factor").crossJoin(F.broadcast(arms)).where(~F.array_contains("dropped", F.col("factor")))
     rows = rows.groupBy("arm", "w").agg(r6(F.sum(F.col("f") * F.col("wt")) / F.sum("wt"), "score"))
     return rows.select("arm", "w", "score", N.hysteresis(C.band("score"), ["arm"], "w").alias("verdict"))
-
-
-@query("bootstrap_ic", "h_pairs")
-def bootstrap_ic(spark, sf):
-    """Circular block bootstrap of the IC with the 32-bit generator; held against a loop in the tests."""
-    pairs = h_pairs(spark, sf).select(F.col("score"), F.col("fwd"), (F.row_number().over(W.orderBy("d")) - 1).alias("idx"))
-    n, b = pairs.count(), P.BOOTSTRAP
-    if n < max(b["block"], 20):
-        return X.spearman(pairs.withColumn("all", F.lit(1)), "score", "fwd", ["all"]).select(r6("ic", "ic_low"), r6("ic", "ic_high"), F.lit(0).cast("long").alias("iterations"))
-    iterations = 200
-    draws = M.mulberry32(b["seed"], iterations * -(-n // b["block"]))
-    rows = M.block_draws(spark, n, block=b["block"], iterations=iterations, draws=draws).join(pairs, "idx")
-    ics = X.spearman(rows, "score", "fwd", ["iter"])
-    return ics.agg(
-        r6(F.expr("percentile(ic, 0.025D)"), "ic_low"), r6(F.expr("percentile(ic, 0.975D)"), "ic_high"),
-        r6(F.avg((F.col("ic") <= 0).cast("double")), "p_value"), F.count(F.lit(1)).alias("iterations"),
-    )

@@ -116,7 +116,7 @@ def reserve_weekly_features(spark, sf):
     v AS (SELECT w, max(p) FILTER (series_id = '1-URGENT') AS a, max(p) FILTER (series_id = '2-HIGH') AS b, max(p) FILTER (series_id = '3-MEDIUM') AS c, max(p) FILTER (series_id = '5-LOW') AS d FROM p GROUP BY 1)
     SELECT w, round(0.3 * a + 0.25 * b + 0.25 * (100 - c) + 0.2 * (100 - d), 6) AS score FROM v""")
 def reserve_weekly_score(spark, sf):
-    rows = h_week(spark, sf).select("series_id", "w", N.prior_mid_rank("v", ["series_id"], 52, "w").alias("p"))
+    rows = N.add_prior_mid_rank(h_week(spark, sf), "v", ["series_id"], 52, "w", "p")
     of = lambda s: F.max(F.when(F.col("series_id") == s, F.col("p")))
     v = rows.groupBy("w").agg(of("1-URGENT").alias("a"), of("2-HIGH").alias("b"), of("3-MEDIUM").alias("c"), of("5-LOW").alias("d"))
     score = F.col("a") * 0.3 + F.col("b") * 0.25 + (F.lit(100.0) - F.col("c")) * 0.25 + (F.lit(100.0) - F.col("d")) * 0.2
@@ -315,17 +315,6 @@ def same_regime_sample(spark, sf):
     return h_signal(spark, sf).select("idx", F.count(F.lit(1)).over(W.partitionBy("verdict").orderBy("d").rowsBetween(W.unboundedPreceding, -1)).alias("prior_same"))
 
 
-@query("moving_block_bootstrap", "h_pairs")
-def moving_block_bootstrap(spark, sf):
-    """Moving blocks with the linear congruential generator; draws are held against a loop in the tests."""
-    pairs = h_pairs(spark, sf).select("score", "fwd", (F.row_number().over(W.orderBy("d")) - 1).alias("idx"))
-    n, block, iterations = pairs.count(), 13, 100
-    draws = M.lcg(11011, iterations * -(-max(n, 1) // block))
-    rows = M.block_draws(spark, n, block=block, iterations=iterations if n > block else 0, draws=draws, circular=False).join(pairs, "idx")
-    ics = X.spearman(rows, "score", "fwd", ["iter"], None)
-    return ics.agg(r6(F.expr("percentile(ic, 0.025D)"), "ic_low"), r6(F.expr("percentile(ic, 0.975D)"), "ic_high"), F.count("ic").alias("n"))
-
-
 @query("candidate_verdicts", "h_factor h_pairs", "WITH fp AS (SELECT f.factor, f.f, p.fwd FROM h_factor f JOIN h_pairs p ON CAST(date_trunc('week', p.d) AS DATE) = f.w), s AS ("
        + SPEARMAN.format(k="factor", x="f", y="fwd", t="fp", empty="0") + """)
     SELECT factor, CASE WHEN (ic - 0.02 > 0 OR (0.05 < 0.10 AND ic > 0)) AND (0.004 > 0.003 OR abs(ic) > 0.05) AND n >= 10 THEN 'PASS' WHEN abs(ic) > 0.05 OR abs(ic) > 0.05 THEN 'DISPLAY-ONLY' ELSE 'DROP' END AS verdict FROM s""")

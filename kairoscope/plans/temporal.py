@@ -280,7 +280,7 @@ def expanding_share(spark, sf):
     SELECT a.series_id, a.w, CASE WHEN count(b.v) >= 52 THEN round((count(*) FILTER (b.v < a.v) + 0.5 * count(*) FILTER (b.v = a.v)) / count(b.v) * 100, 6) END AS pct
     FROM h_week a LEFT JOIN h_week b ON a.series_id = b.series_id AND b.w < a.w GROUP BY 1, 2""")
 def prior_mid_rank(spark, sf):
-    return h_week(spark, sf).select("series_id", "w", r6(N.prior_mid_rank("v", KEY, 52, "w"), "pct"))
+    return N.add_prior_mid_rank(h_week(spark, sf), "v", KEY, 52, "w").select("series_id", "w", r6("rank", "pct"))
 
 
 @query("average_rank", "h_week", """

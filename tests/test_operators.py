@@ -110,30 +110,68 @@ def test_normal_functions_against_python(spark):
         assert 0.5 * (1 + math.erf(z / math.sqrt(2))) == pytest.approx(p, abs=1e-6)
 
 
-def test_generators():
-    assert M.mulberry32(12345, 2) == [0.9797282677609473, 0.3067522644996643]
-    assert M.lcg(1, 1) == [(1664525 + 1013904223) / 4294967296]
-
-
-def test_block_draws(spark):
-    draws = M.mulberry32(7, 40)
-    got = sorted((r.iter, r.pos, r.idx) for r in M.block_draws(spark, 10, block=4, iterations=3, draws=draws).collect())
-    want, k = [], 0
+def loop_mulberry32(seed, n):
+    mask, a, out = 0xFFFFFFFF, seed, []
+    for _ in range(n):
+        a = (a + 0x6D2B79F5) & mask
+        t = ((a ^ (a >> 15)) * (a | 1)) & mask
+        t = ((t + (((t ^ (t >> 7)) * (t | 61)) & mask)) & mask) ^ t
+        out.append((t ^ (t >> 14)) / 4294967296)
+    return out
+
+
+def loop_lcg(seed, n):
+    out, x = [], seed
+    for _ in range(n):
+        x = (1664525 * x + 1013904223) & 0xFFFFFFFF
+        out.append(x / 4294967296)
+    return out
+
+
+def test_generators(spark):
+    got = [tuple(r) for r in spark.range(3000).select(M.mulberry32(12345, F.col("id")), M.lcg(11011, F.col("id"))).collect()]
+    assert [g[0] for g in got] == loop_mulberry32(12345, 3000)
+    assert [g[1] for g in got] == loop_lcg(11011, 3000)
+    assert got[0][0] == 0.9797282677609473
+
+
+def test_block_bootstrap(spark):
+    draws = loop_mulberry32(7, 60)
+    rows = spark.range(10).select(F.col("id").alias("idx"))
+    got = sorted((r.iter, r.idx) for r in M.block_bootstrap(rows, n=10, block=4, iterations=3, draw=lambda k: M.mulberry32(7, k), first=5).collect())
+    want, k = [], 5
     for b in range(3):
         out = []
         while len(out) < 10:
             start = int(draws[k] * 10)
             k += 1
             out += [(start + i) % 10 for i in range(4)]
-        want += [(b, pos, i) for pos, i in enumerate(out[:10])]
-    assert got == want
+        want += [(b, i) for i in out[:10]]
+    assert got == sorted(want)
+
+
+def test_dominance_count(spark, monkeypatch):
+    monkeypatch.setattr(N, "RANK_BLOCK", 7)
+    rows = [(k, D(2020, 1, 1) + dt.timedelta(i), None if i % 13 == 5 else float((i * i * 7) % 23)) for k in ("a", "b", None) for i in range(60 if k != "b" else 3)]
+    df = spark.createDataFrame(rows, "k string, d date, v double")
+    got = {(r.k, r.d): (r.n, r.s, r.m) for r in N.add_prior_mid_rank(N.expanding_share(N.earlier_at_most(df, "v", ["k"], name="n"), "v", ["k"], name="s"), "v", ["k"], 5, name="m").collect()}
+    assert len(got) == len(rows)
+    for k, d, v in rows:
+        past = [x for j, e, x in rows if j == k and e < d]
+        known = [x for x in past if x is not None]
+        if v is None:
+            assert got[k, d] == (None, None, None)
+            continue
+        n = sum(x <= v for x in known)
+        mid = (sum(x < v for x in known) + 0.5 * sum(x == v for x in known)) / len(known) * 100 if len(known) >= 5 else None
+        assert got[k, d] == (n, pytest.approx((n + 1) / (len(past) + 1)), None if mid is None else pytest.approx(mid))
 
 
 def test_future_rows_change_nothing(spark):
     rows = [(D(2020, 1, 1) + dt.timedelta(7 * i), float((i * 37) % 101)) for i in range(120)]
     def run(rs):
-        df = series(spark, rs)
-        return {r.d: (r.m, r.p) for r in df.select("d", N.prior_mad("v", []).alias("m"), N.prior_mid_rank("v", [], 52).alias("p")).collect()}
+        df = N.add_prior_mid_rank(series(spark, rs), "v", [], 52, name="p")
+        return {r.d: (r.m, r.p) for r in df.select("d", N.prior_mad("v", []).alias("m"), "p").collect()}
     short, long_ = run(rows[:80]), run(rows)
     assert all(long_[d] == x for d, x in short.items())
 
