@@ -62,7 +62,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _ANY = re.compile(r"[0-9@]")
-_TOKEN = re.compile(r"\S*[0-9@]\S*")
+_TOKEN = re.compile(r"\S+")
 _CORE = re.compile(r"[+(]*[A-Za-z0-9](?:.*[A-Za-z0-9])?\)?", re.DOTALL)
 
 Span = tuple[str, int, int]
@@ -144,7 +144,7 @@ class Document:
 
     def __init__(self, text: str):
         self.base = base_spans(text)
-        self.at = [m.span() for m in _TOKEN.finditer(text)]
+        self.at = [m.span() for m in _TOKEN.finditer(text) if _ANY.search(m[0])]
         self.tokens = [text[s:e] for s, e in self.at]
         self.known = self._observed()
         self.near: list[tuple[int, int]] = []
