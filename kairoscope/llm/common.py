@@ -54,3 +54,23 @@ def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
     if n > rows:
         df = df.where(key.bitwiseAND(F.lit((1 << 53) - 1)) < F.lit(int(rows / n * (1 << 53))))
     return df.orderBy(key).limit(rows)
+
+
+#: A group of more than this part of all rows is heavy, so there are never more heavy groups than this.
+HEAVY = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` joined with ``groups`` (one row for each value of ``keys``, never null; ``size``: its rows).
+
+    Groups of over 1 / HEAVY of the rows counted in ``groups`` are at most HEAVY
+    and are broadcast, so that no task gets all rows of one of them; all others
+    meet by one exchange. ``groups`` should be a written table.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    heavy = groups.where(F.col(size) > total / HEAVY).where(F.col(size) > HEAVY)
+    if heavy.isEmpty():
+        return rows.join(groups.hint("merge"), keys)
+    light = groups.where(~((F.col(size) > total / HEAVY) & (F.col(size) > HEAVY)))
+    rest = rows.join(F.broadcast(heavy.select(keys)), keys, "left_anti")
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light.hint("merge"), keys))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, chat, dart_minhash, decontaminate, langid, mixing, pii, sharding, suffix_dedup, warc
+from . import audio, chat, collocations, dart_minhash, decontaminate, exact_dedup, langid, mixing, pii, sharding, suffix_dedup, vector_codes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chroma_fingerprint": audio.op1,
@@ -19,6 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_splitting_tree_mix": mixing.op8,
     "op9_byte_cnn": langid.op9,
     "op10_grammar_round_trip": chat.op10,
+    "op11_collocations": collocations.op11,
+    "op12_exact_dedup": exact_dedup.op12,
+    "op13_vector_codes": vector_codes.op13,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_collocations": collocations.ORACLE_SQL,
+    "op12_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op13_vector_codes": vector_codes.ORACLE_SQL,
+}
