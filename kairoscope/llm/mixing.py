@@ -2,9 +2,10 @@
 
 The documents of a source are scattered by a seeded hash into blocks, as many
 as the documents to the power 2/3. A source is taken in full passes over all
-its blocks and then in part: permuted blocks from the front, and of the block
-in which the target falls the documents that fit (in hash order, then, a few
-times over, those that fit into what is left).
+its blocks and then in part: permuted blocks from the front, then of the block
+in which the target falls the documents that fit, then the largest documents of
+the source that still fit. So a source misses its target by less than the
+smallest document that it leaves out.
 Which output shard gets how many blocks of which source is drawn by a splitting
 tree: each node divides its exact quotas between its two halves by a
 multivariate hypergeometric draw (an urn emptied one block at a time), so every
@@ -35,8 +36,6 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Blocks of a source: its rows to this power, at every size.
 BLOCKS_POWER = 2 / 3
-#: Times that the block in which a target falls is gone through for documents that still fit.
-FILLS = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 OUTPUTS = ("size", "source_size", "target", "copies", "shards")
@@ -111,6 +110,57 @@ def split_quotas(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
     )
 
 
+#: Parts of the rows of one source and size that are ranked apart before they are ranked together.
+PICK_PARTS = 64
+
+
+def fill(narrow: DataFrame, ordered: DataFrame) -> DataFrame:
+    """The documents that make up what the whole blocks leave open of a source's target.
+
+    First those of the cut block that fit in hash order, then over all other
+    documents of the source the largest that fits, and so on until none does; what
+    is left then is less than the smallest document not taken. That choice is made
+    over the distinct sizes up to the open rest, so its state is bounded by the
+    longest document. Returns m_rank, m_block, m_picks (key: how many of its rows)
+    and m_cut_place.
+    """
+    cut = ordered.where("m_take = 'cut'").select(
+        "m_rank", F.col("m_block").alias("m_cut_block"), F.col("m_place").alias("m_cut_place"), (F.col("m_part") - F.col("m_before")).alias("m_room")
+    )
+    cut = materialize(cut, "mix-cut")
+    order = W.partitionBy("m_rank").orderBy("m_key")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    inside = narrow.join(cut, (narrow["m_rank"] == cut["m_rank"]) & (F.col("m_block") == F.col("m_cut_block"))).select(narrow["*"], "m_room")
+    inside = inside.withColumn("m_fit", F.when(F.col("m_words") <= F.col("m_room"), F.col("m_words")))
+    first = inside.withColumn("m_sum", F.sum("m_fit").over(upto)).where(F.col("m_fit").isNotNull() & (F.col("m_sum") <= F.col("m_room")))
+    first = materialize(first.groupBy("m_rank", "m_block", "m_key", "m_words").agg(F.count(F.lit(1)).alias("m_n")), "mix-first")
+    used = first.groupBy("m_rank").agg(F.sum(F.col("m_n") * F.col("m_words")).alias("m_used"))
+    open_ = cut.join(used, "m_rank", "left").select("m_rank", (F.col("m_room") - F.coalesce("m_used", F.lit(0))).cast("double").alias("m_open"))
+    other = ordered.where("m_take IN ('none', 'cut')").select("m_rank", "m_block")
+    free = narrow.join(open_, "m_rank").where((F.col("m_words") > 0) & (F.col("m_words") <= F.col("m_open"))).join(other, ["m_rank", "m_block"])
+    free = free.groupBy("m_rank", "m_block", "m_key", "m_words", "m_open").agg(F.count(F.lit(1)).alias("m_n"))
+    taken = first.select("m_rank", "m_block", "m_key", F.col("m_n").alias("m_taken"))
+    free = free.join(taken, ["m_rank", "m_block", "m_key"], "left").withColumn("m_n", F.col("m_n") - F.coalesce("m_taken", F.lit(0))).where("m_n > 0").drop("m_taken")
+    free = materialize(free, "mix-free")
+    sizes = free.groupBy("m_rank", "m_open", "m_words").agg(F.sum("m_n").alias("m_n"))
+    greedy = """aggregate(m_sizes, named_struct('open', m_open, 'out', CAST(array() AS ARRAY<STRUCT<words: BIGINT, n: BIGINT>>)),
+        (s, x) -> named_struct(
+            'open', s.open - least(x.m_n, CAST(floor(s.open / x.m_words) AS BIGINT)) * x.m_words,
+            'out', CASE WHEN x.m_words <= s.open THEN concat(s.out, array(named_struct('words', x.m_words, 'n', least(x.m_n, CAST(floor(s.open / x.m_words) AS BIGINT))))) ELSE s.out END),
+        s -> s.out)"""
+    falling = F.reverse(F.array_sort(F.collect_list(F.struct("m_words", "m_n"))))
+    wanted = sizes.groupBy("m_rank", "m_open").agg(falling.alias("m_sizes")).select("m_rank", F.explode(F.expr(greedy)).alias("m"))
+    wanted = wanted.select("m_rank", F.col("m.words").alias("m_words"), F.col("m.n").alias("m_wanted"))
+    ranked = free.join(wanted, ["m_rank", "m_words"])
+    for part in (F.pmod("m_key", F.lit(PICK_PARTS)), F.lit(0)):
+        upto = W.partitionBy("m_rank", "m_words", part).orderBy("m_key").rowsBetween(W.unboundedPreceding, -1)
+        ranked = ranked.withColumn("m_prior", F.coalesce(F.sum("m_n").over(upto), F.lit(0))).where("m_prior < m_wanted")
+    second = ranked.select("m_rank", "m_block", "m_key", F.least("m_n", F.col("m_wanted") - F.col("m_prior")).alias("m_n"))
+    picks = first.select("m_rank", "m_block", "m_key", "m_n").unionByName(second).groupBy("m_rank", "m_block", "m_key").agg(F.sum("m_n").alias("m_n"))
+    picks = picks.groupBy("m_rank", "m_block").agg(F.map_from_entries(F.collect_list(F.struct("m_key", "m_n"))).alias("m_picks"))
+    return picks.join(cut.select("m_rank", "m_cut_place"), "m_rank")
+
+
 def plan_mix(
     docs: DataFrame,
     n_shards: int = 8,
@@ -135,8 +185,8 @@ def plan_mix(
     )
     counts = materialize(counts, "mix-sources")
     in_block = lambda df: df.join(counts, F.col("m_source").eqNullSafe(F.col("c_source"))).withColumn("m_block", F.pmod("m_key", "m_blocks"))
-    blocks = in_block(rows.drop("m_row")).groupBy("m_rank", "m_block").agg(F.sum("m_words").alias("m_words"))
-    blocks = materialize(blocks, "mix-blocks")
+    narrow = materialize(in_block(rows.drop("m_row")).select("m_rank", "m_block", "m_key", "m_words"), "mix-words")
+    blocks = materialize(narrow.groupBy("m_rank", "m_block").agg(F.sum("m_words").alias("m_words")), "mix-blocks")
     targets = source_targets(blocks.groupBy("m_rank").agg(F.sum("m_words").alias("m_size")))
     whole = F.when(F.col("m_size") > 0, F.least(F.floor(F.col("m_target") / F.col("m_size")), F.lit(MAX_REPEATS))).otherwise(0)
     targets = targets.withColumn("m_whole", whole.cast("int")).withColumn(
@@ -156,25 +206,24 @@ def plan_mix(
     quotas = ordered.groupBy("m_rank").agg(
         F.sum(F.col("m_whole") + F.when(F.col("m_take") == "none", 0).otherwise(1)).cast("long").alias("m_units")
     )
-    dealt = ordered.join(split_quotas(quotas, n_shards, seed), "m_rank").select(
-        "m_rank", "m_block", "m_size", "m_target", "m_take", (F.col("m_part") - F.col("m_before")).alias("m_left"), "m_whole", "m_place", "m_upto"
+    ordered = materialize(ordered, "mix-ordered")
+    filled = fill(narrow, ordered)
+    dealt = (
+        ordered.join(split_quotas(quotas, n_shards, seed), "m_rank")
+        .join(filled, ["m_rank", "m_block"], "left")
+        .select("m_rank", "m_block", "m_size", "m_target", "m_take", "m_whole", "m_place", "m_upto", "m_picks", "m_cut_place")
     )
     placed = in_block(rows).join(dealt, ["m_rank", "m_block"])
-    #: Rows move once: the join above and these windows share their partitioning and order.
-    order = [F.col("m_key"), F.xxhash64("m_row"), F.col(f"m_row.{id_col}"), F.col(f"m_row.{text_col}")]
-    block = W.partitionBy("m_rank", "m_block")
-    upto = block.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    placed = placed.withColumn("m_fits", F.col("m_take") == "all").withColumn("m_room", F.when(F.col("m_take") == "cut", F.col("m_left").cast("double")))
-    for _ in range(FILLS):
-        tried = ~F.col("m_fits") & (F.col("m_words") <= F.col("m_room"))
-        placed = placed.withColumn("m_try", F.when(F.coalesce(tried, F.lit(False)), F.col("m_words"))).withColumn("m_sum", F.sum("m_try").over(upto))
-        placed = placed.withColumn("m_new", F.coalesce(F.col("m_try").isNotNull() & (F.col("m_sum") <= F.col("m_room")), F.lit(False)))
-        got = F.coalesce(F.sum(F.when(F.col("m_new"), F.col("m_words"))).over(block), F.lit(0))
-        placed = placed.withColumn("m_room", F.col("m_room") - got).withColumn("m_fits", F.col("m_fits") | F.col("m_new"))
-    more = F.col("m_fits").cast("int")
+    #: Rows move once: the join above and this window share their partitioning.
+    alike = W.partitionBy("m_rank", "m_block", "m_key").orderBy(F.xxhash64("m_row"), F.col(f"m_row.{id_col}"), F.col(f"m_row.{text_col}"))
+    picked = F.coalesce(F.row_number().over(alike) <= F.element_at("m_picks", F.col("m_key")), F.lit(False))
+    more = F.when((F.col("m_take") == "all") | picked, 1).otherwise(0)
+    #: The units of a source are numbered by pass and place; all picks make up the unit of the cut block.
     shards = F.expr(
-        """transform(slice(sequence(0, 3), 1, m_whole + m_more),
-            p -> size(filter(m_upto, u -> u <= p * m_blocks + m_place)))"""
+        """transform(concat(
+                transform(slice(sequence(0, 3), 1, m_whole), p -> p * m_blocks + m_place),
+                CASE WHEN m_more = 1 THEN array(m_whole * m_blocks + CASE WHEN m_take = 'all' THEN m_place ELSE m_cut_place END) ELSE array() END),
+            at -> size(filter(m_upto, u -> u <= at)))"""
     )
     return placed.withColumn("m_more", more).select(
         "m_row.*",

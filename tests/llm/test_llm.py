@@ -118,6 +118,19 @@ def test_mix_hits_its_targets(spark):
     assert sum(shards.values()) == units and set(shards) <= set(range(4)) and max(shards.values()) < 2 * min(shards.values())
 
 
+def test_each_source_misses_less_than_its_smallest_document_left_out(spark):
+    rng = random.Random(9)
+    sizes = [rng.choice([1, 2, 30, 700, 9000]) if i % 3 else int(rng.paretovariate(1.0)) + 5 for i in range(900)]
+    rows = [(i, " ".join(["w"] * n), None, f"s{int(rng.paretovariate(0.7)) % 9}", 0) for i, n in enumerate(sizes)]
+    rows += [(1000 + i, "same words here " * 40, None, "s1", 0) for i in range(300)]
+    plan = mixing.plan_mix(spark.createDataFrame(rows, DOCS), 4).toPandas()
+    for _, part in plan.groupby("source"):
+        missed = part.target.iloc[0] - (part["size"] * part.copies).sum()
+        left_out = part[(part.copies == part.target.iloc[0] // part.source_size.iloc[0]) & (part.copies < 3)]["size"]
+        assert 0 <= missed < (left_out.min() if len(left_out) else 1)
+    assert (plan.copies == plan.shards.map(len)).all()
+
+
 def test_quotas_are_exact(spark):
     quotas = spark.createDataFrame([(1, 10), (2, 0), (3, 7), (4, 23)], "m_rank int, m_units long")
     got = {r.m_rank: np.diff([0, *r.m_upto]) for r in mixing.split_quotas(quotas, 5, 1).collect()}
