@@ -13,23 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalars as S
+from ..functions.texts import DIRECTION_LABEL, EASING_GAP, IMPULSE_LABEL, TIGHTENING_GAP, VERDICT_LABEL, reason
 from ..operators import asof as A
 from ..operators import windows as N
 from .harness import h_factor, h_obs, h_pit, h_price, h_signal, h_week, query, r6, table
 
-# Labels of a decision's reason.
-IMPULSE_LABEL = {"EXPANDING": "扩表", "CONTRACTING": "缩表", "FLAT": "横住"}
-DIRECTION_LABEL = {"UP": "在升", "DOWN": "在收", "FLAT": "走平"}
-VERDICT_LABEL = {"BULLISH": "偏多", "BEARISH": "偏空", "NEUTRAL": "中性"}
-EASING_GAP, TIGHTENING_GAP = "(缩表却放水,留意背离)", "(扩表却收水,留意背离)"
 PASSING_SCORE = 50
 LEGACY = "LEGACY_UNVERSIONED"
 
 
-def label(column: str, labels: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[F.col(column)]
-
-
 def _case(column: str, labels: dict[str, str]) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.items()) + " END"
 
@@ -45,9 +37,7 @@ def cycle(values: list, by: str | Column = "idx") -> Column:
         || CASE WHEN i = 'CONTRACTING' AND n = 'UP' THEN '{EASING_GAP}' WHEN i = 'EXPANDING' AND n = 'DOWN' THEN '{TIGHTENING_GAP}' ELSE '' END AS reason FROM x""")
 def reason_text(spark, sf):
     x = h_signal(spark, sf).select("idx", "verdict", cycle(["FLAT", "EXPANDING", "CONTRACTING"]).alias("i"), cycle(["FLAT", "UP", "DOWN", "UP"]).alias("n"))
-    gap = F.when((F.col("i") == "CONTRACTING") & (F.col("n") == "UP"), EASING_GAP).when((F.col("i") == "EXPANDING") & (F.col("n") == "DOWN"), TIGHTENING_GAP).otherwise("")
-    text = F.concat(F.lit("Fed "), label("i", IMPULSE_LABEL), F.lit("、净流动性"), label("n", DIRECTION_LABEL), F.lit(" → 环境"), label("verdict", VERDICT_LABEL), gap)
-    return x.select("idx", text.alias("reason"))
+    return x.select("idx", reason("i", "n", "verdict").alias("reason"))
 
 
 _PIVOT = """p AS (SELECT w, max(f) FILTER (factor = '1-URGENT') AS a, max(f) FILTER (factor = '2-HIGH') AS b, max(f) FILTER (factor = '3-MEDIUM' AND day(w) > 5) AS c,
