@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read_table
 from .text_hash import U, mix, powers
+from .text_hash import batches as text_batches
 
 MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
 #: A longer phrase with this share of the occurrences (in percent) replaces the phrases in it.
@@ -56,19 +57,20 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-def tokens(texts: list[bytes], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The lower-cased bytes of all texts; start, end and hash of each word, and the number of its piece."""
+def tokens(texts: list[bytes], *seeds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The lower-cased bytes of all texts; start and end of each word, the number of its piece, and its hash by each seed."""
     raw = _LOWER[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
-    value = np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, 256, U)
     stop = _STOP[raw]
-    gap = stop | _SPACE[raw]
-    edge = np.flatnonzero(np.diff(gap.astype(np.int8), prepend=1))
+    edge = np.flatnonzero(np.diff((stop | _SPACE[raw]).astype(np.int8), prepend=1))
     start, end = edge[0::2], edge[1::2]
     up, down = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, U)
-    np.cumsum(value[raw] * up[:-1], out=total[1:])
-    word = np.maximum(mix((total[end] - total[start]) * down[start]), U(1))  # 0 stands for no word
-    return raw, start, end, word, np.cumsum(stop)[start]
+    hashes = []
+    for seed in seeds:
+        value = np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, 256, U)
+        total = np.zeros(len(raw) + 1, U)
+        np.cumsum(value[raw] * up[:-1], out=total[1:])
+        hashes.append(np.maximum(mix((total[end] - total[start]) * down[start]), U(1)))  # 0 stands for no word
+    return raw, start, end, np.cumsum(stop)[start], hashes
 
 
 def suffix_order(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -133,17 +135,24 @@ def _shards(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[str
 def _dictionary(texts: DataFrame, seed: int, shard_words: int) -> DataFrame:
     """lang, word, key (its hash) and count, summed over all shards."""
 
+    def summed(word: np.ndarray, other: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((other, word))
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(word[order]) != 0) | (np.diff(other[order]) != 0)])) if len(order) else order
+        return order[new], np.add.reduceat(n[order], new) if len(order) else n
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, part in _shards(batches, shard_words):
-            raw, start, end, word, _ = tokens(part, seed)
-            other = tokens(part, seed + 1)[3]  # tells words of one hash apart
-            order = np.lexsort((other, word))
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(word[order]) != 0) | (np.diff(other[order]) != 0)])) if len(order) else order
-            first, data = order[new], raw.tobytes()
-            spelled = [data[s:e].decode() for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-            n = np.diff(np.append(new, len(order)))
+            found, spelled = [], []
+            for lo, hi in text_batches(part):
+                raw, start, end, _, (word, other) = tokens(part[lo:hi], seed, seed + 1)  # the other hash tells words of one hash apart
+                first, n = summed(word, other, np.ones(len(word), np.int64))
+                data = raw.tobytes()
+                spelled += [data[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+                found.append((word[first], other[first], n))
+            word, other, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            first, n = summed(word, other, n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(first), pa.string()), pa.array(spelled, pa.string()), pa.array(word[first].view(np.int64)), pa.array(n, pa.int64())],
+                [pa.array([lang] * len(first), pa.string()), pa.array([spelled[i].decode() for i in first.tolist()], pa.string()), pa.array(word[first].view(np.int64)), pa.array(n, pa.int64())],
                 names=["lang", "word", "key", "n"],
             )
 
@@ -157,23 +166,23 @@ def _packed(texts: DataFrame, seed: int, longest: int, buckets: int, shard_words
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, part in _shards(batches, shard_words):
-            _, _, _, word, piece = tokens(part, seed)
-            columns, counts = [[] for _ in keys], []
+            words, pieces, before = [np.zeros(0, U)], [np.zeros(0, np.int64)], 0
+            for lo, hi in text_batches(part):
+                _, _, _, piece, (word,) = tokens(part[lo:hi], seed)
+                words.append(word)
+                pieces.append(piece + before)
+                before += int(piece[-1]) + 1 if len(piece) else 0
+            word, piece = np.concatenate(words), np.concatenate(pieces)
+            del part, words, pieces
             padded = np.concatenate([word, np.zeros(longest, U)])
             for n, at, count in phrase_counts(word, piece, longest):
-                for i, column in enumerate(columns):
-                    column.append(padded[at + i] if i < n else np.zeros(len(at), U))
-                counts.append(count)
-            if not counts:
-                continue
-            key, count = [np.concatenate(c) for c in columns], np.concatenate(counts)
-            second = key[1] if longest > 1 else key[0]
-            bucket = (mix(key[0] + mix(second) % SPREAD) % U(buckets)).astype(np.int64)
-            order = np.lexsort((*reversed(key), bucket))  # equal first words in a row pack well
-            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            offsets = pa.array(np.append(edges, len(order)), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order].view(np.int64))) for c in [*key, count]]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(edges), pa.string()), pa.array(bucket[order][edges]), *lists], names=["lang", "bucket", *keys, "a"])
+                key = [padded[at + i] if i < n else np.zeros(len(at), U) for i in range(longest)]
+                bucket = (mix(key[0] + mix(key[min(1, longest - 1)]) % SPREAD) % U(buckets)).astype(np.int64)
+                order = np.lexsort((*reversed(key[:n]), bucket))  # equal first words in a row pack well
+                edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                offsets = pa.array(np.append(edges, len(order)), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order].view(np.int64))) for c in [*key, count]]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(edges), pa.string()), pa.array(bucket[order][edges]), *lists], names=["lang", "bucket", *keys, "a"])
 
     schema = "lang string, bucket long, " + ", ".join(f"{k} array<long>" for k in [*keys, "a"])
     return texts.mapInArrow(pack, schema)
