@@ -175,14 +175,15 @@ def score_buckets(spark, sf):
 
 @query("purged_folds", "h_pairs", """
     WITH p AS (SELECT *, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM h_pairs),
-    f AS (SELECT k AS fold, 200 + 52 * k AS lo, min(d) AS test_from FROM p, range(0, 20) t(k) WHERE i >= 200 + 52 * k AND i < 252 + 52 * k GROUP BY 1, 2)
+    f AS (SELECT k AS fold, 200 + 52 * k AS lo, min(d) AS test_from FROM p, (SELECT unnest(range((SELECT count(*) // 52 + 1 FROM p))) AS k) WHERE i >= 200 + 52 * k AND i < 252 + 52 * k GROUP BY 1, 2)
     SELECT fold, test_from, split, CAST(count(*) AS BIGINT) AS n, max(outcome_d) AS label_through FROM
         (SELECT f.fold, test_from, outcome_d, CASE WHEN i >= lo THEN 'TEST' WHEN outcome_d >= test_from THEN 'PURGED' WHEN outcome_d >= test_from - 91 THEN 'EMBARGOED' ELSE 'KEPT' END AS split
          FROM f JOIN p ON i < lo + 52) GROUP BY 1, 2, 3""")
 def purged_folds(spark, sf):
     pairs = h_pairs(spark, sf).withColumn("i", F.row_number().over(W.orderBy("d")) - 1)
-    folds = spark.range(20).select(F.col("id").alias("fold"), (F.col("id") * P.TEST_PAIRS + P.TRAIN_PAIRS).alias("lo"))
-    inside = pairs.join(F.broadcast(folds), F.col("i") < F.col("lo") + P.TEST_PAIRS)
+    fold = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.count(F.lit(1)) / P.TEST_PAIRS)))
+    folds = pairs.agg(fold.alias("fold")).withColumn("lo", F.col("fold") * P.TEST_PAIRS + P.TRAIN_PAIRS)
+    inside = pairs.join(folds, F.col("i") < F.col("lo") + P.TEST_PAIRS)
     start = F.min(F.when(F.col("i") >= F.col("lo"), F.col("d"))).over(W.partitionBy("fold"))
     rows = T.purge(inside.withColumn("test_from", start).where("test_from is not null"), F.col("test_from"))
     rows = rows.withColumn("split", F.when(F.col("i") >= F.col("lo"), "TEST").otherwise(F.col("split")))
@@ -365,13 +366,14 @@ def turnover(spark, sf):
     WITH g AS (SELECT a.w, a.v / nullif(b.v, 0) - 1 AS growth FROM h_week a JOIN h_week b ON b.series_id = a.series_id AND b.w = a.w - 91 WHERE a.series_id = '1-URGENT'),
     p AS (SELECT lead, g.growth, y.close / x.close - 1 AS fwd FROM (SELECT * FROM g CROSS JOIN (SELECT i AS lead FROM range(0, 27, 2) t(i))) g
         ASOF JOIN h_price x ON x.d <= g.w + CAST(7 * lead AS INTEGER) ASOF JOIN h_price y ON y.d <= g.w + CAST(7 * lead AS INTEGER) + 91
-        WHERE g.w + CAST(7 * lead AS INTEGER) + 91 <= DATE '2001-07-30') """ + SPEARMAN.format(k="lead", x="growth", y="fwd", t="p", empty="0"))
+        WHERE g.w + CAST(7 * lead AS INTEGER) + 91 <= (SELECT max(d) FROM h_price)) """ + SPEARMAN.format(k="lead", x="growth", y="fwd", t="p", empty="0"))
 def lead_scan(spark, sf):
     week, prices = h_week(spark, sf).where("series_id = '1-URGENT'"), h_price(spark, sf)
     old = week.select(F.date_add("w", 91).alias("w"), F.col("v").alias("b"))
     rows = week.join(old, "w").select("w", (F.col("v") / F.col("b") - 1).alias("growth"))
     rows = rows.withColumn("lead", F.explode(F.sequence(F.lit(0), F.lit(26), F.lit(2)))).withColumn("t0", F.expr("date_add(w, 7 * lead)")).withColumn("t1", F.date_add("t0", 91))
-    rows = rows.where("t1 <= date'2001-07-30'")
+    end = prices.agg(F.max("d").alias("end"))  # one row
+    rows = rows.crossJoin(F.broadcast(end)).where("t1 <= end").drop("end")
     rows = A.asof_last(rows, prices, keys=[], on="t0", data_on="d", carry=["close"], prefix="x_")
     rows = A.asof_last(rows, prices, keys=[], on="t1", data_on="d", carry=["close"], prefix="y_")
     rows = rows.where("x_close is not null").withColumn("fwd", F.col("y_close") / F.col("x_close") - 1)

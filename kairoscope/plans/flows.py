@@ -14,6 +14,7 @@ from .. import params as P
 from ..functions import scores as C
 from ..functions.scalars import strict_date
 from ..operators import asof as A
+from ..operators import gates as G
 from ..operators import sets as T
 from ..operators import simulate as M
 from ..operators import stats as X
@@ -155,7 +156,7 @@ def snap_pairs(spark, sf) -> DataFrame:
     return got.select("i", F.col("x_i").alias("j"), "d", F.date_trunc("week", "d").cast("date").alias("w"), "score", "n", F.col("x_date").alias("outcome_d"), (F.col("x_close") / F.col("close") - 1).alias("fwd"))
 
 
-_WALK = f"""{SNAPS}, {_CURRENT}, fo AS (SELECT k AS fold, 200 + 52 * k AS te FROM range(40) t(k) WHERE 213 + 52 * k < (SELECT max(n) FROM sn)),
+_WALK = f"""{SNAPS}, {_CURRENT}, fo AS (SELECT k AS fold, 200 + 52 * k AS te FROM (SELECT unnest(range((SELECT max(n) // 52 + 1 FROM sn))) AS k) WHERE 213 + 52 * k < (SELECT max(n) FROM sn)),
     te AS (SELECT fold, te, sq.* FROM fo JOIN sq ON i >= te + 13 AND i < te + 65 QUALIFY count(*) OVER (PARTITION BY fold) >= 5),
     tr AS (SELECT fold || '|' || factor AS g, f, fwd FROM fo JOIN sq ON j < te JOIN h_factor USING (w)), ic AS (""" + SPEARMAN.format(k="g", x="f", y="fwd", t="tr", empty="0").replace(", 6) AS ic", ", 12) AS ic") + """),
     iw AS (SELECT CAST(split_part(g, '|', 1) AS BIGINT) AS fold, split_part(g, '|', 2) AS factor, n, greatest(ic, 0) * CAST(n >= 3 AS INTEGER) AS good FROM ic),
@@ -164,11 +165,16 @@ _WALK = f"""{SNAPS}, {_CURRENT}, fo AS (SELECT k AS fold, 200 + 52 * k AS te FRO
     sc AS (SELECT te.fold, te.te, arm, te.i, te.d, fwd, sum(f * wt) / sum(wt) AS s FROM te JOIN h_factor USING (w) JOIN aw ON aw.fold = te.fold AND aw.factor = h_factor.factor WHERE wt > 0 GROUP BY ALL)"""
 
 
+def _folds(total: DataFrame, start: str) -> DataFrame:
+    """fold and its first row (of a frame with one row, ``total`` rows): as many folds as the rows can hold."""
+    fold = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.coalesce("total", F.lit(0)) / P.TEST_PAIRS)))
+    return total.select(fold.alias("fold"), "total").select("fold", (F.col("fold") * P.TEST_PAIRS + P.TRAIN_PAIRS).alias(start), "total")
+
+
 def _walk(spark, sf) -> DataFrame:
     pairs, fac = snap_pairs(spark, sf), h_factor(spark, sf).select("factor", "w", "f")
     total = pairs.agg(F.max("n").alias("total"))  # one row
-    folds = spark.range(40).select(F.col("id").alias("fold"), (F.col("id") * P.TEST_PAIRS + P.TRAIN_PAIRS).alias("te")).crossJoin(F.broadcast(total))
-    folds = F.broadcast(folds.where(F.col("te") + P.HORIZON_WEEKS < F.col("total")).drop("total"))
+    folds = _folds(total, "te").where(F.col("te") + P.HORIZON_WEEKS < F.col("total")).drop("total")
     test = pairs.join(folds, (F.col("i") >= F.col("te") + P.HORIZON_WEEKS) & (F.col("i") < F.col("te") + P.HORIZON_WEEKS + P.TEST_PAIRS))
     test = test.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("fold"))).where("k >= 5")
     train = pairs.join(folds, F.col("j") < F.col("te")).join(fac, "w")
@@ -200,7 +206,7 @@ def walk_forward_folds(spark, sf):
 
 _GREEDY = """ord AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY outcome_d, d) AS r FROM te),
     gr AS (SELECT fold, r, outcome_d FROM ord WHERE r = 1 UNION ALL SELECT gr.fold, n.r, n.outcome_d FROM gr, LATERAL (SELECT * FROM ord WHERE ord.fold = gr.fold AND ord.r > gr.r AND ord.d >= gr.outcome_d ORDER BY ord.r LIMIT 1) n),"""
-_PURGED = f"""RECURSIVE p AS (SELECT *, row_number() OVER (ORDER BY d) - 1 AS i FROM h_pairs), fo AS (SELECT k AS fold, 200 + 52 * k AS lo, min(d) AS test_from FROM p, range(40) t(k) WHERE i >= 200 + 52 * k AND i < 252 + 52 * k GROUP BY 1, 2),
+_PURGED = f"""RECURSIVE p AS (SELECT *, row_number() OVER (ORDER BY d) - 1 AS i FROM h_pairs), fo AS (SELECT k AS fold, 200 + 52 * k AS lo, min(d) AS test_from FROM p, (SELECT unnest(range((SELECT count(*) // 52 + 1 FROM p))) AS k) WHERE i >= 200 + 52 * k AND i < 252 + 52 * k GROUP BY 1, 2),
     te AS (SELECT fold, p.* FROM fo JOIN p ON i >= lo AND i < lo + 52), {_GREEDY}
     tr AS (SELECT fold, count(*) FILTER (outcome_d >= test_from) AS purged, count(*) FILTER (outcome_d < test_from AND outcome_d >= test_from - 91) AS embargoed, count(*) FILTER (outcome_d < test_from - 91) AS train_n,
         quantile_cont(fwd, 0.1) FILTER (outcome_d < test_from - 91) AS q FROM fo JOIN p ON i < lo GROUP BY 1),
@@ -210,7 +216,7 @@ _PURGED = f"""RECURSIVE p AS (SELECT *, row_number() OVER (ORDER BY d) - 1 AS i
 
 def purged_fold_metrics_(spark, sf) -> DataFrame:
     pairs = h_pairs(spark, sf).withColumn("i", F.row_number().over(W.orderBy("d")) - 1)
-    folds = F.broadcast(spark.range(40).select(F.col("id").alias("fold"), (F.col("id") * P.TEST_PAIRS + P.TRAIN_PAIRS).alias("lo")))
+    folds = _folds(pairs.agg(F.count(F.lit(1)).alias("total")), "lo").drop("total")
     test = pairs.join(folds, (F.col("i") >= F.col("lo")) & (F.col("i") < F.col("lo") + P.TEST_PAIRS))
     starts = test.groupBy("fold", "lo").agg(F.min("d").alias("test_from"))
     train = T.purge(pairs.join(F.broadcast(starts), F.col("i") < F.col("lo")), F.col("test_from"))  # a row for each fold
@@ -310,39 +316,53 @@ def incremental_ic(spark, sf):
 
 # ---------------------------------------------------------------- event backtest and formal gates
 
-_CASES = {"governed": 0, "no_cutoff": 1, "late_signal": 2, "synthetic": 3, "no_activation": 4, "legacy": 5, "no_target": 6}
-_REASONS = """rs AS (SELECT kase, rank, reason FROM (SELECT kase, 0 AS rank, CASE WHEN kase = 1 THEN 'missing as-of cutoff provenance' END AS reason FROM kases
-    UNION ALL SELECT kase, min(idx), min_by(reason, idx) FROM (SELECT kase, idx, CASE WHEN kase = 6 AND idx % 50 = 7 THEN 'missing explicit formal portfolio target' WHEN kase = 2 AND idx % 100 = 9 THEN 'signal not visible strictly before as-of cutoff' END AS reason FROM kases, h_signal) WHERE reason IS NOT NULL GROUP BY 1
-    UNION ALL SELECT kase, 1000000 + min(r), min_by(reason, r) FROM (SELECT kase, r, CASE WHEN kase = 4 AND r % 90 = 11 THEN 'missing daily input activation time' WHEN kase = 3 AND r % 70 = 13 THEN 'synthetic backfill is not formal input' WHEN kase = 5 AND r % 60 = 17 THEN 'legacy input without PIT provenance' END AS reason FROM kases, (SELECT row_number() OVER (ORDER BY d) AS r FROM h_price)) WHERE reason IS NOT NULL GROUP BY 1)),
-    is_ AS (SELECT kase, min_by(reason, rank) AS reason FROM rs WHERE reason IS NOT NULL GROUP BY 1)"""
-_KASES = "kases(kase, name) AS (VALUES " + ", ".join(f"({v}, '{k}')" for k, v in _CASES.items()) + ")"
-
-
-def provenance_issue(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The first issue in order of rank: ``rows`` has keys, rank and reason (null: none)."""
-    return rows.where("reason is not null").groupBy(*keys).agg(F.min_by("reason", "rank").alias("reason"))
+#: Sets of inputs: what is wrong with each (a flaw of its rows' columns), and the instant it is judged at.
+_CASES = {
+    "governed": "2002-01-01", "no_cutoff": None, "early_cutoff": "2001-03-01", "no_record": "2002-01-01", "no_target": "2002-01-01", "other_method": "2002-01-01",
+    "no_run": "2002-01-01", "no_activation": "2002-01-01", "late_cash": "2002-01-01", "synthetic": "2002-01-01", "legacy_vix": "2002-01-01", "no_status": "2002-01-01",
+}
+_KASES = "kases(name, cutoff) AS (VALUES " + ", ".join(f"('{k}', {'CAST(NULL AS TIMESTAMP)' if v is None else f'TIMESTAMP {chr(39)}{v}{chr(39)}'})" for k, v in _CASES.items()) + ")"
+_REASONS = """sg AS (SELECT name, cutoff, idx, CASE WHEN name <> 'no_record' OR idx % 50 <> 7 THEN decision_at + INTERVAL 1 HOUR END AS recorded_at, 'run-' || idx AS data_run_id,
+        CASE WHEN name <> 'no_target' OR score < 80 THEN target_exposure END AS target_exposure, CASE WHEN name = 'other_method' AND idx % 60 = 9 THEN 'STRATEGY_V0' ELSE 'STRATEGY_V1' END AS methodology FROM kases, h_signal),
+    dv AS (SELECT 1 AS kind, d, close AS x FROM h_price UNION ALL SELECT 2, d, v FROM h_vix UNION ALL SELECT 3, d, rate FROM h_rate),
+    dl AS (SELECT name, cutoff, kind, d, d + INTERVAL 30 HOUR AS fetched_at, CASE WHEN name <> 'no_run' OR day(d) <> 17 OR kind <> 2 THEN 'run-' || d END AS data_run_id, 'run-' || d AS activation_run_id,
+        CASE WHEN name = 'no_activation' AND day(d) = 11 THEN NULL WHEN name = 'late_cash' AND kind = 3 AND d >= DATE '2001-06-01' THEN d + INTERVAL 300 DAY ELSE d + INTERVAL 2 DAY END AS activated_at,
+        CASE WHEN name = 'synthetic' AND day(d) = 13 THEN 'SYNTHETIC_BACKFILL' WHEN name = 'legacy_vix' AND kind = 2 AND day(d) = 19 THEN 'LEGACY_NO_PIT' WHEN name <> 'no_status' OR day(d) <> 23 THEN 'PIT_RAW' END AS status FROM kases, dv),
+    rs AS (SELECT name, 0 AS part, 0 AS r1, DATE '1970-01-01' AS r2, CASE WHEN cutoff IS NULL THEN 'missing as-of cutoff provenance' END AS reason FROM kases
+        UNION ALL SELECT name, 1, idx, DATE '1970-01-01', CASE WHEN recorded_at IS NULL OR data_run_id IS NULL THEN 'missing official signal provenance' WHEN target_exposure IS NULL OR methodology <> 'STRATEGY_V1' THEN 'missing explicit formal portfolio target'
+            WHEN recorded_at >= cutoff THEN 'signal not visible strictly before as-of cutoff' END FROM sg
+        UNION ALL SELECT name, 2, kind, d, CASE WHEN fetched_at IS NULL OR data_run_id IS NULL OR activation_run_id IS NULL THEN 'missing daily input provenance' WHEN activated_at IS NULL THEN 'missing daily input activation time'
+            WHEN activated_at >= cutoff THEN 'daily input not visible strictly before as-of cutoff' WHEN status = 'SYNTHETIC_BACKFILL' THEN 'synthetic backfill is not formal input'
+            WHEN status = 'LEGACY_NO_PIT' THEN 'legacy input without PIT provenance' WHEN status IS DISTINCT FROM 'PIT_RAW' THEN 'missing daily input provenance status' END FROM dl),
+    is_ AS (SELECT name, reason FROM rs WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name ORDER BY part, r1, r2) = 1)"""
 
 
 def _issues(spark, sf) -> tuple[DataFrame, DataFrame]:
-    cases = F.broadcast(spark.createDataFrame([(v, k) for k, v in _CASES.items()], "kase int, name string"))
-    is_ = lambda v: F.col("kase") == v
-    none = cases.select("kase", F.lit(0).cast("long").alias("rank"), F.when(is_(1), "missing as-of cutoff provenance").alias("reason"))
-    s = F.when(is_(6) & (F.col("idx") % 50 == 7), "missing explicit formal portfolio target").when(is_(2) & (F.col("idx") % 100 == 9), "signal not visible strictly before as-of cutoff")
-    signals = h_signal(spark, sf).crossJoin(cases).select("kase", F.col("idx").alias("rank"), s.alias("reason"))
-    days = h_price(spark, sf).select((F.row_number().over(W.orderBy("d"))).cast("long").alias("r"))
-    q = (
-        F.when(is_(4) & (F.col("r") % 90 == 11), "missing daily input activation time").when(is_(3) & (F.col("r") % 70 == 13), "synthetic backfill is not formal input")
-        .when(is_(5) & (F.col("r") % 60 == 17), "legacy input without PIT provenance")
+    """The cases, and the first reason of each that has one."""
+    cases = F.broadcast(spark.createDataFrame(list(_CASES.items()), "name string, cutoff string").select("name", F.col("cutoff").cast("timestamp").alias("cutoff")))
+    name, day = F.col("name"), F.dayofmonth("d")
+    hours = lambda c, n: F.col(c).cast("timestamp") + F.expr(f"INTERVAL {n} HOURS")
+    signals = h_signal(spark, sf).crossJoin(cases).select(
+        "name", "idx", F.when((name != "no_record") | (F.col("idx") % 50 != 7), hours("decision_at", 1)).alias("recorded_at"), F.concat(F.lit("run-"), "idx").alias("data_run_id"),
+        F.when((name != "no_target") | (F.col("score") < 80), F.col("target_exposure")).alias("target_exposure"),
+        F.when((name == "other_method") & (F.col("idx") % 60 == 9), "STRATEGY_V0").otherwise("STRATEGY_V1").alias("methodology"),
     )
-    daily = days.crossJoin(cases).select("kase", (F.col("r") + 1_000_000).alias("rank"), q.alias("reason"))
-    return cases, provenance_issue(none.unionByName(signals).unionByName(daily), ["kase"])
+    daily = h_price(spark, sf).select(F.lit(1).alias("kind"), "d").unionByName(h_vix(spark, sf).select(F.lit(2).alias("kind"), "d")).unionByName(h_rate(spark, sf).select(F.lit(3).alias("kind"), "d"))
+    run = F.concat(F.lit("run-"), F.col("d").cast("string"))
+    daily = daily.crossJoin(cases).select(
+        "name", "kind", "d", hours("d", 30).alias("fetched_at"), F.when((name != "no_run") | (day != 17) | (F.col("kind") != 2), run).alias("data_run_id"), run.alias("activation_run_id"),
+        F.when((name == "no_activation") & (day == 11), None).when((name == "late_cash") & (F.col("kind") == 3) & (F.col("d") >= F.lit("2001-06-01").cast("date")), hours("d", 7200)).otherwise(hours("d", 48)).alias("activated_at"),
+        F.when((name == "synthetic") & (day == 13), "SYNTHETIC_BACKFILL").when((name == "legacy_vix") & (F.col("kind") == 2) & (day == 19), "LEGACY_NO_PIT")
+        .when((name != "no_status") | (day != 23), "PIT_RAW").alias("status"),
+    )
+    return cases, G.provenance_issues(cases, signals, daily, ["name"], "STRATEGY_V1")
 
 
-@query("provenance_gate", "h_price h_signal", f"WITH {_KASES}, {_REASONS} SELECT name, reason FROM kases LEFT JOIN is_ USING (kase)")
+@query("provenance_gate", "h_price h_signal h_rate h_vix", f"WITH {_KASES}, {_REASONS} SELECT name, reason FROM kases LEFT JOIN is_ USING (name)")
 def provenance_gate(spark, sf):
     """The first reason, signals before daily rows, why a set of inputs is not formal."""
     cases, issues = _issues(spark, sf)
-    return issues.join(cases, "kase", "right").select("name", "reason")
+    return cases.join(issues, "name", "left").select("name", "reason")
 
 
 _FROM_FIRST = PORTFOLIO.replace("LEFT JOIN x ON x.exec_d = p.d)", "LEFT JOIN x ON x.exec_d = p.d WHERE p.d >= (SELECT min(exec_d) FROM x))").replace("r.rate, v.d AS vd", "r.rate, r.d AS rd, v.d AS vd")
@@ -356,7 +376,7 @@ def evaluation_sessions(spark, sf) -> DataFrame:
 
 
 _COST = """st AS (SELECT coalesce(bool_and(p IS NULL OR (rd IS NOT NULL AND p - rd <= 4)), false) AS complete FROM j),
-    fi AS (SELECT kase, name, coalesce(reason, CASE WHEN NOT complete THEN 'cash rate missing or stale' END) AS reason FROM kases LEFT JOIN is_ USING (kase), st), co AS (SELECT j.d, j.target, abs(target - held) * (3 + CASE WHEN vd IS NULL OR d - vd > 4 OR v >= 28 THEN 3 ELSE 0 END) / 10000 AS cost FROM j)"""
+    fi AS (SELECT name, coalesce(reason, CASE WHEN NOT complete THEN 'cash rate missing or stale' END) AS reason FROM kases LEFT JOIN is_ USING (name), st), co AS (SELECT j.d, j.target, abs(target - held) * (3 + CASE WHEN vd IS NULL OR d - vd > 4 OR v >= 28 THEN 3 ELSE 0 END) / 10000 AS cost FROM j)"""
 
 
 @query("event_backtest", "h_price h_signal h_rate h_vix", f"""WITH {_FROM_FIRST}, {_KASES}, {_REASONS}, {_COST},
@@ -368,12 +388,20 @@ def event_backtest(spark, sf):
     nav = M.daily_portfolio(evaluation_sessions(spark, sf), h_vix(spark, sf), h_rate(spark, sf), keys=[])
     got = nav.agg(F.round(F.log(F.max_by("nav", "d")), 5).alias("log_return"), r6(F.sum("trade_cost"), "trading_cost"), F.count(F.lit(1)).alias("sessions"), F.bool_and("complete").alias("complete"))
     cases, issues = _issues(spark, sf)
-    rows = issues.join(cases, "kase", "right").crossJoin(F.broadcast(got))
+    rows = cases.join(issues, "name", "left").crossJoin(F.broadcast(got))
     reason = F.coalesce("reason", F.when(~F.col("complete"), "cash rate missing or stale"))
     ok = lambda c: F.when(reason.isNull(), F.col(c)).alias(c)
     return rows.select("name", F.when(reason.isNull(), "OK").otherwise("DATA_INCOMPLETE").alias("status"), reason.alias("reason"), ok("log_return"), ok("trading_cost"), ok("sessions"))
 
 
+#: Metrics ``me`` of the values ``n`` (methodology, d, target, nav).
+METRICS = """mr AS (SELECT *, nav / lag(nav, 1, 1.0) OVER o - 1 AS ret, greatest(1, max(nav) OVER (PARTITION BY methodology ORDER BY d ROWS UNBOUNDED PRECEDING)) AS peak, lead(d) OVER o IS NULL AS is_last FROM n WINDOW o AS (PARTITION BY methodology ORDER BY d)),
+    mk AS (SELECT *, sum(CASE WHEN nav >= peak THEN 1 ELSE 0 END) OVER (PARTITION BY methodology ORDER BY d ROWS UNBOUNDED PRECEDING) AS spell FROM mr),
+    mb AS (SELECT *, sum(CASE WHEN nav < peak THEN 1 ELSE 0 END) OVER (PARTITION BY methodology, spell ORDER BY d ROWS UNBOUNDED PRECEDING) AS below FROM mk),
+    me AS (SELECT methodology, round(avg(target) FILTER (NOT is_last), 5) AS average_beta, round(stddev_pop(ret) * sqrt(252), 5) AS volatility, round(avg(ret) / nullif(stddev_pop(ret), 0) * sqrt(252), 5) AS sharpe,
+        round(avg(ret) / nullif(sqrt(sum(least(ret, 0) * least(ret, 0)) / count(*)), 0) * sqrt(252), 5) AS sortino, round(min(nav / peak - 1), 5) AS max_drawdown, CAST(max(below) AS BIGINT) AS drawdown_sessions FROM mb GROUP BY 1)"""
+
+
 @query("benchmark_portfolios", "h_price h_signal h_rate h_vix", f"""WITH {SCHEDULE},
     pr AS (SELECT d, close, close / lag(close) OVER (ORDER BY d) - 1 AS ret FROM h_price),
     tg AS (SELECT d, close, count(ret) OVER a AS vn, stddev_pop(ret) OVER a AS sd, count(*) OVER b AS mn, avg(close) OVER b AS ma, lag(close) OVER (ORDER BY d) AS pc FROM pr WINDOW a AS (ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), b AS (ORDER BY d ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING)),
@@ -384,8 +412,11 @@ def event_backtest(spark, sf):
     s AS (SELECT methodology, d, close, target, lag(d) OVER o AS p, lag(close) OVER o AS pc, lag(target, 1, 0) OVER o AS held FROM q WINDOW o AS (PARTITION BY methodology ORDER BY d)),
     j AS (SELECT s.*, r.rate, v.d AS vd, v.v FROM s ASOF LEFT JOIN h_rate r ON s.p > r.d ASOF LEFT JOIN h_vix v ON s.d >= v.d),
     c AS (SELECT methodology, d, abs(target - held) * (3 + CASE WHEN vd IS NULL OR d - vd > 4 OR v >= 28 THEN 3 ELSE 0 END) / 10000 AS cost, CASE WHEN p IS NULL THEN 1 ELSE 1 + held * (close / pc - 1) + (1 - held) * coalesce(rate, 0) / 100 * (d - p) / 360 END AS g FROM j),
-    z AS (SELECT methodology, CAST(count(*) AS BIGINT) AS sessions, round(sum(cost), 6) AS trading_cost, sum(ln(g * (1 - cost))) AS lr FROM c GROUP BY 1)
-    SELECT methodology, sessions, trading_cost, round(lr, 5) AS log_return, round(lr - (SELECT lr FROM z WHERE methodology = 'beta_matched'), 5) AS over_beta_matched FROM z""")
+    n AS (SELECT methodology, d, target, cost, product(g * (1 - cost)) OVER (PARTITION BY methodology ORDER BY d ROWS UNBOUNDED PRECEDING) AS nav FROM c JOIN q USING (methodology, d)),
+    z AS (SELECT methodology, CAST(count(*) AS BIGINT) AS sessions, round(sum(cost), 6) AS trading_cost, arg_max(nav, d) - 1 AS total FROM n GROUP BY 1),
+    {METRICS}
+    SELECT z.methodology, sessions, trading_cost, round(ln(total + 1), 5) AS log_return, printf('%.6e', total - (SELECT total FROM z WHERE methodology = 'beta_matched')) AS over_beta_matched,
+        average_beta, volatility, sharpe, sortino, max_drawdown, drawdown_sessions FROM z JOIN me USING (methodology)""")
 def benchmark_portfolios(spark, sf):
     """The strategy and four benchmarks over the same sessions, the targets of a session known before it."""
     prices = h_price(spark, sf).withColumn("ret", F.col("close") / N.lag("close", 1, []) - 1)
@@ -397,9 +428,14 @@ def benchmark_portfolios(spark, sf):
     names = ["strategy", "buy_hold", "beta_matched", "vol_target", "moving_average"]
     rows = ev.select("d", "close", F.explode(F.array(*[F.struct(F.lit(n).alias("methodology"), F.col(n).cast("double").alias("target")) for n in names])).alias("x")).select("d", "close", "x.*")
     nav = M.daily_portfolio(rows, h_vix(spark, sf), h_rate(spark, sf), keys=["methodology"])
-    z = nav.groupBy("methodology").agg(F.count(F.lit(1)).alias("sessions"), r6(F.sum("trade_cost"), "trading_cost"), F.log(F.max_by("nav", "d")).alias("lr"))
-    base = F.max(F.when(F.col("methodology") == "beta_matched", F.col("lr"))).over(W.partitionBy())  # five rows
-    return z.select("methodology", "sessions", "trading_cost", F.round("lr", 5).alias("log_return"), F.round(F.col("lr") - base, 5).alias("over_beta_matched"))
+    z = nav.groupBy("methodology").agg(F.count(F.lit(1)).alias("sessions"), r6(F.sum("trade_cost"), "trading_cost"))
+    z = z.join(M.portfolio_metrics(nav, keys=["methodology"]), "methodology")
+    base = F.max(F.when(F.col("methodology") == "beta_matched", F.col("total_return"))).over(W.partitionBy())  # five rows
+    five = lambda *names: [F.round(c, 5).alias(c) for c in names]
+    return z.select(
+        "methodology", "sessions", "trading_cost", F.round(F.log(F.col("total_return") + 1), 5).alias("log_return"), F.format_string("%.6e", F.col("total_return") - base).alias("over_beta_matched"),
+        *five("average_beta", "volatility", "sharpe", "sortino", "max_drawdown"), "drawdown_sessions",
+    )
 
 
 @query("formal_pairs", "h_price h_signal", f"""WITH {SCHEDULE}
@@ -543,7 +579,7 @@ def release_rule_issues(spark, sf):
 
 
 @query("vintage_windows", "h_pit", """
-    WITH b AS (SELECT series_id, min(vintage_date) AS a, max(vintage_date) AS z FROM h_pit GROUP BY 1), w AS (SELECT series_id, k, a + CAST(k * 2000 AS INTEGER) AS f, least(z, a + CAST(k * 2000 + 1999 AS INTEGER)) AS t FROM b, range(20) r(k) WHERE a + CAST(k * 2000 AS INTEGER) <= z)
+    WITH b AS (SELECT series_id, min(vintage_date) AS a, max(vintage_date) AS z FROM h_pit GROUP BY 1), w AS (SELECT series_id, k, a + CAST(k * 2000 AS INTEGER) AS f, least(z, a + CAST(k * 2000 + 1999 AS INTEGER)) AS t FROM (SELECT *, unnest(range((z - a) // 2000 + 1)) AS k FROM b))
     SELECT w.series_id, f AS window_from, t AS window_to, CAST(count(p.value) AS BIGINT) AS n, CAST(ceil(count(p.value) / 1000) AS BIGINT) AS pages FROM w LEFT JOIN h_pit p ON p.series_id = w.series_id AND p.vintage_date BETWEEN f AND t GROUP BY 1, 2, 3""")
 def vintage_windows(spark, sf):
     """A series' vintages cut into windows of 2,000 days, with the pages of 1,000 rows that each takes."""

@@ -191,7 +191,7 @@ def stride_independent(spark, sf):
     WITH g AS (SELECT a.w, a.v / nullif(b.v, 0) - 1 AS growth FROM h_week a JOIN h_week b ON b.series_id = a.series_id AND b.w = a.w - 91 WHERE a.series_id = '1-URGENT'),
     p AS (SELECT lead, g.growth, y.close / x.close - 1 AS fwd FROM (SELECT * FROM g CROSS JOIN (SELECT i AS lead FROM range(0, 27, 2) t(i))) g
         ASOF JOIN h_price x ON x.d <= g.w + CAST(7 * lead AS INTEGER) ASOF JOIN h_price y ON y.d <= g.w + CAST(7 * lead AS INTEGER) + 91
-        WHERE g.w + CAST(7 * lead AS INTEGER) + 91 <= DATE '2001-07-30'),
+        WHERE g.w + CAST(7 * lead AS INTEGER) + 91 <= (SELECT max(d) FROM h_price)),
     s AS (""" + SPEARMAN.format(k="lead", x="growth", y="fwd", t="p", empty="0") + ") SELECT lead, ic FROM s ORDER BY ic DESC, lead LIMIT 1")
 def best_lead(spark, sf):
     """The arg-max over leads; the limit is the feature."""
