@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.scalars import finite, loose_date, strict_date
+from ..functions.scalars import finite, loose_date, strict_date, strict_instant
 
 
 def json_series(payloads: DataFrame, units: dict[str, str] | None = None) -> DataFrame:
@@ -53,6 +53,43 @@ def quote_json(payloads: DataFrame) -> DataFrame:
     return rows.select("symbol", price.alias("price"), F.expr("try_cast(t AS BIGINT)").cast("timestamp").alias("at"), known.alias("state"))
 
 
+#: Fields of a stored decision; a score or VIX that is not a number in the JSON reads as null.
+DECISION = (
+    "struct<date:string,decision_at:string,recorded_at:string,data_cutoff:string,created_at:string,score:double,verdict:string,netliq_dir:string,vix_eod:double,"
+    "qe_qt_regime:string,model_version:string,config_hash:string,code_commit_sha:string,data_run_id:string,factors_json:string,factor_quality_json:string>"
+)
+
+
+def decision_rows(payloads: DataFrame, cutoff: Column) -> DataFrame:
+    """``payloads`` (with payload, JSON text) plus row, the typed fields, and issue, the first refusal in order; null where the row is good.
+
+    Clocks are canonical instants with data_cutoff < decision_at <= recorded_at <= created_at,
+    all before ``cutoff``.
+    """
+    rows = payloads.withColumn("row", F.from_json("payload", DECISION)).withColumn("__vix", F.get_json_object("payload", "$.vix_eod"))
+    of = lambda c: F.col(f"row.{c}")
+    clocks = ("decision_at", "recorded_at", "data_cutoff", "created_at")
+    instants = {c: strict_instant(of(c)) for c in clocks}
+    finite_ = lambda c: of(c).isNotNull() & ~F.isnan(of(c)) & (F.abs(of(c)) != float("inf"))
+    good = lambda c: F.coalesce(c, F.lit(False))
+    issue = F.when(F.col("row").isNull() | F.expr("try_parse_json(payload)").isNull(), "INVALID_JSON").when(strict_date(of("date")).isNull(), "date")
+    for c in clocks:
+        issue = issue.when(instants[c].isNull(), c)
+    policy = of("verdict").isin("BULLISH", "NEUTRAL", "BEARISH") & of("netliq_dir").isin("UP", "DOWN", "FLAT") & (F.col("__vix").isNull() | (finite_("vix_eod") & (of("vix_eod") >= 0)))
+    object_ = lambda c: F.expr(f"schema_of_variant(try_parse_json(row.{c}))").startswith("OBJECT")
+    ordered = (instants["data_cutoff"] < instants["decision_at"]) & (instants["decision_at"] <= instants["recorded_at"]) & (instants["recorded_at"] <= instants["created_at"])
+    for c in clocks:
+        ordered = ordered & (instants[c] < cutoff)
+    for name, ok in {
+        "score": finite_("score") & of("score").between(0, 100), "policy": policy, "qe_qt_regime": of("qe_qt_regime").isin("EXPANDING", "CONTRACTING", "FLAT"),
+        "model_version": of("model_version").isNotNull() & (of("model_version") != "LEGACY_UNVERSIONED"), "config_hash": of("config_hash").rlike("^[a-f0-9]{64}$"),
+        "code_commit_sha": (of("code_commit_sha") == "LOCAL_UNCONFIGURED") | of("code_commit_sha").rlike("^[a-f0-9]{40}$"), "data_run_id": F.length(of("data_run_id")) > 0,
+        "clock_order": ordered, "factors_json": object_("factors_json"), "factor_quality_json": object_("factor_quality_json"),
+    }.items():
+        issue = issue.when(~good(ok), name)
+    return rows.withColumn("issue", issue).drop("__vix")
+
+
 def daily_arrays(payloads: DataFrame) -> DataFrame:
     """(symbol, ts array<long>, close array<double>) zipped to dated finite closes."""
     rows = payloads.select("symbol", F.inline(F.arrays_zip("ts", "close")))
