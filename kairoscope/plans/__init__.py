@@ -1,6 +1,6 @@
 """All queries over the driver's tables, with their SQL where there is any."""
 
-from . import ablation, evaluation, flows, inputs, research, rules, snapshot, surface, temporal  # noqa: F401  (they register themselves)
+from . import ablation, evaluation, flows, inputs, keyed, research, rules, snapshot, surface, temporal  # noqa: F401  (they register themselves)
 from .harness import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
