@@ -162,3 +162,13 @@ def block_bootstrap(rows: DataFrame, *, n: int, block: int, iterations: int, dra
     spread = starts.select("iter", (F.col("b") * block).alias("base"), "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o"))
     picked = spread.where(F.col("base") + F.col("o") < n).select("iter", F.pmod(F.col("start") + F.col("o"), F.lit(n)).alias("idx"))
     return picked.join(rows, "idx")
+
+
+def keyed_block_bootstrap(rows: DataFrame, keys: list[str], *, block: int, iterations: int, draw) -> DataFrame:
+    """``block_bootstrap`` of each key's rows (idx from 0 in the key); each key begins with the first draw."""
+    sizes = F.broadcast(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))  # a row for each key
+    starts = rows.sparkSession.range(iterations).withColumnRenamed("id", "iter").crossJoin(sizes).withColumn("__per", F.ceil(F.col("__n") / block))
+    starts = starts.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__per") - 1)))
+    starts = starts.withColumn("__start", F.floor(draw(F.col("iter") * F.col("__per") + F.col("__b")) * F.col("__n")))
+    spread = starts.withColumn("__o", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("__b") * block + F.col("__o") < F.col("__n"))
+    return spread.select(*keys, "iter", F.pmod(F.col("__start") + F.col("__o"), F.col("__n")).alias("idx")).join(rows, [*keys, "idx"])
