@@ -40,6 +40,18 @@ def _gaps_fit(frequency: str, rows: int, order) -> Column:
     return F.when(F.count(F.lit(1)).over(order.rowsBetween(1 - rows, 0)) == rows, fits)
 
 
+def net_levels(series: DataFrame, keys: list[str]) -> DataFrame:
+    """The weekly balance sheet with ``__net``, its level less treasury and repo where both are fresh, and ``__gap``, the days since the row before."""
+    of = lambda s: series.where(F.col("series_id") == s)
+    weekly = of(WEEKLY).withColumn("__gap", F.datediff("d", F.lag("d").over(W.partitionBy(*keys, "series_id").orderBy("d"))))
+    for s, name in ((TREASURY, "__t"), (REPO, "__r")):
+        _, _, calendar, business, _, _, fallback = P.SERIES[s]
+        weekly = asof_last(weekly, of(s).select(*keys, "d", "v"), keys=keys, carry=["v"], prefix=f"{name}_")
+        at = fresh(F.col(f"{name}_v"), F.col(f"{name}_date"), F.col("d"), calendar_days=calendar, business_days=business, fallback=F.lit(fallback))
+        weekly = weekly.withColumn(name, at["value"])
+    return weekly.withColumn("__net", C.net_liquidity("v", "__t", "__r"))
+
+
 def history(series: DataFrame, keys: list[str]) -> DataFrame:
     """``series`` (keys, series_id, d, v) with what its factors need of the past up to each row."""
     key = [*keys, "series_id"]
@@ -50,14 +62,9 @@ def history(series: DataFrame, keys: list[str]) -> DataFrame:
     special = [WEEKLY, "BAMLH0A0HYM2", "DTWEXBGS"]
     plain = series.where(~F.col("series_id").isin(special)).select(*key, "d", "v")
 
-    weekly = gapped(WEEKLY)
-    for s, name in ((TREASURY, "__t"), (REPO, "__r")):
-        _, _, calendar, business, _, _, fallback = P.SERIES[s]
-        weekly = asof_last(weekly, of(s).select(*keys, "d", "v"), keys=keys, carry=["v"], prefix=f"{name}_")
-        at = fresh(F.col(f"{name}_v"), F.col(f"{name}_date"), F.col("d"), calendar_days=calendar, business_days=business, fallback=F.lit(fallback))
-        weekly = weekly.withColumn(name, at["value"])
+    weekly = net_levels(series, keys)
     rows = P.TREND_WEEKS + 1
-    weekly = weekly.withColumn("__net", C.net_liquidity("v", "__t", "__r")).select(
+    weekly = weekly.select(
         *key, "d", "v", F.lag("v", P.TREND_WEEKS).over(order).alias("back"), F.collect_list("__net").over(order.rowsBetween(1 - rows, 0)).alias("nets"),
         F.coalesce(_gaps_fit("WEEKLY", rows, order), F.lit(False)).alias("usable"),
         F.count(F.lit(1)).over(order.rowsBetween(1 - rows, 0)).alias("n"),

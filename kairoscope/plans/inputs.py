@@ -42,21 +42,24 @@ def _fits(s: str, found: str, at: str) -> str:
     return f"(({_status(found, at, calendar, business, chr(39) + fallback + chr(39))}) = 'FRESH')"
 
 
-@query("raw_smooth_gate", "h_books h_week", f"""
-    WITH dec AS (SELECT series_id AS book, w + k AS d FROM h_week, (VALUES (4), (6)) t(k)),
-    wr AS (SELECT DISTINCT book, d FROM (SELECT book, series_id, d FROM h_books GROUP BY ALL HAVING count(*) > 1 OR NOT bool_and(isfinite(v)))),
-    rp AS (SELECT book, d, count(*) OVER f = 5 AND min(gap) OVER g >= 1 AND max(gap) OVER g <= 4 AS regular, lag(d, 4) OVER (PARTITION BY book ORDER BY d) AS fifth FROM (SELECT book, d, d - lag(d) OVER (PARTITION BY book ORDER BY d) AS gap FROM h_books WHERE series_id = 'RRPONTSYD')
+#: The gate ``gt`` (book, d, n_anchors, reason) of decisions ``dec`` (book, d) over series ``bk`` (book, series_id, d, v).
+GATE = f"""
+    wr AS (SELECT DISTINCT book, d FROM (SELECT book, series_id, d FROM bk WHERE series_id IN ('WALCL', 'WDTGAL', 'WTREGEN', 'RRPONTSYD') GROUP BY ALL HAVING count(*) > 1 OR NOT bool_and(isfinite(v)))),
+    rp AS (SELECT book, d, count(*) OVER f = 5 AND min(gap) OVER g >= 1 AND max(gap) OVER g <= 4 AS regular, lag(d, 4) OVER (PARTITION BY book ORDER BY d) AS fifth FROM (SELECT book, d, d - lag(d) OVER (PARTITION BY book ORDER BY d) AS gap FROM bk WHERE series_id = 'RRPONTSYD')
         WINDOW f AS (PARTITION BY book ORDER BY d ROWS 4 PRECEDING), g AS (PARTITION BY book ORDER BY d ROWS 3 PRECEDING)),
     an AS (SELECT a.book, a.d, x.d IS NOT NULL AS exact, t.d AS td, coalesce({_fits("WTREGEN", "t.d", "a.d")} AND a.d - t.d <= 6, false) AS average, coalesce({_fits("RRPONTSYD", "r.d", "a.d")} AND r.regular, false) AS repo, r.fifth
-        FROM (SELECT book, d FROM h_books WHERE series_id = 'WALCL') a LEFT JOIN (SELECT DISTINCT book, d FROM h_books WHERE series_id = 'WDTGAL') x ON x.book = a.book AND x.d = a.d
-        ASOF LEFT JOIN (SELECT book, d FROM h_books WHERE series_id = 'WTREGEN') t ON t.book = a.book AND a.d >= t.d ASOF LEFT JOIN rp r ON r.book = a.book AND a.d >= r.d),
+        FROM (SELECT book, d FROM bk WHERE series_id = 'WALCL') a LEFT JOIN (SELECT DISTINCT book, d FROM bk WHERE series_id = 'WDTGAL') x ON x.book = a.book AND x.d = a.d
+        ASOF LEFT JOIN (SELECT book, d FROM bk WHERE series_id = 'WTREGEN') t ON t.book = a.book AND a.d >= t.d ASOF LEFT JOIN rp r ON r.book = a.book AND a.d >= r.d),
     ag AS (SELECT *, d - lag(d) OVER (PARTITION BY book ORDER BY d) AS gap, td - lag(td) OVER (PARTITION BY book ORDER BY d) AS tgap FROM an),
     af AS (SELECT book, d, count(*) OVER h AS n, min(gap) OVER g >= 5 AND max(gap) OVER g <= 10 AS cadence, bool_and(isodow(d) = 3) OVER h AS wed, bool_and(exact) OVER h AS exact, bool_and(average) OVER h AS average,
         bool_and(repo) OVER h AND coalesce(min(d) OVER h - first_value(fifth) OVER h <= 16, false) AS repo, min(tgap) OVER g >= 5 AND max(tgap) OVER g <= 10 AS tcadence
-        FROM ag WINDOW h AS (PARTITION BY book ORDER BY d ROWS 169 PRECEDING), g AS (PARTITION BY book ORDER BY d ROWS 168 PRECEDING))
-    SELECT dec.book, dec.d, CAST(coalesce(n, 0) AS BIGINT) AS n_anchors, CASE WHEN wr.d IS NOT NULL THEN 'INVALID_SERIES' WHEN coalesce(n, 0) < 66 THEN 'TOO_FEW_ANCHORS' WHEN NOT cadence THEN 'ANCHOR_CADENCE' WHEN NOT wed THEN 'ANCHOR_WEEKDAY'
+        FROM ag WINDOW h AS (PARTITION BY book ORDER BY d ROWS 169 PRECEDING), g AS (PARTITION BY book ORDER BY d ROWS 168 PRECEDING)),
+    gt AS (SELECT dec.book, dec.d, CAST(coalesce(n, 0) AS BIGINT) AS n_anchors, CASE WHEN wr.d IS NOT NULL THEN 'INVALID_SERIES' WHEN coalesce(n, 0) < 66 THEN 'TOO_FEW_ANCHORS' WHEN NOT cadence THEN 'ANCHOR_CADENCE' WHEN NOT wed THEN 'ANCHOR_WEEKDAY'
         WHEN NOT {_fits("WALCL", "af.d", "dec.d")} THEN 'STALE_ANCHOR' WHEN NOT exact THEN 'TREASURY_DATE_MISSING' WHEN NOT average THEN 'TREASURY_AVERAGE_STALE' WHEN NOT repo THEN 'REPO_WINDOW' WHEN NOT tcadence THEN 'TREASURY_AVERAGE_CADENCE' END AS reason
-    FROM dec ASOF LEFT JOIN wr ON wr.book = dec.book AND dec.d >= wr.d ASOF LEFT JOIN af ON af.book = dec.book AND dec.d - 7 >= af.d""")
+        FROM dec ASOF LEFT JOIN wr ON wr.book = dec.book AND dec.d >= wr.d ASOF LEFT JOIN af ON af.book = dec.book AND dec.d - 7 >= af.d)"""
+
+
+@query("raw_smooth_gate", "h_books h_week", f"WITH dec AS (SELECT series_id AS book, w + k AS d FROM h_week, (VALUES (4), (6)) t(k)), bk AS (SELECT * FROM h_books), {GATE} SELECT * FROM gt")
 def raw_smooth_gate(spark, sf):
     """Each weekly decision of each book: whether its history of four series can be used, and if not, why."""
     decisions = h_week(spark, sf).select(F.col("series_id").alias("book"), F.explode(F.array(F.date_add("w", 4), F.date_add("w", 6))).alias("d"))

@@ -18,11 +18,11 @@ DAILY = {
 }
 #: Weekly ones, on Wednesdays.
 WEEKLY = {
-    "WALCL": (6000, 150, "d BETWEEN DATE '1998-08-01' AND DATE '1998-08-12'"), "WDTGAL": (700, 50, "d BETWEEN DATE '1996-07-01' AND DATE '1996-08-01'"),
+    "WALCL": (6000, 150, "d BETWEEN DATE '1996-05-01' AND DATE '1996-05-12'"), "WDTGAL": (700, 50, "d BETWEEN DATE '1996-07-01' AND DATE '1996-08-01'"),
     "WRBWFRBL": (2000, 1000, "d BETWEEN DATE '1997-02-01' AND DATE '1997-03-10'"),
 }
 #: Those of one priority each, whose days have gaps of their own.
-SPARSE = {"BAMLH0A0HYM2": ("1-URGENT", 3, 0.8), "DGS10": ("2-HIGH", 4, 0.3), "T10Y2Y": ("5-LOW", 0, 0.3)}
+SPARSE = {"BAMLH0A0HYM2": ("1-URGENT", 3, 0.8), "DGS10": ("2-HIGH", 4, 0.3), "T10Y2Y": ("5-LOW", 0, 0.3), "WTREGEN": ("4-NOT SPECIFIED", 700, 50)}
 
 #: Values are whole steps of 1 / STEPS, the weekly ones of 1 / COARSE.
 STEPS, COARSE = 10000.0, 100.0
@@ -128,9 +128,9 @@ def _fresh_value(name: str, s: str) -> str:
 
 
 _LOOKUPS = [(s, 0) for s in P.SERIES] + list(A.LOOKBACK.items())
-_PARTS = f"""
+PARTS = f"""
     rules(series_id, calendar, business, fallback) AS (VALUES {_values((s, *r[2:4], r[6]) for s, r in P.SERIES.items())}),
-    probes AS (SELECT d, series_id, back, d - back AS probed FROM h_signal, (VALUES {_values(_LOOKUPS)}) t(series_id, back)),
+    probes AS (SELECT d, series_id, back, d - back AS probed FROM dates, (VALUES {_values(_LOOKUPS)}) t(series_id, back)),
     found AS (SELECT p.*, s.d AS sd, s.v FROM probes p ASOF LEFT JOIN h_series s ON p.series_id = s.series_id AND p.probed >= s.d),
     states AS (SELECT f.*, {_status("sd", "probed", "calendar", "business", "fallback")} AS status FROM found f JOIN rules USING (series_id)),
     wide AS (SELECT d, {", ".join(f"max(v) FILTER (series_id = '{s}' AND back = 0 AND status = 'FRESH') AS v_{s}, max(sd) FILTER (series_id = '{s}' AND back = 0) AS d_{s}, max(status) FILTER (series_id = '{s}' AND back = 0) AS st_{s}" for s in P.SERIES)},
@@ -154,7 +154,7 @@ _PARTS = f"""
     quality AS (SELECT *, CASE status WHEN 'OK' THEN 1 WHEN 'PARTIAL' THEN 0.5 ELSE 0 END::DOUBLE AS quality FROM results)""".replace("$$MISSING$$", "'MISSING'").replace("$$STALE$$", "'STALE'")
 
 
-@query("snapshot_factors", "h_signal h_series", f"WITH {_PARTS} SELECT d, factor, round(score, 6) AS score, quality, status, as_of FROM quality")
+@query("snapshot_factors", "h_signal h_series", f"WITH dates AS (SELECT d FROM h_signal), {PARTS} SELECT d, factor, round(score, 6) AS score, quality, status, as_of FROM quality")
 def snapshot_factors(spark, sf):
     """Nine factor results for each weekly date."""
     rows = A.snapshots(h_series(spark, sf), h_signal(spark, sf).select("d")).select("d", F.explode("factors").alias("factor", "r"))
@@ -167,13 +167,16 @@ _LABEL = f"""'Fed ' || {_case("impulse", texts.IMPULSE_LABEL)} || '、净流动
     || CASE WHEN impulse = 'CONTRACTING' AND direction = 'UP' THEN '{texts.EASING_GAP}' WHEN impulse = 'EXPANDING' AND direction = 'DOWN' THEN '{texts.TIGHTENING_GAP}' ELSE '' END"""
 
 
-@query("snapshot_assembly", "h_signal h_series", f"""
-    WITH {_PARTS}, weights(factor, weight) AS (VALUES {_WEIGHTS}),
+#: The decisions ``judged`` of the parts.
+JUDGED = f"""weights(factor, weight) AS (VALUES {_WEIGHTS}),
     sums AS (SELECT d, greatest(0, least(100, sum(score * weight) FILTER (weight > 0) / sum(weight) FILTER (weight > 0 AND score IS NOT NULL))) AS all_score, max(status) FILTER (factor = 'trend') = 'OK' AS ok,
         sum(quality) FILTER (factor <> 'vol') / 8 AS coverage, {_PASS("rates")} AND {_PASS("funding")} AND {_PASS("credit")} AS p0, {_PASS("trend")} OR {_PASS("impulse")} AS p1, {_PASS("dollar")} AS p2, {_PASS("vol")} AS p3
         FROM quality JOIN weights USING (factor) GROUP BY d),
     scored AS (SELECT *, CASE WHEN ok THEN all_score END AS score FROM x JOIN sums USING (d)),
-    judged AS (SELECT *, CASE WHEN score IS NOT NULL THEN coalesce(last_value(CASE WHEN score > 55 THEN 'BULLISH' WHEN score < 45 THEN 'BEARISH' END IGNORE NULLS) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING), 'NEUTRAL') END AS verdict FROM scored)
+    judged AS (SELECT *, CASE WHEN score IS NOT NULL THEN coalesce(last_value(CASE WHEN score > 55 THEN 'BULLISH' WHEN score < 45 THEN 'BEARISH' END IGNORE NULLS) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING), 'NEUTRAL') END AS verdict FROM scored)"""
+
+
+@query("snapshot_assembly", "h_signal h_series", f"""WITH dates AS (SELECT d FROM h_signal), {PARTS}, {JUDGED}
     SELECT d, v_WALCL AS walcl, v_WDTGAL AS tga, v_RRPONTSYD AS rrp, v_RPONTSYD AS repo, v_BAMLH0A0HYM2 AS hy_oas, v_DGS10 AS dgs10, v_DTWEXBGS AS dxy, v_VIXCLS AS vix,
         round(v_WALCL - v_WDTGAL - v_RRPONTSYD, 6) AS netliq, round(netliq_trend, 6) AS netliq_trend, round(sofr_iorb, 6) AS sofr_iorb, impulse, direction, verdict, round(score, 6) AS score,
         CASE WHEN ok THEN 'OK' ELSE 'DATA_INCOMPLETE' END AS decision_status, coverage, p0, p1, p2, p3, coalesce({_LABEL}, '{texts.INCOMPLETE}') AS reason FROM judged""")
