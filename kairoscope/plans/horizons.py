@@ -19,7 +19,7 @@ MOST = 335
 def _fridays(spark, sf):
     """Decisions on Fridays and one before all data; on the 13th the two inputs were read at different instants."""
     week = h_signal(spark, sf).select(F.date_add(F.date_trunc("week", "d").cast("date"), 4).alias("d")).distinct()
-    return week, week.unionByName(week.sparkSession.createDataFrame([("1994-12-30",)], "d string").select(F.col("d").cast("date")))
+    return week, week.unionByName(week.sparkSession.createDataFrame([("1994-12-02",)], "d string").select(F.col("d").cast("date")))
 
 
 def _latent(level: str) -> str:
@@ -37,7 +37,7 @@ _STATUS_SCORE = "CASE status WHEN 'OK' THEN 100 WHEN 'PARTIAL' THEN 50 ELSE 0 EN
 
 @query("dual_horizon", "h_signal h_series", f"""
     WITH dates AS (SELECT DISTINCT CAST(date_trunc('week', d) AS DATE) + 4 AS d FROM h_signal), {PARTS}, {JUDGED},
-    dec AS (SELECT 'x' AS book, d FROM dates UNION ALL SELECT 'x', DATE '1994-12-30'), bk AS (SELECT 'x' AS book, * FROM h_series), {GATE},
+    dec AS (SELECT 'x' AS book, d FROM dates UNION ALL SELECT 'x', DATE '1994-12-02'), bk AS (SELECT 'x' AS book, * FROM h_series), {GATE},
     fm AS (SELECT d, score, verdict, direction, impulse, v_VIXCLS AS vix, row_number() OVER (ORDER BY d) AS place, count(*) OVER (PARTITION BY impulse ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS same FROM judged),
     fs AS (SELECT d, {", ".join(f"max(score) FILTER (factor = '{n}') AS f_{n}" for n in COVERED)}, avg({_STATUS_SCORE}) FILTER (factor <> 'vol') AS freshness FROM quality GROUP BY d),
     wa AS (SELECT a.d, a.v, t.v AS t, r.v AS r, r.m, r.n, (SELECT avg(v) FROM h_series w WHERE w.series_id = 'WTREGEN' AND w.d BETWEEN a.d - 6 AND a.d) AS week

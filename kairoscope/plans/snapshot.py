@@ -14,7 +14,7 @@ from .harness import NEEDS, REL, h_obs, h_price, h_signal, h_week, query
 DAILY = {
     "RRPONTSYD": (500, -100, "false"), "RPONTSYD": (0, 10, "false"), "SOFR": (5, 0.06, "d BETWEEN DATE '1997-03-01' AND DATE '1997-05-10'"),
     "IORB": (5.05, 0, "d BETWEEN DATE '1998-01-05' AND DATE '1998-02-20'"), "VIXCLS": (10, 8, "dayofmonth(d) = 13"),
-    "DTWEXBGS": (120, 2, "d BETWEEN DATE '1999-06-01' AND DATE '1999-06-20'"), "SP500": (0, 100000, "false"),
+    "DTWEXBGS": (120, 2, "d BETWEEN DATE '1999-06-01' AND DATE '1999-06-20'"), "SP500": (0, 100000, "false"), "WTREGEN": (700, 50, "false"),
 }
 #: Weekly ones, on Wednesdays.
 WEEKLY = {
@@ -22,7 +22,7 @@ WEEKLY = {
     "WRBWFRBL": (2000, 1000, "d BETWEEN DATE '1997-02-01' AND DATE '1997-03-10'"),
 }
 #: Those of one priority each, whose days have gaps of their own.
-SPARSE = {"BAMLH0A0HYM2": ("1-URGENT", 3, 0.8), "DGS10": ("2-HIGH", 4, 0.3), "T10Y2Y": ("5-LOW", 0, 0.3), "WTREGEN": ("4-NOT SPECIFIED", 700, 50)}
+SPARSE = {"BAMLH0A0HYM2": ("1-URGENT", 3, 0.8), "DGS10": ("2-HIGH", 4, 0.3), "T10Y2Y": ("5-LOW", 0, 0.3)}
 
 #: Values are whole steps of 1 / STEPS, the weekly ones of 1 / COARSE.
 STEPS, COARSE = 10000.0, 100.0
