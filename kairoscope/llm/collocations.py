@@ -177,14 +177,14 @@ def _packed(texts: DataFrame, seed: int, longest: int, buckets: int, shard_words
             padded = np.concatenate([word, np.zeros(longest, U)])
             for n, at, count in phrase_counts(word, piece, longest):
                 key = [padded[at + i] if i < n else np.zeros(len(at), U) for i in range(longest)]
-                bucket = (mix(key[0] + mix(key[min(1, longest - 1)]) % SPREAD) % U(buckets)).astype(np.int64)
+                bucket = (mix(key[0] + mix(key[min(1, longest - 1)]) % SPREAD) % U(buckets)).astype(np.int32)
                 order = np.lexsort((*reversed(key[:n]), bucket))  # equal first words in a row pack well
                 edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
                 offsets = pa.array(np.append(edges, len(order)), pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order].view(np.int64))) for c in [*key, count]]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(edges), pa.string()), pa.array(bucket[order][edges]), *lists], names=["lang", "bucket", *keys, "a"])
 
-    schema = "lang string, bucket long, " + ", ".join(f"{k} array<long>" for k in [*keys, "a"])
+    schema = "lang string, bucket int, " + ", ".join(f"{k} array<long>" for k in [*keys, "a"])
     return texts.mapInArrow(pack, schema)
 
 
@@ -203,7 +203,7 @@ def phrases(
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(1, -(-size // MERGE_BYTES))
     keys = [f"k{i + 1}" for i in range(longest)]
-    packed = _packed(texts, seed, longest, buckets, shard_words).repartition(buckets, "bucket")
+    packed = _packed(texts, seed, longest, buckets, shard_words).repartitionById(buckets, F.col("bucket"))
     counts = packed.select("bucket", "lang", F.inline(F.arrays_zip(*keys, "a"))).groupBy("bucket", "lang", *keys).agg(F.sum("a").alias("a"))
     frequent = materialize(counts.where(F.col("a") >= min_count).drop("bucket"), "collocation-phrases")
     return frequent, words.groupBy("key").agg(F.min("word").alias("word"), F.sum("n").alias("n")), words.groupBy("lang").agg(F.sum("n").alias("n"))
