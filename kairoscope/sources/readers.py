@@ -20,12 +20,18 @@ def json_series(payloads: DataFrame, units: dict[str, str] | None = None) -> Dat
 
 
 def wide_vintages(payloads: DataFrame) -> DataFrame:
-    """(series_id, payload): objects with a date and one column <ID>_<YYYYMMDD> for each vintage, melted to rows."""
+    """(series_id, payload): objects with a date and one column <ID>_<YYYYMMDD> for each vintage, melted to rows.
+
+    A column of another name is an error, and so is a date that is none; missing values drop out.
+    """
     rows = payloads.select("series_id", F.explode(F.from_json("payload", "struct<observations:array<map<string,string>>>")["observations"]).alias("o"))
-    rows = rows.select("series_id", strict_date(F.col("o")["date"]).alias("obs_date"), F.explode(F.map_filter("o", lambda k, v: k != "date")))
-    stamp = F.regexp_extract("key", r"_(\d{8})$", 1)
-    rows = rows.select("series_id", "obs_date", F.try_to_timestamp(stamp, F.lit("yyyyMMdd")).cast("date").alias("vintage_date"), F.expr("try_cast(value AS DOUBLE)").alias("value"))
-    return rows.where("value is not null")
+    rows = rows.select("series_id", F.col("o")["date"].alias("at"), F.explode(F.map_filter("o", lambda k, v: k != "date")))
+    vintage = strict_date(F.regexp_replace(F.regexp_extract("key", r"^\w+_(\d{8})$", 1), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"))
+    observed, value = strict_date("at"), F.expr("try_cast(value AS DOUBLE)")
+    refused = lambda what, c: F.raise_error(F.concat(F.lit(f"{what}: "), F.coalesce(c, F.lit("null")))).cast("boolean")
+    # in the filter, so that rows without a value are judged too
+    good = F.when(observed.isNull(), refused("invalid observation date", F.col("at"))).when(vintage.isNull(), refused("unknown vintage column", F.col("key")))
+    return rows.where(good.otherwise(value.isNotNull())).select("series_id", observed.alias("obs_date"), vintage.alias("vintage_date"), value.alias("value"))
 
 
 def release_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:

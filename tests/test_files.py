@@ -134,3 +134,19 @@ def test_rows_are_held_against_the_manifest(spark):
     assert issues(rows(("x", 0, 1.0), ("x", 1, 2.5))) == {"DIGEST"}
     assert issues(rows(("y", 0, 1.0), ("y", 1, 2.0))) == {"SERIES_GONE", "SERIES_ADDED"}
     assert "REPEATED_DATE" in issues(rows(("x", 0, 1.0), ("x", 0, 2.0))) and "NOT_FINITE" in issues(rows(("x", 0, 1.0), ("x", 1, float("nan"))))
+
+
+# ---------------------------------------------------------------- wide vintages
+
+
+@pytest.mark.parametrize(
+    ("row", "what"), [({"date": "2020-01-01", "X_20200103": "1.5", "note": "x"}, "unknown vintage column: note"), ({"date": "2020-01-01", "X_20200230": "1"}, "unknown vintage column"), ({"date": "2020-13-01", "X_20200103": "1"}, "invalid observation date")]
+)
+def test_unknown_columns_of_wide_vintages_are_refused(spark, row, what):
+    from kairoscope.sources.readers import wide_vintages
+
+    payload = lambda r: spark.createDataFrame([("X", json.dumps({"observations": [r]}))], "series_id string, payload string")
+    with pytest.raises(PySparkException, match=what):
+        wide_vintages(payload(row)).collect()
+    good = wide_vintages(payload({"date": "2020-01-01", "X_20200103": "1.5", "X_20200104": "."})).collect()
+    assert [tuple(r) for r in good] == [("X", FIRST, FIRST + datetime.timedelta(2), 1.5)]
