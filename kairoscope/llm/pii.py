@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, read_table
@@ -47,6 +47,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 SEED = 20_002
 SAMPLE = 16_000
+#: Text bytes of the sample that pass through the driver at most.
+SAMPLE_BYTES = 64 << 20
 #: A token is added if its marginal is at least this.
 SURE = 0.9
 STILL = 1e-4
@@ -347,9 +349,13 @@ def find(model: SkipChain | None, texts: list[str | None]) -> list[tuple[list[Sp
     return out
 
 
-def train(docs: DataFrame, *, sample: int = SAMPLE, seed: int = SEED) -> SkipChain | None:
-    rows = bounded_sample(docs.select("doc_id", "text"), F.xxhash64(F.lit(seed), F.col("doc_id")), sample)
-    rows = rows.where(F.col("text").rlike("[0-9@]")).select("text")
+def train(docs: DataFrame, *, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, seed: int = SEED) -> SkipChain | None:
+    """Learns from at most ``sample`` documents and ``sample_bytes`` of text, chosen by a hash of id and text."""
+    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    rows = bounded_sample(docs.select("doc_id", "text"), key, sample)
+    rows = rows.where(F.col("text").rlike("[0-9@]")).select("text", F.octet_length("text").cast("long").alias("bytes"), key.alias("key"))
+    upto = Window.orderBy("key", "text").rowsBetween(Window.unboundedPreceding, 0)  # over the bounded sample alone
+    rows = rows.withColumn("upto", F.sum("bytes").over(upto)).where(F.col("upto") <= sample_bytes).select("text")
     return SkipChain.fit(sorted(r["text"] for r in rows.collect()))
 
 

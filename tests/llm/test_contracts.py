@@ -205,3 +205,12 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_sample_of_equal_ids_is_not_empty(spark):
+    from kairoscope.llm import pii
+
+    texts = [(None, f"call +1 (555) 010-{i:04d} or mail u{i}@ex.org, number {i}") for i in range(400)] + [(7, "9" * 100_000)] * 3
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert pii.train(docs, sample=100) is not None and pii.train(docs, sample=100, sample_bytes=2000) is not None
+    assert pii.train(docs, sample_bytes=10) is None
