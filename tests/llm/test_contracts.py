@@ -214,3 +214,38 @@ def test_a_sample_of_equal_ids_is_not_empty(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     assert pii.train(docs, sample=100) is not None and pii.train(docs, sample=100, sample_bytes=2000) is not None
     assert pii.train(docs, sample_bytes=10) is None
+
+
+@pytest.mark.parametrize("text", ["a1 b2 c3 d4", "95558675309   x1   5558675309", "95558675309   5558675309   885558675309 b2", "+1 555 867 5309   a1 5558675309"])
+def test_marginals_are_exact_where_the_graph_is_a_tree(text):
+    import itertools
+
+    import numpy as np
+
+    from kairoscope.llm import pii
+
+    rng = np.random.default_rng(3)
+    k = len(pii.LABELS)
+    doc = pii.Document(text)
+    x = doc.features()
+    model = pii.SkipChain(rng.normal(0, 0.4, (x.shape[1], k)), rng.normal(0, 0.7, (k, k)), rng.normal(0, 0.7, (k, k)))
+    n, nodes = len(doc.tokens), len(doc.tokens) + doc.hubs
+    edges = [(i, j, model.near) for i, j in doc.near] + [(i, j, model.far) for i, j in doc.skip]
+    parent = list(range(nodes))
+    for i, j, _ in edges:  # joins of two parts only, so there is no loop
+        while parent[i] != i:
+            i = parent[i]
+        while parent[j] != j:
+            j = parent[j]
+        assert i != j
+        parent[i] = j
+    unary = np.zeros((nodes, k))
+    unary[:n] = x @ model.weights
+    want, total = np.zeros((n, k)), 0.0
+    free = [range(k) if i >= n or doc.known[i] == 0 else [int(doc.known[i])] for i in range(nodes)]
+    for labels in itertools.product(*free):
+        weight = np.exp(sum(unary[i, v] for i, v in enumerate(labels) if i >= n or doc.known[i] == 0) + sum(t[labels[i], labels[j]] for i, j, t in edges))
+        total += weight
+        for i in range(n):
+            want[i, labels[i]] += weight
+    np.testing.assert_allclose(model.marginals([doc]), want / total, atol=2e-3)
