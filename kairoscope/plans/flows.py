@@ -89,13 +89,22 @@ def weekly_returns(spark, sf) -> tuple[DataFrame, DataFrame]:
     return rows.select("d", pos.alias("pos"), (pos * F.col("hold")).alias("ret"), "hold"), years
 
 
-@query("bootstrap_sharpe", "h_price h_signal", f"""WITH {WEEKLY}, b AS (SELECT row_number() OVER (ORDER BY d) - 1 AS idx, ret FROM wr), """ + RESAMPLE.format(first=0, draws=MULBERRY) + f""",
-    i AS (SELECT iter, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt((SELECT count(*) FROM b) / {YEARS}) ELSE 0 END AS ic FROM s GROUP BY 1) """ + IC_STATS)
+def sharpe_sql(first: int | str) -> str:
+    """The bootstrap of the Sharpe ratio with draws from number ``first`` on."""
+    return f"""WITH {WEEKLY}, b AS (SELECT row_number() OVER (ORDER BY d) - 1 AS idx, ret FROM wr), """ + RESAMPLE.format(first=first, draws=MULBERRY) + f""",
+    i AS (SELECT iter, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt((SELECT count(*) FROM b) / {YEARS}) ELSE 0 END AS ic FROM s GROUP BY 1) """ + IC_STATS
+
+
+@query("bootstrap_sharpe", "h_price h_signal", sharpe_sql(0))
 def bootstrap_sharpe(spark, sf):
+    return sharpe_bootstrap(spark, sf, 0)
+
+
+def sharpe_bootstrap(spark, sf, first: int) -> DataFrame:
     rows, years = weekly_returns(spark, sf)
     numbered = rows.select("ret", (F.row_number().over(W.orderBy("d")) - 1).alias("idx"))
     n, b = numbered.count(), P.BOOTSTRAP
-    drawn = M.block_bootstrap(numbered, n=n, block=b["block"], iterations=b["iterations"], draw=lambda k: M.mulberry32(b["seed"], k))
+    drawn = M.block_bootstrap(numbered, n=n, block=b["block"], iterations=b["iterations"], draw=lambda k: M.mulberry32(b["seed"], k), first=first)
     stats = drawn.groupBy("iter").agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s")).crossJoin(F.broadcast(years))
     sharpe = F.when(F.col("s") > 0, F.col("m") / F.when(F.col("s") > 0, F.col("s")) * F.sqrt(F.lit(float(n)) / F.col("years"))).otherwise(0.0)
     return _iterations(stats.select(sharpe.alias("x")), "x")
