@@ -246,21 +246,28 @@ def cross_pairs(mixed: DataFrame, verified: DataFrame, similar: float) -> DataFr
 def components(edges: DataFrame, name: str) -> DataFrame:
     """``edges``: a, b. Returns id and label, the least id of its component.
 
-    Labels move over the edges and then jump to the label of their label; each
-    round is written to the shared folder.
+    Each id points to the least of its neighbours and itself; pointers are followed
+    to their roots, and the edges between different roots make the next, smaller
+    graph. Roots at least halve each time, and each round is written to the
+    shared folder.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
-    labels = materialize(labels, f"{name}-labels")
+    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    labels = None
     while True:
-        seen = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("seen"))
-        moved = labels.join(seen, "id").select("id", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        jumped = materialize(
-            moved.join(up, "label", "left").select("id", "old", F.least("label", F.coalesce("up", "label")).alias("label")), f"{name}-labels"
-        )
-        labels = jumped.select("id", "label")
-        if jumped.where("label <> old").isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        up = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")), f"{name}-up")
+        while True:
+            to = up.select(F.col("id").alias("label"), F.col("label").alias("to"))
+            jumped = materialize(up.join(to, "label").select("id", F.col("label").alias("old"), F.col("to").alias("label")), f"{name}-up")
+            up = jumped.select("id", "label")
+            if jumped.where("label <> old").isEmpty():
+                break
+        to = up.select(F.col("id").alias("label"), F.col("label").alias("to"))
+        labels = up if labels is None else materialize(labels.join(to, "label", "left").select("id", F.coalesce("to", "label").alias("label")), f"{name}-labels")
+        root = lambda c: up.select(F.col("id").alias(c), F.col("label").alias(f"root_{c}"))  # noqa: E731, B023
+        between = edges.join(root("a"), "a").join(root("b"), "b").where("root_a <> root_b")
+        edges = materialize(between.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), f"{name}-edges")
+        if edges.isEmpty():
             return labels
 
 

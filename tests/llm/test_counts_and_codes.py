@@ -211,3 +211,26 @@ def test_labels_sum_their_errors(spark, tmp_path):
     label_of = {i: label for i, _, label in rows}
     assert {(r["vec_id"], r["error"], r["label_error"]) for r in got} == {(i, e, sums[label_of[i]]) for i, e in error.items()}
     assert {r["codebooks_sha256"] for r in got} == {hashlib.sha256(text[1].encode()).hexdigest()}
+
+
+# ---------------------------------------------------------------- components
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_graphs(spark, seed):
+    from kairoscope.llm.dart_minhash import components
+
+    rng = random.Random(seed)
+    n = 300
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(120 + 90 * seed)] + [(i, i + 1) for i in range(400, 440)] + [(500, 500 + i) for i in range(1, 30)] + [(7, 7)]
+    label = {x: x for e in edges for x in e}
+    while True:
+        moved = False
+        for a, b in edges:
+            low = min(label[a], label[b])
+            moved |= (label[a], label[b]) != (low, low)
+            label[a] = label[b] = low
+        if not moved:
+            break
+    got = components(spark.createDataFrame(edges, "a long, b long"), f"test-{seed}").collect()
+    assert {r["id"]: r["label"] for r in got} == label and len(got) == len(label)
