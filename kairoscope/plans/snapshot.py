@@ -1,4 +1,4 @@
-"""Queries: snapshots of thirteen series that are derived from the order table."""
+"""Queries: snapshots of fourteen series that are derived from the order table."""
 
 from __future__ import annotations
 
