@@ -5,8 +5,12 @@ spectrum of a frame is folded to 12 pitch classes, smoothed over time and
 normalised. An integral image of frames x pitch classes gives the sum of any
 rectangle in four look-ups; 16 filters compare sums of rectangles, each is
 quantised to two bits (as a Gray code), and the bits of all filters pack into
-one 32-bit integer for each position. Thresholds of the quantisers are the
-quartiles of the filters over ``SAMPLE`` recordings at most.
+one 32-bit integer for each position. Thresholds of the quantisers are the exact
+quartiles of the filters over all positions of all recordings (and one position of
+zeros, which an empty table needs). Filter values are whole multiples of
+1 / ``STEPS``; one pass counts them by cells of ``CELL`` steps, a second one counts
+the steps of the cells that hold quartiles. Both recompute the filters, as their
+values are many times larger than the recordings' integers.
 
 Search: the queries go to all tasks in blocks of bounded size; each task looks
 both halves of its recordings' integers up among the queries' halves, counts the
@@ -31,16 +35,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, materialize, read_table
+from .common import materialize, read_table
 
 RATE, FRAME, HOP = 5512, 2048, 512
 LOW_HZ, HIGH_HZ = 60.0, 2600.0
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 SPAN = 12  # frames that the widest filter looks at
-SEED, SAMPLE = 10_001, 256
+STEPS = 1 << 24  # steps of a filter value in one unit
+CELL = 1 << 14  # steps that are counted as one at first
+RANGE = 1 << 29  # steps kept for each filter: values of -16 to 16, as |value| < log(42 / 0.01) < 9
 VOTES, MAX_ERROR, OVERLAP = 4, 0.25, 0.5
 EVERY = 50  # queries are the recordings whose id it divides
 BLOCK = 2048  # queries that go to the tasks at once
@@ -92,18 +98,17 @@ def chroma(x: np.ndarray) -> np.ndarray:
 
 
 def filter_values(image: np.ndarray) -> np.ndarray:
-    """positions x 16 values: log ratios of sums of rectangles."""
+    """positions x 16 values: log ratios of sums of rectangles, in whole steps."""
     n = len(image) - SPAN + 1
     if n < 1:
         return np.zeros((0, len(FILTERS)))
-    total = np.zeros((len(image) + 1, 13))
-    total[1:, 1:] = image.cumsum(axis=0).cumsum(axis=1)
-    at = np.arange(n)
+    total = np.zeros((13, len(image) + 1))
+    total[1:, 1:] = image.T.cumsum(axis=1).cumsum(axis=0)
 
     def area(t0, t1, c0, c1):
-        return total[at + t1, c1] - total[at + t0, c1] - total[at + t1, c0] + total[at + t0, c0]
+        return total[c1, t1 : t1 + n] - total[c1, t0 : t0 + n] - total[c0, t1 : t1 + n] + total[c0, t0 : t0 + n]
 
-    out = np.empty((n, len(FILTERS)))
+    parts, others = np.empty((2, len(FILTERS), n))
     for k, (kind, y, h, w) in enumerate(FILTERS):
         whole = area(0, w, y, y + h)
         if kind == 0:  # the rectangle against all pitch classes
@@ -117,8 +122,8 @@ def filter_values(image: np.ndarray) -> np.ndarray:
         else:  # two opposite quarters against the others
             part = area(0, w // 2, y, y + h // 2) + area(w // 2, w, y + h // 2, y + h)
             other = whole - part
-        out[:, k] = np.log((part + 0.01) / (other + 0.01))
-    return out
+        parts[k], others[k] = part, other
+    return np.rint(np.log((parts + 0.01) / (others + 0.01)).T * STEPS) / STEPS
 
 
 def pack(values: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
@@ -129,6 +134,7 @@ def pack(values: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
 
 
 def quartiles(recordings: list[bytes]) -> np.ndarray:
+    """``all_quartiles`` of a few recordings at hand."""
     values = [filter_values(chroma(read_wav(r))) for r in recordings]
     values = np.concatenate([*values, np.zeros((1, len(FILTERS)))])
     return np.quantile(values, (0.25, 0.5, 0.75), axis=0).T
@@ -196,6 +202,71 @@ class Queries:
 MATCH = "query_id long, match_id long, frame_offset long, votes long, bit_errors long, bits long"
 
 
+def step_counts(df: DataFrame, to_wav: Callable[[object], bytes | None], cells: list[int] | None, *, audio_col: str) -> DataFrame:
+    """code, n: how often each code occurs over all recordings, in cells or, of the cells given, in single steps.
+
+    A code is a filter's number and a value of it in steps; codes are in order by both.
+    Their number is bounded whatever the number of recordings: RANGE / CELL cells for each
+    filter, CELL steps for each cell.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, slot = np.arange(len(FILTERS)) * RANGE + RANGE // 2, None
+        if cells is None:
+            n = np.zeros(len(FILTERS) * RANGE // CELL, np.int64)
+        else:
+            n, slot = np.zeros(len(cells) * CELL, np.int64), np.full(len(FILTERS) * RANGE // CELL, -1)
+            slot[cells] = np.arange(len(cells))
+        for batch in batches:
+            for x in batch["audio"]:
+                code = ((filter_values(chroma(read_wav(to_wav(x)))) * STEPS).astype(np.int64) + first).ravel()
+                at = code // CELL
+                if slot is not None:
+                    code, at = code[slot[at] >= 0], slot[at[slot[at] >= 0]] * CELL
+                    at += code % CELL
+                np.add.at(n, at, 1)
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"code": at * CELL if slot is None else np.asarray(cells, np.int64)[at // CELL] * CELL + at % CELL, "n": n[at]})
+
+    zeros = df.sparkSession.range(len(FILTERS)).select((F.col("id") * RANGE + RANGE // 2).alias("code"), F.lit(1).cast("long").alias("n"))
+    if cells is None:
+        zeros = zeros.withColumn("code", F.col("code") - F.col("code") % CELL)
+    else:
+        zeros = zeros.where(F.floor(F.col("code") / CELL).isin(cells))
+    found = df.select(F.col(audio_col).alias("audio")).mapInPandas(run, "code long, n long").unionByName(zeros)
+    return found.groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def at_ranks(counts: DataFrame, key: Column, ranks: Column) -> DataFrame:
+    """Codes that hold the ``ranks`` (an array of structs with ``rank``, from 0) of their key; ``left`` is the rank inside the code."""
+    w = Window.partitionBy("key")
+    told = counts.withColumn("key", key).withColumn("upto", F.sum("n").over(w.orderBy("code"))).withColumn("total", F.sum("n").over(w))
+    told = told.withColumn("r", F.explode(ranks)).withColumn("left", F.col("r.rank") - F.col("upto") + F.col("n"))
+    return told.where("left >= 0 and left < n").select("key", "r", "code", "left")
+
+
+def all_quartiles(df: DataFrame, to_wav: Callable[[object], bytes | None], *, audio_col: str) -> np.ndarray:
+    """Exact quartiles of each filter over all positions of all recordings, interpolated as by ``np.quantile``."""
+    # ranks of the quartiles times 4 are whole: q * (total - 1), whose last two bits are the share of the next rank
+    four = [(q, F.lit(q) * (F.col("total") - 1)) for q in (1, 2, 3)]
+    ranks = F.array(*(
+        F.struct(F.lit(q).alias("q"), F.lit(up).alias("up"), F.floor((x + 3 * up) / 4).alias("rank"), (x % 4).alias("share")) for q, x in four for up in (0, 1)
+    ))
+    coarse = at_ranks(step_counts(df, to_wav, None, audio_col=audio_col), F.floor(F.col("code") / RANGE), ranks).collect()
+    wanted = sorted({r.code // CELL for r in coarse})
+    inside = {c: sorted({r.left for r in coarse if r.code // CELL == c}) for c in wanted}
+    lefts = F.create_map(*(x for c in wanted for x in (F.lit(c).cast("long"), F.array(*(F.struct(F.lit(k).cast("long").alias("rank")) for k in inside[c])))))
+    cell = F.floor(F.col("code") / CELL)
+    fine = at_ranks(step_counts(df, to_wav, wanted, audio_col=audio_col), cell, lefts[cell]).collect()
+    code = {(r.key, r.r.rank): r.code for r in fine}
+    ends = np.empty((len(FILTERS), 3, 2))
+    share = np.empty((len(FILTERS), 3))
+    for r in coarse:
+        ends[r.key, r.r.q - 1, r.r.up] = (code[r.code // CELL, r.left] % RANGE - RANGE // 2) / STEPS
+        share[r.key, r.r.q - 1] = r.r.share / 4
+    return ends[:, :, 0] + (ends[:, :, 1] - ends[:, :, 0]) * share
+
+
 def fingerprints(df: DataFrame, to_wav: Callable[[object], bytes | None], thresholds: np.ndarray, *, id_col: str, audio_col: str) -> DataFrame:
     """rec_id, n_items, print (packed integers, little-endian), one recording at a time."""
 
@@ -230,21 +301,29 @@ def search(classes: DataFrame, queries: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the query
 
 
+def _notes() -> np.ndarray:
+    """Samples of the notes 0 to 36, each with an octave partial, for an eighth of a second."""
+    per = RATE // 8
+    t = np.arange(per) / RATE
+    hz = 110 * 2 ** (np.arange(37) / 12)
+    sound = (np.sin(2 * np.pi * hz[:, None] * t) + 0.5 * np.sin(4 * np.pi * hz[:, None] * t)) * np.hanning(per)
+    return (sound * 16000).astype("<i2")
+
+
+_NOTES = _notes()
+
+
 def sonify(vector) -> bytes | None:
     """A recording from a vector: each value, rounded to a tenth, is a note of two
     partials, a fourth higher for each tenth."""
     if vector is None or not len(vector):
         return None
     v = np.nan_to_num(np.asarray(vector, np.float64))
-    note = np.clip(18 + 5 * np.round(10 * v), 0, 36)
-    per = RATE // 8
-    t = np.arange(per) / RATE
-    hz = 110 * 2 ** (note / 12)
-    sound = (np.sin(2 * np.pi * hz[:, None] * t) + 0.5 * np.sin(4 * np.pi * hz[:, None] * t)) * np.hanning(per)
+    note = np.clip(18 + 5 * np.round(10 * v), 0, 36).astype(int)
     out = io.BytesIO()
     with wave.open(out, "wb") as f:
         f.setparams((1, 2, RATE, 0, "NONE", ""))
-        f.writeframes((sound.ravel() * 16000).astype("<i2").tobytes())
+        f.writeframes(_NOTES[note].tobytes())
     return out.getvalue()
 
 
@@ -252,8 +331,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of a recording for each row of ``embeddings``; matches of the
     classes that hold a query (an id divisible by 50) among all classes."""
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    sample = bounded_sample(vectors, F.xxhash64(F.lit(SEED), F.col("vec_id")), SAMPLE).select("embedding").collect()
-    thresholds = quartiles(sorted(filter(None, (sonify(r[0]) for r in sample))))
+    thresholds = all_quartiles(vectors, sonify, audio_col="embedding")
     prints = materialize(fingerprints(vectors, sonify, thresholds, id_col="vec_id", audio_col="embedding"), "audio-prints")
     known = prints.where("n_items > 0 and rec_id is not null")
     groups = materialize(

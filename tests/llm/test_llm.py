@@ -650,6 +650,23 @@ def test_broken_audio_has_no_fingerprint(spark):
     assert [bool(r.n_items) for r in got] == [True, False, True]
 
 
+def test_thresholds_are_the_quartiles_of_all_recordings(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(0, 0.02 if i % 3 else 0.3, 20).tolist()) for i in range(600)]
+    rows += [(600 + i, rows[7][1]) for i in range(40)]
+    rows += [(700, None), (701, []), (702, [0.1] * 3), (703, [float("nan"), float("inf"), None] * 8), (None, rows[3][1]), (5, rows[4][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
+    vectors = [None if r.embedding is None else [np.nan if x is None else x for x in r.embedding] for r in df.collect()]
+    cuts = audio.quartiles([audio.sonify(v) for v in vectors])
+    assert len(rows) > 2 * 256 and (cuts[:, 0] < cuts[:, 2]).sum() >= 14
+    want = [(i if i is None else int(i), hashlib.sha256(audio.fingerprint(audio.sonify(v), cuts).astype("<u4").tobytes()).hexdigest()) for (i, _), v in zip(rows, vectors, strict=True)]
+    got = [(r.vec_id, r.print_sha256) for r in audio.op1(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert np.array_equal(audio.all_quartiles(df, audio.sonify, audio_col="embedding"), cuts)
+    assert not audio.all_quartiles(df.limit(0), audio.sonify, audio_col="embedding").any()
+
+
 # ---------------------------------------------------------------- pipeline
 
 
