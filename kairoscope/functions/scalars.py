@@ -32,6 +32,12 @@ def safe_div(a, b) -> Column:
     return F.try_divide(_c(a).cast("double"), _c(b).cast("double"))
 
 
+def ieee_div(a, b) -> Column:
+    """As DuckDB divides doubles: by 0 to an infinity, and 0 by 0 to NaN."""
+    a, b = _c(a).cast("double"), _c(b).cast("double")
+    return F.when(b != 0, a / F.when(b != 0, b)).otherwise(a * F.pow(b, F.lit(-1.0)))
+
+
 def ratio_change(now, before) -> Column:
     return safe_div(_c(now), _c(before)) - 1.0
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from .. import params as P
 from ..functions import scores as C
+from ..functions.scalars import ieee_div
 from ..operators import asof as A
 from ..operators import labels as L
 from ..operators import sets as T
@@ -334,11 +335,12 @@ def formal_outcomes(spark, sf):
     r AS (SELECT d, CASE WHEN score > 55 THEN ret ELSE 0 END AS ret, ret AS hold FROM p WHERE ret IS NOT NULL)
     SELECT CAST(count(*) AS BIGINT) AS n, round(product(1 + ret) - 1, 5) AS total, round(product(1 + hold) - 1, 5) AS buy_hold, round(avg(ret) / stddev_samp(ret) * sqrt(52), 5) AS sharpe FROM r""")
 def strategy_stats(spark, sf):
-    rows = h_signal(spark, sf).join(h_price(spark, sf), "d").withColumn("hold", F.lead("close").over(W.orderBy("d")) / F.col("close") - 1).where("hold is not null")
+    hold = ieee_div(F.lead("close").over(W.orderBy("d")), "close") - 1
+    rows = h_signal(spark, sf).join(h_price(spark, sf), "d").withColumn("hold", hold).where("hold is not null")
     rows = rows.withColumn("ret", F.when(F.col("score") > 55, F.col("hold")).otherwise(0.0))
     return rows.agg(
         F.count(F.lit(1)).alias("n"), F.round(F.product(F.col("ret") + 1) - 1, 5).alias("total"), F.round(F.product(F.col("hold") + 1) - 1, 5).alias("buy_hold"),
-        F.round(F.avg("ret") / F.stddev_samp("ret") * F.sqrt(F.lit(52.0)), 5).alias("sharpe"),
+        F.round(ieee_div(F.avg("ret"), F.stddev_samp("ret")) * F.sqrt(F.lit(52.0)), 5).alias("sharpe"),  # NaN if nothing was held
     )
 
 
