@@ -105,12 +105,13 @@ def bucket(score) -> Column:
 
 
 def benjamini_hochberg(df: DataFrame, family="family", ident="hypothesis_id", p="p_value") -> DataFrame:
-    """Adds effective_p, rank, family_size, adjusted_p, rejected. A missing p counts as 1; ties go by id."""
+    """Adds effective_p, rank, family_size, adjusted_p, rejected. A missing p counts as 1; ties go by id, missing ids last."""
     out = df.withColumn("effective_p", F.coalesce(p, F.lit(1.0)))
-    w = W.partitionBy(family).orderBy("effective_p", ident)
+    w = W.partitionBy(family).orderBy("effective_p", F.asc_nulls_last(ident))
     out = out.withColumn("rank", F.row_number().over(w).cast("long")).withColumn("family_size", F.count(F.lit(1)).over(W.partitionBy(family)))
     raw = F.col("effective_p") * F.col("family_size") / F.col("rank")
-    least = F.min(raw).over(w.rowsBetween(W.currentRow, W.unboundedFollowing))
+    # from the last rank to the first: a frame of all rows that follow is read anew for each row
+    least = F.min(raw).over(W.partitionBy(family).orderBy(F.desc("rank")).rowsBetween(W.unboundedPreceding, W.currentRow))
     return out.withColumn("adjusted_p", F.least(F.lit(1.0), least)).withColumn("rejected", F.col("adjusted_p") <= P.BH_ALPHA)
 
 
